@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkfold.functions import html_text as H
+from inkfold.functions.once import compute_once
 
 
 @dataclass(frozen=True)
@@ -63,12 +64,13 @@ def page_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
         .withColumn("_text", H.marked_text(F.col("_markup")))
         .drop("_markup")
     )
-    return (
+    blocks = (
         marked.withColumn("title", F.trim(H.squeeze(H.decode_entities(F.col("_title")))))
         .withColumn("_text", H.close_links_per_block(H.squeeze(H.decode_entities(F.col("_text")))))
         .withColumn("blocks", H.cut_blocks(F.col("_text")))
         .drop("_title", "_text")
     )
+    return compute_once(blocks, "title", "blocks")
 
 
 def extract_articles(
@@ -195,10 +197,11 @@ def select_articles(
     ``title`` and ``content`` are (container tag, its class or None, inner tag).
     """
     markup = F.regexp_replace(html, H.INVISIBLE, "<!>")
-    return (
+    found = (
         pages.withColumn("_markup", markup)
         .drop(html)
         .withColumn("title", select_texts(F.col("_markup"), title[0], title[2], title[1]))
         .withColumn("content", select_texts(F.col("_markup"), content[0], content[2], content[1]))
         .drop("_markup")
     )
+    return compute_once(found, "title", "content")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from inkfold.functions.json_text import is_object, parse_object, the_object, to_json_text
+from inkfold.functions.once import compute_once
 from inkfold.sources.feeds import LIST_KEY
 
 #: URLs per job message.  A longer list becomes several messages, so no row ever
@@ -117,14 +118,13 @@ def number_jobs(logs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- messages
 
-LOG_INFO = T.StructType.fromDDL("Date STRING, Total BIGINT, type STRING")
-JOB = T.StructType(
-    [
-        T.StructField("index", T.LongType()),
-        T.StructField("logInfo", LOG_INFO),
-        T.StructField("preInfo", T.ArrayType(T.ArrayType(T.StringType()))),
-        T.StructField("urlList", T.ArrayType(T.StringType())),
-    ]
+LOG_INFO = T.StructType().add("Date", "string").add("Total", "long").add("type", "string")
+JOB = (
+    T.StructType()
+    .add("index", "long")
+    .add("logInfo", LOG_INFO)
+    .add("preInfo", T.ArrayType(T.ArrayType(T.StringType())))
+    .add("urlList", T.ArrayType(T.StringType()))
 )
 
 
@@ -168,7 +168,7 @@ def parse_jobs(messages: DataFrame) -> DataFrame:
         start.cast("bigint").alias("start"), "message",
         parse_object(F.col("message"), JOB).alias("_p"),
     )
-    return parsed.withColumn("job", the_object(F.col("_p"))).select(
+    return compute_once(parsed, "_p").withColumn("job", the_object(F.col("_p"))).select(
         "job.index",
         "start",
         F.col("job.logInfo.Date").alias("log_date"),

@@ -11,17 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from inkfold.functions.json_text import is_object, parse_object, the_object, to_json_text
+from inkfold.functions.once import compute_once
 
 LOG, RESULT = "logInfo", "crawlerResult"
 
-ENVELOPE = T.StructType.fromDDL(
-    "type STRING, content STRUCT<"
-    "data: STRUCT<Date: STRING, Total: BIGINT, type: STRING,"
-    " link: STRING, title: STRING, content: STRING>,"
-    "preInfo: ARRAY<STRING>,"
-    "Date: STRING, Total: BIGINT,"
-    "link: STRING, title: ARRAY<STRING>, content: ARRAY<STRING>>"
+_TEXTS = T.ArrayType(T.StringType())
+DATA = (
+    T.StructType()
+    .add("Date", "string").add("Total", "long").add("type", "string")
+    .add("link", "string").add("title", "string").add("content", "string")
 )
+CONTENT = (
+    T.StructType()
+    .add("data", DATA)
+    .add("preInfo", _TEXTS)
+    # The flat form of the older producer.
+    .add("Date", "string").add("Total", "long")
+    .add("link", "string").add("title", _TEXTS).add("content", _TEXTS)
+)
+ENVELOPE = T.StructType().add("type", "string").add("content", CONTENT)
 
 
 def log_messages(logs: DataFrame) -> DataFrame:
@@ -78,7 +86,7 @@ def decode_messages(messages: DataFrame, value: str = "value") -> DataFrame:
         *others, F.col(value).alias("payload"),
         parse_object(F.col(value), ENVELOPE).alias("_p"),
     )
-    opened = parsed.select(
+    opened = compute_once(parsed, "_p").select(
         *others,
         "payload",
         (~is_object(F.col("_p"))).alias("bad"),

@@ -202,18 +202,18 @@ squeezed AS (
 ),
 raw AS (
   SELECT page_id, url, title, unnest(string_split(t, chr(2))) AS raw,
-    generate_subscripts(string_split(t, chr(2)), 1) AS at
+    generate_subscripts(string_split(t, chr(2)), 1) AS place
   FROM squeezed
 ),
 /* a link left open by an earlier block goes on in this one */
 open_link AS (
   SELECT *, coalesce(last_value(CASE WHEN contains(raw, chr(3)) OR contains(raw, chr(4))
       THEN regexp_extract(raw, '([\x03\x04])[^\x03\x04]*$', 1) END IGNORE NULLS) OVER (
-      PARTITION BY page_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS carried
+      PARTITION BY page_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS carried
   FROM raw
 ),
 measured AS (
-  SELECT page_id, url, title, at,
+  SELECT page_id, url, title, place,
     trim(replace(replace(raw, chr(3), ''), chr(4), '')) AS text,
     regexp_extract_all(CASE WHEN carried = chr(3) THEN chr(3) ELSE '' END || raw, '\x03([^\x03\x04]*)', 1) AS links
   FROM open_link
@@ -222,7 +222,7 @@ block AS (
   SELECT page_id, url, title, text, row_number() OVER w - 1 AS pos, {_words("text")} AS words,
     {_words("array_to_string(links, ' ')")} AS link_words
   FROM measured WHERE text <> ''
-  WINDOW w AS (PARTITION BY page_id ORDER BY at)
+  WINDOW w AS (PARTITION BY page_id ORDER BY place)
 ),
 around AS (
   SELECT *, link_words / words AS density,

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from inkfold.functions.json_text import is_object, parse_object, the_object
+from inkfold.functions.once import compute_once
 
 LIST_KEY = ["date", "part"]
 
@@ -21,9 +22,8 @@ STRAY_BACKSLASH = r'\\(?![/u"])'
 # Fixed value: where the daily listings are.
 ADDRESS_ROOT = "http://stock.jrj.com.cn/share/news/company/"
 
-PAYLOAD = T.StructType.fromDDL(
-    "newsinfo ARRAY<ARRAY<STRUCT<infourl: STRING, stockname: STRING>>>"
-)
+NEWS = T.StructType().add("infourl", "string").add("stockname", "string")
+PAYLOAD = T.StructType().add("newsinfo", T.ArrayType(T.ArrayType(NEWS)))
 
 
 def source_addresses(dates: DataFrame, date: str = "date", root: str = ADDRESS_ROOT) -> DataFrame:
@@ -62,11 +62,12 @@ def parse_feeds(feeds: DataFrame) -> DataFrame:
         .when(F.col("_ok"), "ok")
         .otherwise("repaired")
     )
-    return (
+    judged = (
         both.withColumn("newsinfo", news)
         .withColumn("status", status)
         .select(*LIST_KEY, "status", "newsinfo", "payload")
     )
+    return compute_once(judged, "status", "newsinfo")
 
 
 def _accepted(parsed: DataFrame) -> DataFrame:
