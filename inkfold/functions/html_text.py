@@ -68,9 +68,9 @@ def decode_entities(text: Column) -> Column:
 
     ``text`` is read several times, so hand over a column, not a long expression.
     """
-    names = F.create_map(
-        *[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))]
-    )
+    # One literal, folded into a map constant when the plan is optimized.
+    pairs = "\n".join(f"{name}\t{chr(code)}" for name, code in name2codepoint.items())
+    names = F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit("\t"))
 
     def with_name(part: Column) -> Column:
         return F.struct(part.alias("part"), F.regexp_extract(part, ENTITY, 1).alias("name"))

@@ -34,8 +34,20 @@ def _orders(spark, folder):
     return table(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("date"))
 
 
+def _landed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """Write rows as a table and read it back: what follows reads them several times."""
+    path = shared_dir(spark, name)
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _feeds(spark, folder):
+    """Listings as they land from fetching."""
+    return _landed(spark, derived.feeds(spark, folder), "feeds")
+
+
 def _parsed(spark, folder):
-    return S.parse_feeds(derived.feeds(spark, folder))
+    return S.parse_feeds(_feeds(spark, folder))
 
 
 def _lists(spark, folder):
@@ -43,16 +55,24 @@ def _lists(spark, folder):
 
 
 def _late_lists(spark, folder):
-    return S.flatten_feeds(S.parse_feeds(derived.late_feeds(spark, folder)))
+    late = _landed(spark, derived.late_feeds(spark, folder), "late-feeds")
+    return S.flatten_feeds(S.parse_feeds(late))
 
 
 def _all_lists(spark, folder):
     return joblists.append_lists(_lists(spark, folder), _late_lists(spark, folder))
 
 
+def _sent_jobs(spark, folder, max_urls: int = joblists.MAX_URLS) -> DataFrame:
+    """Job messages as they stand on the job queue."""
+    parsed = _parsed(spark, folder)
+    lists = joblists.append_lists(S.flatten_feeds(parsed), _late_lists(spark, folder))
+    numbered = joblists.number_jobs(S.daily_log(parsed))
+    return _landed(spark, joblists.job_messages(numbered, lists, max_urls), "jobs")
+
+
 def _jobs(spark, folder):
-    numbered = joblists.number_jobs(S.daily_log(_parsed(spark, folder)))
-    return joblists.parse_jobs(joblists.job_messages(numbered, _all_lists(spark, folder)))
+    return joblists.parse_jobs(_sent_jobs(spark, folder))
 
 
 def _messages(spark, folder):
@@ -159,9 +179,7 @@ def job_numbers(spark, folder):
 
 def job_messages(spark, folder):
     """Messages of at most 5 URLs, decoded again."""
-    numbered = joblists.number_jobs(S.daily_log(_parsed(spark, folder)))
-    sent = joblists.job_messages(numbered, _all_lists(spark, folder), max_urls=5)
-    return joblists.parse_jobs(sent).select(
+    return joblists.parse_jobs(_sent_jobs(spark, folder, max_urls=5)).select(
         "index", "start", "log_date", "total",
         F.array_join("urls", "|").alias("urls"),
         F.array_join(F.transform("pre_infos", lambda p: F.array_join(p, "+")), "|").alias("pre_infos"),
@@ -245,7 +263,7 @@ def messages_decoded(spark, folder):
 
 def messages_encoded(spark, folder):
     """The messages of the daily job, read back."""
-    sent = daily.collected_messages(derived.feeds(spark, folder), table(spark, folder, "pages"))
+    sent = daily.collected_messages(_feeds(spark, folder), table(spark, folder, "pages"))
     return messages.decode_messages(sent).select(
         "kind", "log_date", "total", "link", "title", "content", _joined("pre_info")
     )
@@ -293,9 +311,10 @@ def log_dates(spark, folder):
 
 
 def rejects(spark, folder):
+    parsed = _parsed(spark, folder)
     parts = (
-        S.feed_rejects(_parsed(spark, folder)),
-        enrich.unlisted_pages(_lists(spark, folder), table(spark, folder, "pages")),
+        S.feed_rejects(parsed),
+        enrich.unlisted_pages(S.flatten_feeds(parsed), table(spark, folder, "pages")),
         routing.message_rejects(_routed(spark, folder)),
     )
     return routing.union_rejects(*parts).groupBy("stage", "reason").agg(F.count("*").alias("n"))
@@ -387,12 +406,12 @@ def next_dates_answer(spark, folder):
 
 
 def daily_news(spark: SparkSession, folder: str) -> DataFrame:
-    news = daily.collect_news(derived.feeds(spark, folder), table(spark, folder, "pages"))
+    news = daily.collect_news(_feeds(spark, folder), table(spark, folder, "pages"))
     return routing.accepted_articles(news.routed).withColumn("pre_info", _joined("pre_info"))
 
 
 def daily_news_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    news = daily.collect_news(derived.feeds(spark, folder), table(spark, folder, "pages"))
+    news = daily.collect_news(_feeds(spark, folder), table(spark, folder, "pages"))
     return news.rejects.groupBy("stage", "reason").agg(F.count("*").alias("n"))
 
 
