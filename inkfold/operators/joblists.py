@@ -78,8 +78,8 @@ def slice_lists(lists: DataFrame, start: int | None = None, stop: int | None = N
     )
 
 
-def number_jobs(logs: DataFrame) -> DataFrame:
-    """Add ``index``: lists counted from 0 in the order of (date, part).
+def number_jobs(logs: DataFrame, first: int = 0) -> DataFrame:
+    """Add ``index``: lists counted from ``first`` in the order of (date, part).
 
     Counting is done in blocks of neighbouring parts, then over the blocks of a day,
     then over the days, so that no window ever holds more than a block, a day's
@@ -111,7 +111,7 @@ def number_jobs(logs: DataFrame) -> DataFrame:
         blocks.withColumn("in_block", in_block)
         .join(block_start, ["date", "block"])
         .join(day_start, "date")
-        .withColumn("index", F.col("day_start") + F.col("block_start") + F.col("in_block"))
+        .withColumn("index", F.lit(first) + F.col("day_start") + F.col("block_start") + F.col("in_block"))
         .drop("block", "in_block", "block_start", "day_start")
     )
 
@@ -188,3 +188,9 @@ def job_logs(jobs: DataFrame) -> DataFrame:
     )
 
 
+def job_rejects(jobs: DataFrame) -> DataFrame:
+    """Job messages that could not be read."""
+    return jobs.filter("bad").select(
+        F.lit("job").alias("stage"), F.lit("bad json").alias("reason"),
+        F.col("message").alias("payload"),
+    )

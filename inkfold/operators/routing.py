@@ -48,22 +48,53 @@ def route(decoded: DataFrame) -> DataFrame:
     )
 
 
-def accepted_logs(routed: DataFrame) -> DataFrame:
-    return routed.filter(F.col("reason").isNull() & (F.col("kind") == LOG)).select(
-        "date", "total", "list_type"
+# Columns of the three branches, and the names of these in the store.
+LOG_COLUMNS = ["date", "total", "list_type"]
+ARTICLE_COLUMNS = ["collection", "pre_info", "keywords", "link", "title", "content", "post_info"]
+REJECT_COLUMNS = ["stage", "reason", "payload"]
+LOG_BRANCH, ARTICLE_BRANCH, REJECT_BRANCH = "log", "article", "reject"
+
+
+def branches(routed: DataFrame) -> DataFrame:
+    """All rows with their ``branch`` and the columns of every branch, for one write.
+
+    The text of a message is only kept for rejects: the others have it in columns.
+    """
+    rejected = F.col("reason").isNotNull()
+    branch = (
+        F.when(rejected, REJECT_BRANCH)
+        .when(F.col("kind") == LOG, LOG_BRANCH)
+        .otherwise(ARTICLE_BRANCH)
+    )
+    kept = {"branch", "kind", "has_data", "bad", "log_date", "payload", "reason"}
+    others = [c for c in routed.columns if c not in kept]
+    return routed.select(
+        branch.alias("branch"),
+        *others,
+        F.lit("").alias("post_info"),
+        F.when(rejected, "route").alias("stage"),
+        "reason",
+        F.when(rejected, F.col("payload")).alias("payload"),
     )
 
 
+def accepted_logs(routed: DataFrame) -> DataFrame:
+    return routed.filter(F.col("reason").isNull() & (F.col("kind") == LOG)).select(*LOG_COLUMNS)
+
+
 def accepted_articles(routed: DataFrame) -> DataFrame:
-    return routed.filter(F.col("reason").isNull() & (F.col("kind") == RESULT)).select(
-        "collection", "pre_info", "keywords", "link", "title", "content",
-        F.lit("").alias("post_info"),
+    return (
+        routed.filter(F.col("reason").isNull() & (F.col("kind") == RESULT))
+        .withColumn("post_info", F.lit(""))
+        .select(*ARTICLE_COLUMNS)
     )
 
 
 def message_rejects(routed: DataFrame) -> DataFrame:
-    return routed.filter(F.col("reason").isNotNull()).select(
-        F.lit("route").alias("stage"), "reason", "payload"
+    return (
+        routed.filter(F.col("reason").isNotNull())
+        .withColumn("stage", F.lit("route"))
+        .select(*REJECT_COLUMNS)
     )
 
 

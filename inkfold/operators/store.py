@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -33,17 +31,6 @@ def append_rows(rows: DataFrame, path: str) -> None:
     stamp(rows).write.mode("append").parquet(path)
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int, cluster_by: str | None = None) -> None:
-    """Store one micro-batch under its own id; a retry replaces it.
-
-    With ``cluster_by`` rows are kept together by that column, so that its range in
-    the file footers lets a reader skip files.
-    """
-    if cluster_by:
-        rows = rows.hint("rebalance", cluster_by).sortWithinPartitions(cluster_by)
-    stamp(rows).write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
-
-
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored table, or None where there is none yet."""
     try:

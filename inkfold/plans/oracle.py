@@ -457,6 +457,15 @@ FROM supplier"""
     ),
     "item_export": f"WITH {_BLOCKS}\nSELECT url AS link, title, content FROM article",
     "stream_drain": _ROUTED,
+    "stream_rejects": _with_messages(
+        "SELECT 'route' AS stage, reason, count(*) AS n FROM routed WHERE reason IS NOT NULL GROUP BY reason"
+    ),
+    "stream_next_dates": _next_dates(
+        _with_lists(
+            """SELECT date AS d FROM logs WHERE date <> DATE '2024-01-28'"""
+        ),
+        "2015-10-01",
+    ),
     "stream_backlog": f"""WITH {_LISTS}
 SELECT 'before' AS state, (SELECT count(*) FROM pages) + (SELECT count(*) FROM logs) AS messages
 UNION ALL SELECT 'after', 0""",

@@ -18,7 +18,6 @@ from inkfold.streaming import drain as D
 TODAY = dt.date(2024, 2, 5)
 LATE_FLOOR = dt.date(2024, 1, 1)
 
-ARTICLE_COLUMNS = ["collection", "pre_info", "keywords", "link", "title", "content", "post_info"]
 
 
 def _joined(name: str) -> Column:
@@ -352,7 +351,7 @@ def item_export(spark, folder):
     return spark.read.schema("link STRING, title STRING, content STRING").json(path)
 
 
-def _drained(spark, folder):
+def _queued(spark, folder):
     base = shared_dir(spark, "drain")
     queue, root = f"{base}/queue", f"{base}/store"
     D.enqueue(_messages(spark, folder), queue)
@@ -360,15 +359,28 @@ def _drained(spark, folder):
 
 
 def stream_drain(spark, folder):
-    queue, root, checkpoint = _drained(spark, folder)
+    queue, root, checkpoint = _queued(spark, folder)
     D.drain(spark, queue, root, checkpoint)
-    articles = store.stored(spark, f"{root}/{D.ARTICLES}").select(*ARTICLE_COLUMNS)
+    articles = D.drained_articles(spark, root).drop("ingested_at", "batch_id")
     return articles.withColumn("pre_info", _joined("pre_info"))
 
 
+def stream_rejects(spark, folder):
+    queue, root, checkpoint = _queued(spark, folder)
+    D.drain(spark, queue, root, checkpoint)
+    return D.drained_rejects(spark, root).groupBy("stage", "reason").agg(F.count("*").alias("n"))
+
+
+def stream_next_dates(spark, folder):
+    """The days to collect next, from the log a drain has stored."""
+    queue, root, checkpoint = _queued(spark, folder)
+    D.drain(spark, queue, root, checkpoint)
+    return coverage.next_dates(D.drained_log(spark, root), TODAY)
+
+
 def stream_backlog(spark, folder):
     """Messages on the queue before and after a drain."""
-    queue, root, checkpoint = _drained(spark, folder)
+    queue, root, checkpoint = _queued(spark, folder)
     # Before the drain there is no record of drained files, so it is settled now.
     before = spark.createDataFrame(
         D.backlog(spark, queue, root).collect(), "files long, messages long"
@@ -427,7 +439,8 @@ QUERIES = {
         text_blocks, article_content, selector_extract, selector_links,
         messages_encoded, messages_decoded, legacy_normalised,
         routed, route_counts, keywords, log_dates, rejects, required_gate,
-        store_roundtrip, collection_exists, item_export, stream_drain, stream_backlog,
+        store_roundtrip, collection_exists, item_export,
+        stream_drain, stream_rejects, stream_next_dates, stream_backlog,
         latest_result, next_dates_answer, daily_news, daily_news_rejects,
     )
 }

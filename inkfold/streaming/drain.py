@@ -3,21 +3,23 @@
 The queue is a folder of text files, one message per line.  Batch and stream use the
 same decoding and routing.  Each micro-batch is stored under its batch id, so that a
 retry after a lost executor or a restart replaces it: every message is stored once.
+
+A batch is decoded once and written once.  Its rows carry the branch they belong to
+as a partition, and each reader below sees its own branch only.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from inkfold.operators import routing as R
 from inkfold.operators.messages import decode_messages
-from inkfold.operators.store import stored, write_batch
+from inkfold.operators.store import stamp, stored
 
-ARTICLES, LOGS, REJECTS, DRAINED = "articles", "log_info", "rejects", "drained"
+STORED, DRAINED = "messages", "drained"
 
 
 def enqueue(messages: DataFrame, queue: str) -> None:
@@ -26,23 +28,25 @@ def enqueue(messages: DataFrame, queue: str) -> None:
 
 
 def store_batch(batch: DataFrame, batch_id: int, root: str) -> None:
-    """Route one micro-batch and write its branches.
+    """Route one micro-batch ``(value, file)`` and store it under its id.
 
-    The routed rows are read four times, so they are kept while the batch runs; a
-    lost block is computed again from the queue files.
+    Rows of a collection are kept together, a large collection in several files, so
+    that the ranges in the file footers let a reader of one collection skip the rest.
     """
-    routed = R.route(decode_messages(batch)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        write_batch(R.accepted_logs(routed), os.path.join(root, LOGS), batch_id)
-        write_batch(
-            R.accepted_articles(routed), os.path.join(root, ARTICLES), batch_id, "collection"
-        )
-        write_batch(R.message_rejects(routed), os.path.join(root, REJECTS), batch_id)
-        files = routed.groupBy("file").agg(F.count("*").alias("messages"))
-        # Last: a batch counts as drained once everything else is stored.
-        write_batch(files, os.path.join(root, DRAINED), batch_id)
-    finally:
-        routed.unpersist()
+    path = os.path.join(root, STORED, f"batch_id={batch_id}")
+    rows = R.branches(R.route(decode_messages(batch)))
+    (
+        stamp(rows)
+        .hint("rebalance", "branch", "collection")
+        .sortWithinPartitions("branch", "collection")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("branch")
+        .parquet(path)
+    )
+    # Last: files count as drained once their messages are stored.
+    files = batch.sparkSession.read.parquet(path).groupBy("file").agg(F.count("*").alias("messages"))
+    files.write.mode("overwrite").parquet(os.path.join(root, DRAINED, f"batch_id={batch_id}"))
 
 
 def start_drain(
@@ -50,12 +54,15 @@ def start_drain(
     queue: str,
     root: str,
     checkpoint: str,
-    max_files: int = 1000,
+    max_bytes: int = 1 << 40,
     until_empty: bool = True,
 ) -> StreamingQuery:
-    """Start draining; with ``until_empty`` the query ends when what is there is stored."""
+    """Start draining, about ``max_bytes`` of the queue per micro-batch.
+
+    With ``until_empty`` the query ends when what is there is stored.
+    """
     lines = (
-        spark.readStream.option("maxFilesPerTrigger", max_files)
+        spark.readStream.option("maxBytesPerTrigger", max_bytes)
         .text(queue)
         .select("value", F.col("_metadata.file_path").alias("file"))
     )
@@ -67,9 +74,9 @@ def start_drain(
     return writer.start()
 
 
-def drain(spark: SparkSession, queue: str, root: str, checkpoint: str, max_files: int = 1000) -> None:
+def drain(spark: SparkSession, queue: str, root: str, checkpoint: str, max_bytes: int = 1 << 40) -> None:
     """Store everything that is on the queue, then return."""
-    start_drain(spark, queue, root, checkpoint, max_files).awaitTermination()
+    start_drain(spark, queue, root, checkpoint, max_bytes).awaitTermination()
 
 
 def stop_when_idle(query: StreamingQuery, wait_step: float = 1.0, max_waits: int = 5) -> bool:
@@ -92,6 +99,25 @@ def stop_when_idle(query: StreamingQuery, wait_step: float = 1.0, max_waits: int
     return False
 
 
+# ---------------------------------------------------------------- readers
+
+
+def _branch(spark: SparkSession, root: str, branch: str) -> DataFrame:
+    return stored(spark, os.path.join(root, STORED)).filter(F.col("branch") == branch)
+
+
+def drained_articles(spark: SparkSession, root: str) -> DataFrame:
+    return _branch(spark, root, R.ARTICLE_BRANCH).select(*R.ARTICLE_COLUMNS, "ingested_at", "batch_id")
+
+
+def drained_log(spark: SparkSession, root: str) -> DataFrame:
+    return _branch(spark, root, R.LOG_BRANCH).select(*R.LOG_COLUMNS, "ingested_at", "batch_id")
+
+
+def drained_rejects(spark: SparkSession, root: str) -> DataFrame:
+    return _branch(spark, root, R.REJECT_BRANCH).select(*R.REJECT_COLUMNS, "ingested_at", "batch_id")
+
+
 def backlog(spark: SparkSession, queue: str, root: str) -> DataFrame:
     """How many messages are still on the queue: one row ``(files, messages)``."""
     waiting = spark.read.text(queue).select(F.col("_metadata.file_path").alias("file"))
