@@ -18,8 +18,8 @@ BLOCK, LINK_OPEN, LINK_CLOSE = "\x02", "\x03", "\x04"
 
 # Patterns of the markup.
 INVISIBLE = (
-    r"(?is)<(?:script\b[^>]*>.*?(?:</script[^>]*>|\z)"
-    r"|style\b[^>]*>.*?(?:</style[^>]*>|\z)"
+    r"(?s)<(?:(?i:script)\b[^>]*>.*?(?:</(?i:script)[^>]*>|\z)"
+    r"|(?i:style)\b[^>]*>.*?(?:</(?i:style)[^>]*>|\z)"
     r"|!--.*?(?:-->|\z))"
 )
 TITLE = r"(?is)<title\b[^>]*>([^<]*)"
@@ -38,6 +38,8 @@ INLINE = (
 
 # Scripts written without blanks, where each character counts as a word.
 UNSPACED = "[぀-ヿ㐀-䶿一-鿿豈-﫿]"
+# One range around them, which is quicker to look for.
+MAYBE_UNSPACED = "[぀-﫿]"
 
 
 def replace_each(text: Column, found: tuple[str, ...], by: str) -> Column:
@@ -46,7 +48,8 @@ def replace_each(text: Column, found: tuple[str, ...], by: str) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of blanks to one space."""
-    return F.regexp_replace(replace_each(text, BLANKS, " "), "  +", " ")
+    spaces = replace_each(text, BLANKS, " ")
+    return F.when(spaces.contains("  "), F.regexp_replace(spaces, "  +", " ")).otherwise(spaces)
 
 
 # ---------------------------------------------------------------- entities
@@ -77,12 +80,14 @@ def decode_entities(text: Column) -> Column:
 
     def decoded(piece: Column, index: Column) -> Column:
         part, name = piece["part"], piece["name"]
+        number = F.when(
+            F.substring(name, 2, 1).isin("x", "X"),
+            F.conv(F.substr(name, F.lit(3)), 16, 10).cast("bigint"),
+        ).otherwise(F.substr(name, F.lit(2)).cast("bigint"))
+        # The most frequent one first: looking up a map constant is a linear search.
         char = (
-            F.when(
-                name.rlike("^#[xX]"),
-                _code_point(F.conv(F.substr(name, F.lit(3)), 16, 10).cast("bigint")),
-            )
-            .when(name.startswith("#"), _code_point(F.substr(name, F.lit(2)).cast("bigint")))
+            F.when(name == "amp", "&")
+            .when(name.startswith("#"), _code_point(number))
             .otherwise(F.try_element_at(names, name))
         )
         return (
@@ -106,7 +111,7 @@ def decode_entities(text: Column) -> Column:
 def visible_markup(html: Column) -> Column:
     """The page without scripts, styles and comments, and without the marker characters."""
     return replace_each(
-        F.regexp_replace(html, INVISIBLE, " "), (BLOCK, LINK_OPEN, LINK_CLOSE), " "
+        F.regexp_replace(html, INVISIBLE, ""), (BLOCK, LINK_OPEN, LINK_CLOSE), " "
     )
 
 
@@ -160,18 +165,22 @@ def close_links_per_block(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, LINK_OPEN), segment), LINK_OPEN)
 
 
-def count_words(text: Column) -> Column:
+def has_unspaced(text: Column) -> Column:
+    """May the text hold a script written without blanks?  Asked once per page, so
+    that other pages are counted without a pattern."""
+    return (F.octet_length(text) > F.length(text)) & text.rlike(MAYBE_UNSPACED)
+
+
+def count_words(text: Column, unspaced: Column) -> Column:
     """Words of a trimmed text with single spaces."""
-    spaced = F.when(
-        F.octet_length(text) >= F.length(text) + 2,
-        F.trim(F.regexp_replace(F.regexp_replace(text, UNSPACED, " $0 "), "  +", " ")),
-    ).otherwise(text)
 
     def count(words: Column) -> Column:
-        blanks = F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit("")))
-        return F.when(words == "", 0).otherwise(blanks + 1)
+        without = F.octet_length(F.replace(words, F.lit(" "), F.lit("")))
+        return F.when(words == "", 0).otherwise(F.octet_length(words) - without + 1)
 
-    return F.get(F.transform(F.array(spaced), count), F.lit(0))
+    apart = F.trim(F.regexp_replace(F.regexp_replace(text, UNSPACED, " $0 "), "  +", " "))
+    counted_apart = F.get(F.transform(F.array(apart), count), F.lit(0))
+    return F.when(unspaced, counted_apart).otherwise(count(text))
 
 
 def _link_text(raw: Column) -> Column:
@@ -184,8 +193,11 @@ def _link_text(raw: Column) -> Column:
     return F.array_join(F.filter(inside, lambda t: t != ""), " ")
 
 
-def cut_blocks(text: Column) -> Column:
-    """``ARRAY<STRUCT<text, words, link_words>>`` of the non-empty blocks, in order."""
+def cut_blocks(text: Column, unspaced: Column) -> Column:
+    """``ARRAY<STRUCT<text, words, link_words>>`` of the non-empty blocks, in order.
+
+    ``unspaced`` is the column :func:`has_unspaced` of the page.
+    """
 
     def cleaned(raw: Column) -> Column:
         plain = F.trim(replace_each(raw, (LINK_OPEN, LINK_CLOSE), ""))
@@ -195,8 +207,10 @@ def cut_blocks(text: Column) -> Column:
     def counted(block: Column) -> Column:
         return F.struct(
             block["text"].alias("text"),
-            count_words(block["text"]).alias("words"),
-            count_words(block["links"]).alias("link_words"),
+            count_words(block["text"], unspaced).alias("words"),
+            F.when(block["links"] == "", 0)
+            .otherwise(count_words(block["links"], unspaced))
+            .alias("link_words"),
         )
 
     blocks = F.transform(F.split(text, BLOCK), cleaned)

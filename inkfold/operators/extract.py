@@ -67,8 +67,9 @@ def page_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     blocks = (
         marked.withColumn("title", F.trim(H.squeeze(H.decode_entities(F.col("_title")))))
         .withColumn("_text", H.close_links_per_block(H.squeeze(H.decode_entities(F.col("_text")))))
-        .withColumn("blocks", H.cut_blocks(F.col("_text")))
-        .drop("_title", "_text")
+        .withColumn("_unspaced", H.has_unspaced(F.col("_text")))
+        .withColumn("blocks", H.cut_blocks(F.col("_text"), F.col("_unspaced")))
+        .drop("_title", "_text", "_unspaced")
     )
     return compute_once(blocks, "title", "blocks")
 
@@ -116,7 +117,7 @@ PARAGRAPH_END = (
     r"|fieldset|figcaption|figure|footer|form|h[1-6]|header|hgroup|hr|html|li|main|menu|nav|ol|p"
     r"|pre|search|section|table|tbody|td|tfoot|th|thead|tr|ul)(?:[ \t\r\n\f/][^>]*)?>"
 )
-_CUT, _TARGET, _OPEN, _CLOSE = "\x05", "\x02", "\x03", "\x04"
+_CUT = "\x05"
 
 
 def _tag(name: str) -> str:
@@ -130,19 +131,25 @@ def _inside_containers(markup: Column, container: str, css_class: str | None) ->
     pieces keeps the depth.  Its work grows with the square of the number of such
     tags in one page only through the copying of an array of references.
     """
-    if css_class is None:
-        target = _tag(container)
-    else:
-        # The whole attribute must equal the class, as in @class="...".
-        value = F.regexp_replace(F.lit(css_class), r"([^A-Za-z0-9 ])", r"\\$1")
-        target = F.concat(
-            F.lit(rf"<(?i:{container})(?:[ \t\r\n\f][^>]*)?[ \t\r\n\f](?i:class)\s*=\s*(?:\""),
-            value, F.lit(r"\"|'"), value, F.lit(r"')[^>]*>"),
+    own_tag = rf"(</?(?i:{container})(?:[ \t\r\n\f/][^>]*)?>)"
+    pieces = F.split(F.regexp_replace(markup, own_tag, _CUT + "$1"), _CUT)
+
+    def described(piece: Column, index: Column) -> Column:
+        closes = piece.startswith("</")
+        opening = F.substring_index(piece, ">", 1)
+        if css_class is None:
+            matches = F.lit(True)
+        else:
+            # The whole attribute must equal the class, as in @class="...".
+            value = r"(?is)[ \t\r\n\f]class\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+            matches = F.lit(css_class).isin(
+                F.regexp_extract(opening, value, 1), F.regexp_extract(opening, value, 2)
+            )
+        return F.struct(
+            F.when(index == 0, 0).when(closes, -1).otherwise(1).alias("step"),
+            ((index > 0) & ~closes & matches).alias("target"),
+            F.when(index == 0, piece).otherwise(F.substr(piece, F.length(opening) + 2)).alias("rest"),
         )
-    close = rf"</(?i:{container})(?:[ \t\r\n\f/][^>]*)?>"
-    text = F.regexp_replace(markup, target, _CUT + _TARGET)
-    text = F.regexp_replace(text, _tag(container), _CUT + _OPEN)
-    text = F.regexp_replace(text, close, _CUT + _CLOSE)
 
     start = F.struct(
         F.lit(0).alias("depth"),
@@ -150,26 +157,24 @@ def _inside_containers(markup: Column, container: str, css_class: str | None) ->
         F.array().cast("array<string>").alias("parts"),
     )
 
-    def step(state: Column, piece: Column) -> Column:
-        opens = piece.startswith(_TARGET) | piece.startswith(_OPEN)
-        depth = (
-            F.when(opens, state["depth"] + 1)
-            .when(piece.startswith(_CLOSE), F.greatest(state["depth"] - 1, F.lit(0)))
-            .otherwise(state["depth"])
-        )
+    def walk(state: Column, piece: Column) -> Column:
+        depth = F.greatest(state["depth"] + piece["step"], F.lit(0))
         entered = (
-            F.when((state["entered"] == 0) & piece.startswith(_TARGET), depth)
+            F.when((state["entered"] == 0) & piece["target"], depth)
             .when(depth < state["entered"], F.lit(0))
             .otherwise(state["entered"])
         )
         parts = F.when(
-            entered > 0, F.concat(state["parts"], F.array(F.substr(piece, F.lit(2))))
+            entered > 0, F.concat(state["parts"], F.array(piece["rest"]))
         ).otherwise(state["parts"])
         return F.struct(depth.alias("depth"), entered.alias("entered"), parts.alias("parts"))
 
-    folded = F.aggregate(F.split(text, _CUT), start, step)
+    folded = F.aggregate(F.transform(pieces, described), start, walk)
     # A container border ends any open paragraph, so a block tag takes its place.
-    return F.array_join(folded["parts"], "<div>")
+    region = F.array_join(folded["parts"], "<div>")
+    if css_class is None:
+        return region
+    return F.when(markup.contains(css_class), region).otherwise("")
 
 
 def select_texts(
@@ -196,7 +201,7 @@ def select_articles(
 
     ``title`` and ``content`` are (container tag, its class or None, inner tag).
     """
-    markup = F.regexp_replace(html, H.INVISIBLE, "<!>")
+    markup = F.replace(F.regexp_replace(html, H.INVISIBLE, "<!>"), F.lit(_CUT), F.lit(" "))
     found = (
         pages.withColumn("_markup", markup)
         .drop(html)

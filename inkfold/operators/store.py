@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+#: Partitions of the article store.
+BUCKETS = 64
 
 
 def stamp(df: DataFrame) -> DataFrame:
@@ -11,22 +14,36 @@ def stamp(df: DataFrame) -> DataFrame:
     return df.withColumn("ingested_at", F.current_timestamp().cast("timestamp_ntz"))
 
 
-def append_articles(articles: DataFrame, path: str) -> None:
-    """Append to the collections; each is a partition, made on demand.
+def bucket_of(collection: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(collection), F.lit(buckets)).cast("int")
+
+
+def append_articles(articles: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Append to the collections; a collection comes to be with its first article.
 
-    Rebalancing by collection splits a collection that holds much of the data over
-    several tasks and puts small ones together, so that the number of files follows
-    the data and no task gets an oversized share.
+    There may be many thousand collections, most of them small, so they share a
+    fixed number of partitions.  Rebalancing splits a partition that holds much of
+    the data over several tasks and joins small ones: the number of files follows
+    the data, and no task gets an oversized share.  Rows are sorted by collection,
+    so a reader of one opens its partition and skips by the ranges in the footers.
     """
     (
         stamp(articles)
-        .hint("rebalance", "collection")
+        .withColumn("bucket", bucket_of(F.col("collection"), buckets))
+        .hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "collection")
         .write.mode("append")
-        .partitionBy("collection")
+        .partitionBy("bucket")
         .parquet(path)
     )
 
 
+def read_collection(table: DataFrame, collection: str, buckets: int = BUCKETS) -> DataFrame:
+    """One collection of the stored articles, reading its partition only."""
+    name = F.lit(collection)
+    return table.filter((F.col("bucket") == bucket_of(name, buckets)) & (F.col("collection") == name))
+
+
 def append_rows(rows: DataFrame, path: str) -> None:
     stamp(rows).write.mode("append").parquet(path)
 
@@ -42,14 +59,14 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
 def collection_exists(spark: SparkSession, path: str, collection: str | None = None) -> bool:
     """Is there a store and, if named, the collection in it?
 
-    The filter prunes partitions, and one row is enough to answer.
+    One partition is looked at, and one row is enough to answer.
     """
     table = stored(spark, path)
     if table is None:
         return False
     if collection is None:
         return True
-    return not table.filter(F.col("collection") == collection).limit(1).isEmpty()
+    return not read_collection(table, collection).isEmpty()
 
 
 def mark_existing(names: DataFrame, table: DataFrame) -> DataFrame:

@@ -29,13 +29,16 @@ def collect_news(feeds: DataFrame, pages: DataFrame) -> DailyNews:
     lists = S.flatten_feeds(parsed)
     articles = extract_articles(pages.select("url", "html"))
     results = enrich.attach_companies(lists, articles, job=S.LIST_KEY)
-    routed = routing.route_results(results)
+    # What is rejected depends on URLs and companies only, so no page text is read for it.
+    no_text = F.lit(None).cast("string")
+    bare = pages.select("url", no_text.alias("title"), no_text.alias("content"))
+    refused = routing.route_results(enrich.attach_companies(lists, bare, job=S.LIST_KEY))
     rejects = routing.union_rejects(
         S.feed_rejects(parsed),
         enrich.unlisted_pages(lists, pages),
-        routing.message_rejects(routed),
+        routing.message_rejects(refused),
     )
-    return DailyNews(routed, S.daily_log(parsed), rejects)
+    return DailyNews(routing.route_results(results), S.daily_log(parsed), rejects)
 
 
 def collected_messages(feeds: DataFrame, pages: DataFrame) -> DataFrame:

@@ -183,7 +183,7 @@ def _words(text: str) -> str:
 _BLOCKS = rf"""
 markup AS (
   SELECT page_id, url, regexp_replace(
-    regexp_replace(html, {_text(H.INVISIBLE)}, ' ', 'g'), '[\x02-\x04]', ' ', 'g') AS m
+    regexp_replace(html, {_text(H.INVISIBLE)}, '', 'g'), '[\x02-\x04]', ' ', 'g') AS m
   FROM pages
 ),
 marked AS (

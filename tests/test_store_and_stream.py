@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from inkfold.session import shared_dir
 from inkfold.sources import derived
 from inkfold.sources.tables import table
 from inkfold.streaming import drain as D
-from tests.helpers import rows
+from tests.helpers import plan, rows
 
 DATA = "/root/testdata/sf0.001"
 
@@ -116,13 +117,25 @@ def test_a_large_collection_is_written_by_several_tasks(spark, tmp_path):
     finally:
         spark.conf.set(key, old)
 
-    def files(name):
-        return [f for f in os.listdir(f"{path}/collection={name}") if f.endswith(".parquet")]
+    def files(bucket):
+        return [f for f in os.listdir(f"{path}/{bucket}") if f.endswith(".parquet")]
 
-    assert len(files("hot")) > 1
-    # Every other collection has few files, whatever the number of tasks.
-    assert all(len(files(f"c{i}")) <= 3 for i in range(40))
-    assert spark.read.parquet(path).count() == 40_000
+    stored = spark.read.parquet(path)
+    hot = store.read_collection(stored, "hot")
+    assert hot.count() == rows_.filter("collection = 'hot'").count()
+    hot_bucket = hot.select("bucket").first().bucket
+    assert len(files(f"bucket={hot_bucket}")) > 1
+    others = [d for d in os.listdir(path) if d.startswith("bucket=") and d != f"bucket={hot_bucket}"]
+    assert others and all(len(files(d)) <= len(files(f"bucket={hot_bucket}")) for d in others)
+    assert stored.count() == 40_000
+
+
+def test_reading_a_collection_prunes_partitions(spark, tmp_path):
+    path = str(tmp_path / "articles")
+    store.append_articles(spark.createDataFrame([("a",), ("b",)], "collection string"), path)
+    text = plan(store.read_collection(store.stored(spark, path), "a"))
+    assert re.search(r"PartitionFilters: \[.*bucket#\d+ = \d+", text)
+    assert "EqualTo(collection,a)" in text
 
 
 def test_companies_with_odd_names_round_trip(spark, tmp_path):
