@@ -191,11 +191,16 @@ def select_texts(
     return F.transform(F.filter(nodes, lambda n: n != ""), H.decode_entities)
 
 
+# Where the articles of the collected site are.
+TITLE_PLACE = ("div", "titmain", "h1")
+CONTENT_PLACE = ("div", "texttit_m1", "p")
+
+
 def select_articles(
     pages: DataFrame,
     html: str = "html",
-    title: tuple[str, str | None, str] = ("div", "titmain", "h1"),
-    content: tuple[str, str | None, str] = ("div", "texttit_m1", "p"),
+    title: tuple[str, str | None, str] = TITLE_PLACE,
+    content: tuple[str, str | None, str] = CONTENT_PLACE,
 ) -> DataFrame:
     """Replace the HTML column by ``title`` and ``content`` as lists of text nodes.
 

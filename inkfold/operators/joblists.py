@@ -88,31 +88,26 @@ def number_jobs(logs: DataFrame, first: int = 0) -> DataFrame:
     blocks = logs.withColumn("block", F.floor(F.col("part") / _PARTS_PER_BLOCK))
     per_block = blocks.groupBy("date", "block").agg(F.count("*").alias("jobs"))
     per_day = per_block.groupBy("date").agg(F.sum("jobs").alias("jobs"))
-    before = (Window.unboundedPreceding, -1)
+
+    def jobs_before(window) -> Column:
+        earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("jobs").over(earlier), F.lit(0))
+
     # One row per calendar day: small whatever the number of lists.
-    day_start = per_day.select(
-        "date",
-        F.coalesce(
-            F.sum("jobs").over(Window.orderBy("date").rowsBetween(*before)), F.lit(0)
-        ).alias("day_start"),
-    )
-    block_start = per_block.select(
-        "date",
-        "block",
-        F.coalesce(
-            F.sum("jobs").over(
-                Window.partitionBy("date").orderBy("block").rowsBetween(*before)
-            ),
-            F.lit(0),
-        ).alias("block_start"),
+    day_start = per_day.select("date", jobs_before(Window.orderBy("date")).alias("day_start"))
+    in_day = jobs_before(Window.partitionBy("date").orderBy("block"))
+    starts = (
+        per_block.select("date", "block", in_day.alias("in_day"))
+        .join(day_start, "date")
+        .select("date", "block", (F.col("day_start") + F.col("in_day")).alias("block_start"))
     )
     in_block = F.row_number().over(Window.partitionBy("date", "block").orderBy("part")) - 1
+    # The join key is the window's: the lists are shuffled once, in groups of a block.
     return (
         blocks.withColumn("in_block", in_block)
-        .join(block_start, ["date", "block"])
-        .join(day_start, "date")
-        .withColumn("index", F.lit(first) + F.col("day_start") + F.col("block_start") + F.col("in_block"))
-        .drop("block", "in_block", "block_start", "day_start")
+        .join(starts, ["date", "block"])
+        .withColumn("index", F.lit(first) + F.col("block_start") + F.col("in_block"))
+        .drop("block", "in_block", "block_start")
     )
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkfold.functions.json_text import to_json_text
 
 
+# What a client gets instead of dates.
+NO_DATABASE = "database: {} is not existed"
+NO_LOG = "No This Collection: LogInfo"
+
+
 def latest_results(results: DataFrame) -> DataFrame:
     """The newest value per key of ``(key, seq, value)``.
 
@@ -15,16 +20,18 @@ def latest_results(results: DataFrame) -> DataFrame:
     return results.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
 
 
-def next_dates_result(answer: DataFrame | None, seq: int, database: str, spark) -> DataFrame:
+def next_dates_result(
+    answer: DataFrame | None, seq: int, database: str, spark: SparkSession
+) -> DataFrame:
     """The answer to ``nextDate`` as a row ``(key, seq, value)``.
 
     Without a database or a log the value holds the message the client gets.
     """
     head = [F.lit("nextDate").alias("key"), F.lit(seq).cast("bigint").alias("seq")]
     if answer is None:
-        text = f"database: {database} is not existed"
-        value = F.struct(F.lit("no_database").alias("status"), F.lit(text).alias("message"))
+        text = F.lit(NO_DATABASE.format(database))
+        value = F.struct(F.lit("no_database").alias("status"), text.alias("message"))
         return spark.range(1).select(*head, to_json_text(value).alias("value"))
-    message = F.when(F.col("status") == "no_collection", F.lit("No This Collection: LogInfo"))
+    message = F.when(F.col("status") == "no_collection", F.lit(NO_LOG))
     row = F.struct(*answer.columns, message.alias("message"))
     return answer.select(*head, to_json_text(row).alias("value"))

@@ -381,10 +381,8 @@ def stream_next_dates(spark, folder):
 def stream_backlog(spark, folder):
     """Messages on the queue before and after a drain."""
     queue, root, checkpoint = _queued(spark, folder)
-    # Before the drain there is no record of drained files, so it is settled now.
-    before = spark.createDataFrame(
-        D.backlog(spark, queue, root).collect(), "files long, messages long"
-    )
+    # Settled before the drain changes what it counts.
+    before = _landed(spark, D.backlog(spark, queue, root), "backlog")
     D.drain(spark, queue, root, checkpoint)
     after = D.backlog(spark, queue, root)
     return (

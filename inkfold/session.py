@@ -24,6 +24,10 @@ SETTINGS = {
     "spark.sql.parquet.columnarReaderBatchSize": "512",
 }
 
+#: Only when a session is built: plans are long, and recording the Python line of
+#: every column makes them slow to write down.
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Set the run-time settings on a session somebody else has built."""

@@ -1,13 +1,13 @@
 import pytest
 from pyspark.sql import SparkSession
 
-from inkfold.session import SETTINGS
+from inkfold.session import SETTINGS, STATIC_SETTINGS
 
 
 @pytest.fixture(scope="session")
 def spark():
     builder = SparkSession.builder.master("local[8]").appName("tests")
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | STATIC_SETTINGS).items():
         builder = builder.config(key, value)
     session = (
         builder.config("spark.sql.shuffle.partitions", "8")
