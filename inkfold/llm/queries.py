@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkfold.llm import sentence_pieces
+from inkfold.llm import sentence_pieces, token_counts
 from inkfold.sources.tables import table
 
 PIECES = "piece_bpe_32k.model"
+BYTE_PAIRS = "byte_bpe_50k.json"
+TOKEN_LIMIT = 512
 
 
 def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,8 +21,16 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_pieces.encode_summary(documents, public_tokenizers.path(PIECES), keep=["doc_id"])
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it is over the limit."""
+    documents = table(spark, folder, "documents")
+    counted = token_counts.count_tokens(documents, public_tokenizers.path(BYTE_PAIRS), keep=["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op6_token_counts": op6_token_counts,
 }
 
 #: SQL for DuckDB, where SQL can say it.

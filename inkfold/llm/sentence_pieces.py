@@ -24,7 +24,8 @@ from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 from inkfold.llm.mapping import map_texts
 
@@ -132,8 +133,8 @@ class Normalizer:
             at += size
         if self.trim:
             while out.endswith(space):
-                del out[-len(space) :], origin[len(out) - len(space) :]
-                at = origin[len(out)] if len(origin) > len(out) else at
+                del out[-len(space) :]
+                at = origin[len(out)]
                 del origin[len(out) :]
         if self.dummy and self.suffix:
             put(space, at)
@@ -293,11 +294,8 @@ def encode(df: DataFrame, model_file: str, text: str = "text", keep: list[str] |
 
 def decode(df: DataFrame, model_file: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Column `decoded`: the text of a column of ids (null and empty: an empty text)."""
-    from pyspark.sql import functions as F
-    import pandas as pd
-
     @F.pandas_udf("string")
-    def text_of(columns: "pd.Series") -> "pd.Series":
+    def text_of(columns: pd.Series) -> pd.Series:
         codec = _codec(model_file)
         return pd.Series(codec.decode([np.asarray([] if v is None else v, np.int32) for v in columns]))
 
