@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkfold.llm import sentence_pieces, token_counts
+from inkfold.llm import repetition, sentence_pieces, token_counts, toxicity
 from inkfold.sources.tables import table
 
 PIECES = "piece_bpe_32k.model"
@@ -28,9 +28,34 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Score every document; learn from the labels of four fifths of the ids."""
+    documents = table(spark, folder, "documents")
+    held_out = _remainder(5) == 0
+    model = toxicity.train(documents, table(spark, folder, "labels"), ~held_out)
+    scored = toxicity.score(documents, model, keep=["doc_id"])
+    worst = F.array_max(F.transform("toxic_sentences", lambda s: F.struct(s["score"], s["start"], s["end"])))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted",
+        F.size("toxic_sentences").alias("n_toxic_sentences"), worst["start"].alias("worst_start"), worst["end"].alias("worst_end"),
+    )
+
+
+def op10_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality measures and verdict of every document."""
+    return repetition.quality(table(spark, folder, "documents"), keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op6_token_counts": op6_token_counts,
+    "op9_toxicity": op9_toxicity,
+    "op10_repetition": op10_repetition,
 }
 
 #: SQL for DuckDB, where SQL can say it.
