@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkfold.llm import repetition, sentence_pieces, token_counts, toxicity
+from inkfold.llm import language, repetition, sentence_pieces, token_counts, toxicity
 from inkfold.sources.tables import table
 
 PIECES = "piece_bpe_32k.model"
@@ -15,12 +15,26 @@ BYTE_PAIRS = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Encode every document and decode it again."""
     documents = table(spark, folder, "documents")
     return sentence_pieces.encode_summary(documents, public_tokenizers.path(PIECES), keep=["doc_id"])
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document; learn from two thirds of the ids."""
+    documents = table(spark, folder, "documents")
+    held_out = _remainder(3) == 1
+    model = language.train(documents, ~held_out)
+    found = language.predict(documents, model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it is over the limit."""
     documents = table(spark, folder, "documents")
@@ -28,11 +42,6 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-def _remainder(n: int) -> Column:
-    """crc32 of the id as text, modulo n."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
-
-
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Score every document; learn from the labels of four fifths of the ids."""
     documents = table(spark, folder, "documents")
@@ -53,6 +62,7 @@ def op10_repetition(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_language": op2_language,
     "op6_token_counts": op6_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_repetition": op10_repetition,
