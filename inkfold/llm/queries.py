@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkfold.llm import language, repetition, sentence_pieces, token_counts, toxicity
+from inkfold.llm import language, main_text, near_vectors, repetition, sentence_pieces, token_counts, toxicity
 from inkfold.sources.tables import table
 
 PIECES = "piece_bpe_32k.model"
@@ -35,6 +35,16 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text.main_texts(table(spark, folder, "pages"), keep=["page_id", "url"])
+
+
+def op5_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of the vectors with equal labels and a cosine of 0.98 or more."""
+    return near_vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it is over the limit."""
     documents = table(spark, folder, "documents")
@@ -63,6 +73,8 @@ def op10_repetition(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language": op2_language,
+    "op4_main_text": op4_main_text,
+    "op5_near_vectors": op5_near_vectors,
     "op6_token_counts": op6_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_repetition": op10_repetition,
