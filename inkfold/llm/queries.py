@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkfold.llm import language, main_text, near_vectors, repetition, sentence_pieces, token_counts, toxicity
+from inkfold.llm import language, main_text, near_vectors, private_data, repetition, sentence_pieces, token_counts, toxicity
 from inkfold.sources.tables import table
 
 PIECES = "piece_bpe_32k.model"
@@ -52,6 +52,12 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    found = private_data.find(table(spark, folder, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Score every document; learn from the labels of four fifths of the ids."""
     documents = table(spark, folder, "documents")
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_main_text": op4_main_text,
     "op5_near_vectors": op5_near_vectors,
     "op6_token_counts": op6_token_counts,
+    "op8_private_data": op8_private_data,
     "op9_toxicity": op9_toxicity,
     "op10_repetition": op10_repetition,
 }
