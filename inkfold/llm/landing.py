@@ -17,6 +17,8 @@ class Landing:
     def land(self, df: DataFrame) -> DataFrame:
         path = shared_dir(self.spark, self.purpose)
         df.write.parquet(path)
+        # Spark deletes the shuffle files of a plan once the driver has let go of it.
+        self.spark.sparkContext._jvm.System.gc()
         # The schema is known: no job to find it out, also for a table without rows.
         table = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(table)] = path

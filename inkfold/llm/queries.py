@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkfold.llm import language, main_text, near_vectors, private_data, repetition, sentence_pieces, token_counts, toxicity
+from inkfold.llm import language, main_text, near_vectors, private_data, repetition, sentence_pieces, similar_texts, token_counts, toxicity
 from inkfold.sources.tables import table
 
 PIECES = "piece_bpe_32k.model"
@@ -35,6 +35,12 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of the documents whose sets of four-word shingles are 85 percent alike."""
+    how = similar_texts.Join(words=4, percent=85)
+    return similar_texts.similar_texts(table(spark, folder, "documents"), how)
+
+
 def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
     return main_text.main_texts(table(spark, folder, "pages"), keep=["page_id", "url"])
@@ -79,6 +85,7 @@ def op10_repetition(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language": op2_language,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_main_text": op4_main_text,
     "op5_near_vectors": op5_near_vectors,
     "op6_token_counts": op6_token_counts,
