@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkfold.llm import language, main_text, near_vectors, private_data, repetition, sentence_pieces, similar_texts, token_counts, toxicity
+from inkfold.llm import language, main_text, mixing, near_vectors, private_data, repetition, sentence_pieces, similar_texts, token_counts, toxicity
 from inkfold.sources.tables import table
 
 PIECES = "piece_bpe_32k.model"
@@ -15,7 +15,7 @@ BYTE_PAIRS = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 
 
-def _remainder(n: int) -> Column:
+def remainder(n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
@@ -29,7 +29,7 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document; learn from two thirds of the ids."""
     documents = table(spark, folder, "documents")
-    held_out = _remainder(3) == 1
+    held_out = remainder(3) == 1
     model = language.train(documents, ~held_out)
     found = language.predict(documents, model, keep=["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
@@ -58,6 +58,12 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Which documents the mixture takes, and in how many passes over their source."""
+    taken = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return taken.select("doc_id", "source", "pass_number")
+
+
 def op8_private_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document."""
     found = private_data.find(table(spark, folder, "documents"), keep=["doc_id"])
@@ -67,7 +73,7 @@ def op8_private_data(spark: SparkSession, folder: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Score every document; learn from the labels of four fifths of the ids."""
     documents = table(spark, folder, "documents")
-    held_out = _remainder(5) == 0
+    held_out = remainder(5) == 0
     model = toxicity.train(documents, table(spark, folder, "labels"), ~held_out)
     scored = toxicity.score(documents, model, keep=["doc_id"])
     worst = F.array_max(F.transform("toxic_sentences", lambda s: F.struct(s["score"], s["start"], s["end"])))
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_main_text": op4_main_text,
     "op5_near_vectors": op5_near_vectors,
     "op6_token_counts": op6_token_counts,
+    "op7_mixing": op7_mixing,
     "op8_private_data": op8_private_data,
     "op9_toxicity": op9_toxicity,
     "op10_repetition": op10_repetition,

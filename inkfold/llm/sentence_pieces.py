@@ -34,7 +34,7 @@ SPACE = "▁"
 #: of texts come on top.
 STORED_PARTS = 300_000
 
-ENCODED = "ids array<int>, starts array<int>, ends array<int>, decoded string"
+ENCODED = {"ids": "array<int>", "starts": "array<int>", "ends": "array<int>", "decoded": "string"}
 
 
 class CharacterMap:
@@ -276,20 +276,23 @@ def _lists(arrays: list[np.ndarray]):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False)))
 
 
-def encode(df: DataFrame, model_file: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (default all), ids, starts and ends of the pieces (bytes of the source,
-    end exclusive) and the text that the ids decode to."""
+def encode(
+    df: DataFrame, model_file: str, text: str = "text", keep: list[str] | None = None, columns: tuple[str, ...] = tuple(ENCODED)
+) -> DataFrame:
+    """Columns `keep` (default all) and of these the named ones: ids, starts and ends of the
+    pieces (bytes of the source, end exclusive), and the text that the ids decode to."""
 
     def make():
         codec = Codec(model_file)
 
         def call(texts: list[bytes]) -> dict:
             ids, starts, ends = zip(*codec.encode(texts), strict=True)
-            return {"ids": _lists(ids), "starts": _lists(starts), "ends": _lists(ends), "decoded": codec.decode(list(ids))}
+            lists = {"ids": ids, "starts": starts, "ends": ends}
+            return {c: codec.decode(list(ids)) if c == "decoded" else _lists(lists[c]) for c in columns}
 
         return call
 
-    return map_texts(df, make, ENCODED, text, keep)
+    return map_texts(df, make, ", ".join(f"{c} {ENCODED[c]}" for c in columns), text, keep)
 
 
 def decode(df: DataFrame, model_file: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
