@@ -98,7 +98,35 @@ def _common(df: DataFrame, text: str, how: Join) -> np.ndarray:
     return np.array([r["counter"] for r in top.collect()][::-1], np.int64)
 
 
-SIGNED = "n long, sum long, mix long, prefix array<long>, bits binary"
+SIGNED = "n long, sum long, mix long, prefix array<long>, bits binary, wide binary"
+
+
+def _wide_bitmaps(found: np.ndarray, owner: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """A bitmap of each set that grows with it: a power of two, twice its size at least."""
+    bits = np.maximum(256, 1 << np.ceil(np.log2(np.maximum(1, 2 * n))).astype(np.int64))
+    base = np.concatenate((np.zeros(1, np.int64), np.cumsum(bits)))
+    table = np.zeros(base[-1], bool)
+    table[base[owner] + (found.view(np.int64) & (bits[owner] - 1))] = True
+    packed = np.packbits(table).tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(base[:-1], base[1:], strict=True)]
+
+
+def _apart(one: list[bytes], other: list[bytes]) -> np.ndarray:
+    """Of each pair of wide bitmaps, how many bits differ: no more than shingles do."""
+    out = np.zeros(len(one), np.int64)
+    sizes = np.array([(len(a), len(b)) for a, b in zip(one, other, strict=True)], np.int64).reshape(-1, 2)
+    for x, y in np.unique(sizes, axis=0):
+        rows = np.flatnonzero((sizes[:, 0] == x) & (sizes[:, 1] == y))
+        for at in range(0, len(rows), max(1, (1 << 22) // int(x))):
+            part = rows[at : at + max(1, (1 << 22) // int(x))]
+            a = np.frombuffer(b"".join(one[i] for i in part), np.uint8).reshape(len(part), x)
+            b = np.frombuffer(b"".join(other[i] for i in part), np.uint8).reshape(len(part), y)
+            while a.shape[1] > b.shape[1]:
+                a = a[:, : a.shape[1] // 2] | a[:, a.shape[1] // 2 :]
+            while b.shape[1] > a.shape[1]:
+                b = b[:, : b.shape[1] // 2] | b[:, b.shape[1] // 2 :]
+            out[part] = _COUNT(a ^ b).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _signatures(df: DataFrame, id_col: str, text: str, how: Join, common: np.ndarray) -> DataFrame:
@@ -127,7 +155,7 @@ def _signatures(df: DataFrame, id_col: str, text: str, how: Join, common: np.nda
             inside = np.arange(len(found)) - first[owner] < length[owner]
             offsets = np.concatenate((np.zeros(1, np.int32), np.cumsum(length))).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[order][inside].view(np.int64)))
-            return {"n": n, "sum": total.view(np.int64), "mix": other.view(np.int64), "prefix": prefix, "bits": [b.tobytes() for b in packed]}
+            return {"n": n, "sum": total.view(np.int64), "mix": other.view(np.int64), "prefix": prefix, "bits": [b.tobytes() for b in packed], "wide": _wide_bitmaps(found, owner, n)}
 
         return call
 
@@ -184,9 +212,9 @@ _COUNT = np.bitwise_count
 
 def _possible(pairs: DataFrame, members: DataFrame, how: Join) -> DataFrame:
     """The pairs (u, v) that sizes and bitmaps do not rule out."""
-    info = members.select("id", "n", "bits")
-    joined = pairs.join(info.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu")), "u")
-    joined = joined.join(info.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv")), "v")
+    info = members.select("id", "n", "wide")
+    joined = pairs.join(info.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("wide").alias("bu")), "u")
+    joined = joined.join(info.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("wide").alias("bv")), "v")
     joined = joined.filter(_similar(F.least("nu", "nv"), F.col("nu"), F.col("nv"), how.percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +222,7 @@ def _possible(pairs: DataFrame, members: DataFrame, how: Join) -> DataFrame:
             if not batch.num_rows:
                 continue
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            apart = _COUNT(_bitmaps(batch.column(4)) ^ _bitmaps(batch.column(5))).sum(axis=1, dtype=np.int64)
+            apart = _apart(batch.column(4).to_pylist(), batch.column(5).to_pylist())
             both = (n - apart) // 2
             keep = pa.array(100 * both >= how.percent * (n - both))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
@@ -352,7 +380,7 @@ def similar_texts(df: DataFrame, how: Join = Join(), id_col: str = "doc_id", tex
     shared = landing.land(postings.join(hubs.select("token", "hub"), "token").distinct())
     landing.drop(postings)
     asked = shared.select("id").distinct()
-    bitmaps = landing.land(signed.select("id", "n", "bits").join(asked, "id", "left_semi").dropDuplicates(["id", "n", "bits"]))
+    bitmaps = landing.land(signed.select("id", "n", "bits", "wide").join(asked, "id", "left_semi").dropDuplicates(["id", "n", "bits"]))
     pairs = shared.filter(F.col("id") != F.col("hub")).select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
     first = landing.land(_possible(pairs, bitmaps, how))
     ends = first.select(F.col("u").alias("id")).unionByName(first.select(F.col("v").alias("id"))).distinct()
@@ -360,12 +388,14 @@ def similar_texts(df: DataFrame, how: Join = Join(), id_col: str = "doc_id", tex
     links = landing.land(_verified(first, sets, how))
     parts = landing.land(connected_components(links, landing))
     landing.drop(sets, first)
-    more = landing.land(_left_over(shared, parts, bitmaps, how, landing))
+    # Bitmaps of one size fill up with long texts; those that grow with the text do not.
+    left = landing.land(_left_over(shared, parts, bitmaps, how, landing))
+    more = landing.land(_possible(left, bitmaps, how))
     ends = more.select(F.col("u").alias("id")).unionByName(more.select(F.col("v").alias("id"))).distinct()
     sets = landing.land(_sets(df, id_col, text, how, ends))
     linked = links.unionByName(_verified(more, sets, how))
     components = landing.land(connected_components(linked, landing))
-    landing.drop(sets, more, shared, bitmaps, parts, links)
+    landing.drop(sets, left, more, shared, bitmaps, parts, links)
     named = classes.join(components.select(F.col("id").alias("member"), "component"), "member", "left")
     named = named.select(*key, F.coalesce("component", "member").alias("component"))
     # Rows that share an id are one document: all of its classes are united by the smallest component.
