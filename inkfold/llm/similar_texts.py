@@ -89,7 +89,7 @@ def _common(df: DataFrame, text: str, how: Join) -> np.ndarray:
             texts = [t or b"" for t in batch.column(0).to_pylist()]
             for i, j in chunks([len(t) for t in texts]):
                 found, _ = shingles(texts[i:j], how.words)
-                table += np.bincount((found >> np.uint64(64 - how.sketch_bits)).astype(np.int64), minlength=counters).astype(np.int32)
+                np.add.at(table, (found >> np.uint64(64 - how.sketch_bits)).astype(np.int64), 1)
         high = np.flatnonzero(table > max(7.0, 4 * table.mean()))
         yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(table[high].astype(np.int64))], ["counter", "n"])
 
