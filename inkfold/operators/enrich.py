@@ -10,18 +10,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def list_entries(jobs: DataFrame) -> DataFrame:
     """One row per listed URL, duplicates included.
 
     ``pairing`` says how its companies are known: ``paired`` by position, ``single``
-    (one company list for the whole job) or ``none``.
+    (one company list for the whole job) or ``none``.  A message of several for one list
+    says it itself; else the lengths of its two lists do.
     """
     n_pre, n_urls = F.size("pre_infos"), F.size("urls")
-    pairing = (
-        F.when(n_pre == n_urls, "paired").when(n_pre == 1, "single").otherwise("none")
+    pairing = F.coalesce(
+        "pairing", F.when(n_pre == n_urls, "paired").when(n_pre == 1, "single").otherwise("none")
     )
     rows = (
         jobs.filter(~F.col("bad"))
@@ -62,14 +63,58 @@ def resolve_entries(entries: DataFrame, job: Sequence[str] = ("index",)) -> Data
 
 
 def attach_companies(
-    entries: DataFrame, pages: DataFrame, job: Sequence[str] = ("index",), url: str = "url"
+    entries: DataFrame, pages: DataFrame, job: Sequence[str] = ("index",), url: str = "url",
+    newest: str | None = None,
 ) -> DataFrame:
     """One row per listed URL that was fetched, with the page's columns.
 
     Hand over pages with their text already extracted: extraction is narrow, and
-    the raw HTML then never enters a shuffle.
+    the raw HTML then never enters a shuffle.  Where a URL may have several fetched
+    copies, name the column whose largest value is the newest.
     """
-    return resolve_entries(entries, job).join(pages.withColumnRenamed(url, "url"), "url")
+    fetched = pages.withColumnRenamed(url, "url")
+    if newest:
+        fetched = newest_pages(fetched, newest)
+    return resolve_entries(entries, job).join(fetched, "url")
+
+
+def newest_pages(pages: DataFrame, by: str) -> DataFrame:
+    """One page a URL: that with the largest ``by``; of equal ones the largest row.
+
+    A plain aggregate, combined before the shuffle, whose partitioning the lookup uses again.
+    """
+    others = [c for c in pages.columns if c not in ("url", by)]
+    best = F.max(F.struct(by, *others)).alias("page")
+    return pages.groupBy("url").agg(best).select("url", "page.*")
+
+
+def maybe_listed(entries: DataFrame, pages: DataFrame, url: str = "url", bits: int = 20) -> DataFrame:
+    """Pages without most of those that no list names, before any work is done on them.
+
+    A table of 2 ** ``bits`` bits that holds the listed URLs is one value of fixed size,
+    so pages are tested where they are read, whatever the number of lists; the exact
+    lookup follows.  Pages are not shuffled for it.
+    """
+    def slot(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(1 << bits))
+
+    held = entries.select(slot("url").alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("held")
+    )
+    words = entries.sparkSession.range(1 << bits >> 6).withColumnRenamed("id", "word").join(held, "word", "left")
+    row = words.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("held", F.lit(0).cast("bigint")).alias("held")))).alias("t"))
+    table = row.select(F.col("t.held")).scalar()
+    place = slot(url)
+    word = F.get(table, (place / 64).cast("int"))
+    return pages.filter(F.expr("1L") == F.call_function("shiftrightunsigned", word, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")))
+
+
+def unfetched_entries(entries: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
+    """Listed entries whose URL no page has; only URLs are read."""
+    there = pages.select(F.col(url).alias("url")).distinct()
+    return entries.join(there, "url", "left_anti").select(
+        F.lit("enrich").alias("stage"), F.lit("listed url has no page").alias("reason"), F.col("url").alias("payload")
+    )
 
 
 def unlisted_pages(entries: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:

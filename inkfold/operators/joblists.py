@@ -15,6 +15,7 @@ from inkfold.sources.feeds import LIST_KEY
 #: URLs per job message.  A longer list becomes several messages, so no row ever
 #: has to hold a list of unknown length.
 MAX_URLS = 10_000
+SUB_LIST = "subList"
 #: Consecutive parts of a day that are numbered together.
 _PARTS_PER_BLOCK = 4_096
 
@@ -73,7 +74,7 @@ def slice_lists(lists: DataFrame, start: int | None = None, stop: int | None = N
         rows = rows.filter(F.col("pos") < bound(stop))
     return (
         rows.withColumn("pos", F.col("pos") - first)
-        .withColumn("list_type", F.lit("subList"))
+        .withColumn("list_type", F.lit(SUB_LIST))
         .drop("n")
     )
 
@@ -114,9 +115,13 @@ def number_jobs(logs: DataFrame, first: int = 0) -> DataFrame:
 # ---------------------------------------------------------------- messages
 
 LOG_INFO = T.StructType().add("Date", "string").add("Total", "long").add("type", "string")
+# The keys index, logInfo, preInfo, urlList and the type subList.  The keys
+# start and pairing are added by this library and may be absent.
 JOB = (
     T.StructType()
     .add("index", "long")
+    .add("start", "long")
+    .add("pairing", "string")
     .add("logInfo", LOG_INFO)
     .add("preInfo", T.ArrayType(T.ArrayType(T.StringType())))
     .add("urlList", T.ArrayType(T.StringType()))
@@ -131,44 +136,66 @@ def log_struct(date: str = "date", total: str = "total") -> Column:
 def job_messages(numbered: DataFrame, lists: DataFrame, max_urls: int = MAX_URLS) -> DataFrame:
     """``(index, start, message)``: each list as JSON, at most ``max_urls`` URLs a message.
 
-    ``start`` is the position of the message's first URL in its list.  A list
-    without entries still gives one message, for its log.
+    A message carries all of itself: the position of its first URL, the way its companies
+    are paired, and the type of a sub list.  A list without entries still gives one
+    message, for its log.  Lists without a log are for :func:`unlogged_lists`.
+
+    The slices of a long list share its key; they are the left side of an inner join
+    with a row for each list, so AQE can split them.
     """
+    kind = F.max("list_type") if "list_type" in lists.columns else F.max(F.lit(None).cast("string"))
     slices = (
         lists.withColumn("start", F.floor(F.col("pos") / max_urls) * max_urls)
         .groupBy(*LIST_KEY, "start")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "url", "pre_info"))).alias("entries"))
-    )
-    entries = F.coalesce("entries", F.array().cast("array<struct<pos:bigint,url:string,pre_info:array<string>>>"))
-    message = to_json_text(
-        F.struct(
-            F.col("index"),
-            log_struct().alias("logInfo"),
-            F.transform(entries, lambda e: e["pre_info"]).alias("preInfo"),
-            F.transform(entries, lambda e: e["url"]).alias("urlList"),
+        .agg(
+            F.sort_array(F.collect_list(F.struct("pos", "url", "pre_info"))).alias("entries"),
+            kind.alias("list_type"),
         )
     )
-    return numbered.join(slices, LIST_KEY, "left").select(
-        "index", F.coalesce("start", F.lit(0)).cast("bigint").alias("start"), message.alias("message")
+    filled = slices.join(numbered, LIST_KEY)
+    empty = numbered.join(lists.select(*LIST_KEY).distinct(), LIST_KEY, "left_anti").select(
+        "*", F.lit(0).alias("start"), F.lit(None).cast("string").alias("list_type"),
+        F.array().cast("array<struct<pos:bigint,url:string,pre_info:array<string>>>").alias("entries"),
+    )
+    columns = ["index", "start", "date", "total", "list_type", "entries"]
+    rows = filled.select(*columns).unionByName(empty.select(*columns))
+    log = log_struct()
+    typed = F.struct(log["Date"].alias("Date"), log["Total"].alias("Total"), F.col("list_type").alias("type"))
+
+    def text(info: Column) -> Column:
+        return to_json_text(
+            F.struct(
+                "index", F.col("start").cast("bigint").alias("start"), F.lit("paired").alias("pairing"),
+                info.alias("logInfo"),
+                F.transform("entries", lambda e: e["pre_info"]).alias("preInfo"),
+                F.transform("entries", lambda e: e["url"]).alias("urlList"),
+            )
+        )
+
+    message = F.when(F.col("list_type").isNull(), text(log)).otherwise(text(typed))
+    return rows.select("index", F.col("start").cast("bigint").alias("start"), message.alias("message"))
+
+
+def unlogged_lists(numbered: DataFrame, lists: DataFrame) -> DataFrame:
+    """Entries of lists that have no log, as rejects: no job can be made of them."""
+    return lists.join(numbered.select(*LIST_KEY), LIST_KEY, "left_anti").select(
+        F.lit("job").alias("stage"), F.lit("list without log").alias("reason"), F.col("url").alias("payload")
     )
 
 
 def parse_jobs(messages: DataFrame) -> DataFrame:
-    """``(index, start, log_date, total, list_type, pre_info, urls, bad, message)``.
+    """``(index, start, log_date, total, list_type, pairing, pre_infos, urls, bad, message)``.
 
-    Jobs are told apart by their index.  ``start`` may be absent and is 0 then.
+    Only the column ``message`` is read.  A message without ``start`` begins its list.
     """
-    start = F.col("start") if "start" in messages.columns else F.lit(0)
-    parsed = messages.select(
-        start.cast("bigint").alias("start"), "message",
-        parse_object(F.col("message"), JOB).alias("_p"),
-    )
+    parsed = messages.select("message", parse_object(F.col("message"), JOB).alias("_p"))
     return compute_once(parsed, "_p").withColumn("job", the_object(F.col("_p"))).select(
         "job.index",
-        "start",
+        F.coalesce("job.start", F.lit(0)).cast("bigint").alias("start"),
         F.col("job.logInfo.Date").alias("log_date"),
         F.col("job.logInfo.Total").alias("total"),
         F.col("job.logInfo.type").alias("list_type"),
+        "job.pairing",
         F.col("job.preInfo").alias("pre_infos"),
         F.col("job.urlList").alias("urls"),
         (~is_object(F.col("_p"))).alias("bad"),

@@ -90,7 +90,7 @@ def decode_messages(messages: DataFrame, value: str = "value") -> DataFrame:
         *others,
         "payload",
         (~is_object(F.col("_p"))).alias("bad"),
-        the_object(F.col("_p")).alias("m"),
+        F.when(is_object(F.col("_p")), the_object(F.col("_p"))).alias("m"),
     )
     body, data = F.col("m.content"), F.col("m.content.data")
     flat = (

@@ -26,10 +26,10 @@ def route(decoded: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("bad"), "bad json")
         .when(F.col("kind").isNull() | ~F.col("kind").isin(LOG, RESULT), "unknown type")
-        .when(~F.col("has_data"), "lose data for data")
+        .when(~F.col("has_data"), "missing key data")
         .when(is_log & parse_log_date(F.col("log_date")).isNull(), "bad date")
         .when(is_log, F.lit(None))
-        .when(pre.isNull(), "lose data for preInfo")
+        .when(pre.isNull(), "missing key preInfo")
         .when(count == 0, "no company")
         .when(has_null, "company is null")
         .when((count == 1) & (first == ""), "empty company")
@@ -136,7 +136,7 @@ def check_required(
         for k in keys
     ]
     missing = [
-        F.when(F.col(k).isNull(), F.lit(f"lose data for {k}")) for k in keys if k not in empty_ok
+        F.when(F.col(k).isNull(), F.lit(f"missing key {k}")) for k in keys if k not in empty_ok
     ]
     kept = df.select(*columns)
     reason = F.coalesce(*missing) if missing else F.lit(None).cast("string")

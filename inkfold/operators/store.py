@@ -1,12 +1,33 @@
-"""Writing and finding stored documents."""
+"""Writing and finding stored documents.
+
+One layout serves batch and stream: ``stored/run=../batch_id=../branch=../bucket=..``.
+A run is one batch job or one stream (its checkpoint's identity), so nothing that
+another run stored is ever replaced.
+"""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from inkfold.operators import routing as R
 
 #: Partitions of the article store.
 BUCKETS = 64
+#: Parts that the rows of one collection may be cut into.
+_SALTS = 256
+
+STORED = "stored"
+_TEXT = ("collection", "keywords", "link", "title", "content", "post_info", "list_type", "stage", "reason", "payload", "file")
+STORE = (
+    T.StructType([T.StructField(name, T.StringType()) for name in _TEXT])
+    .add("pre_info", T.ArrayType(T.StringType())).add("date", "date").add("total", "long")
+    .add("ingested_at", "timestamp_ntz")
+    .add("run", "string").add("batch_id", "long").add("branch", "string").add("bucket", "integer")
+)
 
 
 def stamp(df: DataFrame) -> DataFrame:
@@ -15,63 +36,76 @@ def stamp(df: DataFrame) -> DataFrame:
 
 
 def bucket_of(collection: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(collection), F.lit(buckets)).cast("int")
+    return F.pmod(F.xxhash64(F.coalesce(collection, F.lit(""))), F.lit(buckets)).cast("int")
 
 
-def append_articles(articles: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Append to the collections; a collection comes to be with its first article.
+def store_rows(rows: DataFrame, root: str, run: str, batch_id: int, buckets: int = BUCKETS) -> str:
+    """Store rows that carry their ``branch``; a batch of a run replaces only itself.
 
-    There may be many thousand collections, most of them small, so they share a
-    fixed number of partitions.  Rebalancing splits a partition that holds much of
-    the data over several tasks and joins small ones: the number of files follows
-    the data, and no task gets an oversized share.  Rows are sorted by collection,
-    so a reader of one opens its partition and skips by the ranges in the footers.
+    Rows are dealt by range of (branch, bucket, collection), the rows of a large
+    collection by a salt too: the files of a bucket hold ranges of collections that
+    do not overlap, so the ranges in the footers let a reader of one collection skip
+    the other files, and no task gets an oversized share.
     """
+    path = os.path.join(root, STORED, f"run={run}", f"batch_id={batch_id}")
+    known = {f.name: f.dataType for f in STORE.fields}
+    columns = [F.col(c).cast(known[c]).alias(c) for c in rows.columns if c in known and c not in ("run", "batch_id", "bucket")]
+    salt = F.pmod(F.xxhash64(*[c for c in ("link", "title", "content", "payload") if c in rows.columns] or ["collection"]), F.lit(_SALTS))
     (
-        stamp(articles)
+        stamp(rows.select(*columns))
         .withColumn("bucket", bucket_of(F.col("collection"), buckets))
-        .hint("rebalance", "bucket")
-        .sortWithinPartitions("bucket", "collection")
-        .write.mode("append")
-        .partitionBy("bucket")
+        .withColumn("_salt", salt)
+        .repartitionByRange("branch", "bucket", "collection", "_salt")
+        .drop("_salt")
+        .sortWithinPartitions("branch", "bucket", "collection")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("branch", "bucket")
         .parquet(path)
     )
+    return path
 
 
-def read_collection(table: DataFrame, collection: str, buckets: int = BUCKETS) -> DataFrame:
-    """One collection of the stored articles, reading its partition only."""
-    name = F.lit(collection)
-    return table.filter((F.col("bucket") == bucket_of(name, buckets)) & (F.col("collection") == name))
+def append_articles(articles: DataFrame, root: str, buckets: int = BUCKETS) -> None:
+    """Append to the collections; a collection comes to be with its first article."""
+    store_rows(articles.withColumn("branch", F.lit(R.ARTICLE_BRANCH)), root, uuid.uuid4().hex, 0, buckets)
 
 
-def append_rows(rows: DataFrame, path: str) -> None:
-    stamp(rows).write.mode("append").parquet(path)
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table, or no rows where nothing has been written yet; other faults are raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored table, or None where there is none yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+def stored(spark: SparkSession, root: str, branch: str = R.ARTICLE_BRANCH) -> DataFrame:
+    """What batch jobs and streams have stored of a branch; no rows on the first day."""
+    return read_or_empty(spark, os.path.join(root, STORED), STORE).filter(F.col("branch") == branch)
+
+
+def read_collection(articles: DataFrame, collection: str, buckets: int = BUCKETS) -> DataFrame:
+    """One collection of the stored articles, reading its bucket's partitions only."""
+    name = F.lit(collection)
+    return articles.filter((F.col("bucket") == bucket_of(name, buckets)) & (F.col("collection") == name))
 
 
-def collection_exists(spark: SparkSession, path: str, collection: str | None = None) -> bool:
-    """Is there a store and, if named, the collection in it?
+def collection_exists(spark: SparkSession, root: str, collection: str | None = None) -> bool:
+    """Is anything stored and, if named, the collection?
 
-    One partition is looked at, and one row is enough to answer.
+    One bucket is looked at, and one row is enough to answer.
     """
-    table = stored(spark, path)
-    if table is None:
-        return False
+    articles = stored(spark, root)
     if collection is None:
-        return True
-    return not read_collection(table, collection).isEmpty()
+        return not articles.isEmpty()
+    return not read_collection(articles, collection).isEmpty()
 
 
-def mark_existing(names: DataFrame, table: DataFrame) -> DataFrame:
+def mark_existing(names: DataFrame, articles: DataFrame) -> DataFrame:
     """Add ``present`` to many collection names at once: ``(collection, present)``."""
-    there = table.select("collection").distinct().withColumn("present", F.lit(True))
+    there = articles.select("collection").distinct().withColumn("present", F.lit(True))
     return names.join(there, "collection", "left").select(
         "collection", F.coalesce("present", F.lit(False)).alias("present")
     )

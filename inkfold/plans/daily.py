@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
@@ -13,40 +14,51 @@ from inkfold.operators.messages import log_messages, result_messages
 from inkfold.sources import feeds as S
 
 
+Land = Callable[[DataFrame], DataFrame] | None
+
+
 class DailyNews(NamedTuple):
     routed: DataFrame
     log: DataFrame
     rejects: DataFrame
 
 
-def collect_news(feeds: DataFrame, pages: DataFrame) -> DailyNews:
+def _articles(lists: DataFrame, pages: DataFrame, newest: str | None) -> DataFrame:
+    """Articles of listed pages: others are left before their text is extracted."""
+    columns = ["url", "html", *([newest] if newest else [])]
+    return extract_articles(enrich.maybe_listed(lists, pages.select(*columns)))
+
+
+def collect_news(feeds: DataFrame, pages: DataFrame, newest: str | None = None, land: Land = None) -> DailyNews:
     """Listings ``(date, part, body)`` and pages ``(url, html, ..)`` to routed articles.
 
-    One lazy plan.  Text is extracted where a page is read; only text and URLs are
-    shuffled, once, for the lookup of companies.
+    Text is extracted where a page is read, of listed pages only; text and URLs are
+    shuffled, once, for the lookup of companies.  ``newest`` names the column of pages that
+    tells the newest copy of a URL.  ``land`` writes the parsed listings and reads them
+    back, so that log, lists and rejects do not parse them again.
     """
     parsed = S.parse_feeds(feeds)
+    parsed = land(parsed) if land else parsed
     lists = S.flatten_feeds(parsed)
-    articles = extract_articles(pages.select("url", "html"))
-    results = enrich.attach_companies(lists, articles, job=S.LIST_KEY)
+    results = enrich.attach_companies(lists, _articles(lists, pages, newest), job=S.LIST_KEY, newest=newest)
     # What is rejected depends on URLs and companies only, so no page text is read for it.
     no_text = F.lit(None).cast("string")
-    bare = pages.select("url", no_text.alias("title"), no_text.alias("content"))
+    bare = pages.select("url").distinct().select("url", no_text.alias("title"), no_text.alias("content"))
     refused = routing.route_results(enrich.attach_companies(lists, bare, job=S.LIST_KEY))
     rejects = routing.union_rejects(
         S.feed_rejects(parsed),
         enrich.unlisted_pages(lists, pages),
+        enrich.unfetched_entries(lists, pages),
         routing.message_rejects(refused),
     )
     return DailyNews(routing.route_results(results), S.daily_log(parsed), rejects)
 
 
-def collected_messages(feeds: DataFrame, pages: DataFrame) -> DataFrame:
+def collected_messages(feeds: DataFrame, pages: DataFrame, newest: str | None = None) -> DataFrame:
     """The same work as messages for the queue, to be drained by the stream."""
     parsed = S.parse_feeds(feeds)
-    results = enrich.attach_companies(
-        S.flatten_feeds(parsed), extract_articles(pages.select("url", "html")), job=S.LIST_KEY
-    )
+    lists = S.flatten_feeds(parsed)
+    results = enrich.attach_companies(lists, _articles(lists, pages, newest), job=S.LIST_KEY, newest=newest)
     logs = S.daily_log(parsed).select(
         F.date_format("date", "yyyy-MM-dd").alias("log_date"), "total"
     )

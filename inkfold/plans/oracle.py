@@ -60,7 +60,7 @@ _PAGES = r"""
 n AS (SELECT count(*) AS n FROM supplier),
 pc AS (
   SELECT p.page_id, p.url, DATE '2024-01-01' + CAST(p.page_id % 28 AS INTEGER) AS date,
-    p.page_id % 28 AS day_no, CAST(p.page_id // 1120 AS INTEGER) AS part,
+    p.page_id % 28 AS day_no, CAST(p.page_id // 112 AS INTEGER) AS part,
     regexp_replace(p.url, '[?&]utm_source=[^#]*', '') AS listed,
     a.s_name || CASE WHEN p.page_id % 3 = 0 THEN ',' || b.s_name ELSE '' END AS stockname,
     b.s_name AS next_name
@@ -82,6 +82,7 @@ feed AS (
   SELECT date, part,
     CASE WHEN day_no = 10 THEN '{{"news":[' ELSE '{{"newsinfo":[' END
     || string_agg(entry, ',' ORDER BY page_id)
+    || CASE WHEN day_no = 12 THEN ']}}],"x":[{{"newsinfo":[' || string_agg(entry, ',' ORDER BY page_id) ELSE '' END
     || CASE WHEN day_no = 14 THEN ']' ELSE ']}}' END AS payload
   FROM entry GROUP BY date, part, day_no
   UNION ALL
@@ -114,7 +115,7 @@ _LISTS = rf"""
 named AS (
   SELECT date, part, page_id, url, listed,
     CASE WHEN day_no % 7 = 0 AND page_id % 5 = 0 THEN '\d' ELSE '' END AS stray, stockname, next_name
-  FROM pc WHERE day_no NOT IN (10, 14)
+  FROM pc WHERE day_no NOT IN (10, 12, 14)
 ),
 list AS (
   SELECT date, part, row_number() OVER (PARTITION BY date, part ORDER BY page_id) - 1 AS pos,
@@ -125,12 +126,17 @@ late AS (
   SELECT date, part, row_number() OVER (PARTITION BY date, part ORDER BY page_id) - 1 AS pos,
     listed AS url, string_split(stray || next_name, ',') AS pre_info
   FROM named WHERE url LIKE '%#top'
+  UNION ALL
+  SELECT date, part, row_number() OVER (PARTITION BY date, part ORDER BY page_id) - 1,
+    listed, string_split(next_name, ',')
+  FROM pc WHERE day_no = 14 AND url LIKE '%#top'
 ),
+unlogged AS (SELECT listed AS url FROM pc WHERE day_no = 14 AND url LIKE '%#top'),
 whole AS (
   SELECT * FROM list
   UNION ALL
-  SELECT l.date, l.part, l.pos + c.n, l.url, l.pre_info
-  FROM late l JOIN (SELECT date, part, count(*) AS n FROM list GROUP BY ALL) c USING (date, part)
+  SELECT l.date, l.part, l.pos + coalesce(c.n, 0), l.url, l.pre_info
+  FROM late l LEFT JOIN (SELECT date, part, count(*) AS n FROM list GROUP BY ALL) c USING (date, part)
 ),
 logs AS (
   SELECT date, part,
@@ -279,13 +285,13 @@ result AS (
   FROM pc JOIN article a USING (page_id)
 ),
 result_message AS (
-  SELECT CASE variant WHEN 1 THEN 'heartbeat' WHEN 2 THEN NULL ELSE 'crawlerResult' END AS kind,
-    variant NOT IN (2, 7) AS has_data, CAST(NULL AS VARCHAR) AS log_date, CAST(NULL AS BIGINT) AS total,
-    CASE WHEN variant NOT IN (2, 3, 7) THEN url END AS link,
-    CASE WHEN variant NOT IN (2, 7) THEN title END AS title,
-    CASE variant WHEN 2 THEN NULL WHEN 7 THEN NULL WHEN 5 THEN replace(content, chr(10), '') ELSE content END AS content,
-    CASE variant WHEN 0 THEN NULL WHEN 2 THEN NULL WHEN 4 THEN [] WHEN 6 THEN [''] ELSE companies END AS pre_info,
-    variant = 2 AS bad
+  SELECT CASE WHEN variant = 1 THEN 'heartbeat' WHEN variant IN (2, 8, 9) THEN NULL ELSE 'crawlerResult' END AS kind,
+    variant NOT IN (2, 7, 8, 9) AS has_data, CAST(NULL AS VARCHAR) AS log_date, CAST(NULL AS BIGINT) AS total,
+    CASE WHEN variant NOT IN (2, 3, 7, 8, 9) THEN url END AS link,
+    CASE WHEN variant NOT IN (2, 7, 8, 9) THEN title END AS title,
+    CASE variant WHEN 2 THEN NULL WHEN 8 THEN NULL WHEN 9 THEN NULL WHEN 7 THEN NULL WHEN 5 THEN replace(content, chr(10), '') ELSE content END AS content,
+    CASE variant WHEN 0 THEN NULL WHEN 2 THEN NULL WHEN 8 THEN NULL WHEN 9 THEN NULL WHEN 4 THEN [] WHEN 6 THEN [''] ELSE companies END AS pre_info,
+    variant IN (2, 8, 9) AS bad
   FROM result
 ),
 log_message AS (
@@ -300,10 +306,10 @@ message AS (SELECT * FROM log_message UNION ALL SELECT * FROM result_message),
 routed AS (
   SELECT *, CASE WHEN bad THEN 'bad json'
       WHEN kind NOT IN ('logInfo', 'crawlerResult') THEN 'unknown type'
-      WHEN NOT has_data THEN 'lose data for data'
+      WHEN NOT has_data THEN 'missing key data'
       WHEN kind = 'logInfo' AND try_strptime(log_date, '%Y-%m-%d') IS NULL THEN 'bad date'
       WHEN kind = 'logInfo' THEN NULL
-      WHEN pre_info IS NULL THEN 'lose data for preInfo'
+      WHEN pre_info IS NULL THEN 'missing key preInfo'
       WHEN len(pre_info) = 0 THEN 'no company'
       WHEN len(pre_info) = 1 AND pre_info[1] = '' THEN 'empty company' END AS reason
   FROM message
@@ -336,6 +342,10 @@ _ARTICLES = "collection, pre_info, keywords, link, title, content, post_info"
 _STORED_COUNTS = _with_messages(
     "SELECT collection, count(*) AS n FROM stored WHERE kind = 'crawlerResult' GROUP BY collection"
 )
+_URL_COMPANIES = _with_lists(
+    """SELECT j.index, j.pos, p.page_id, j.url, 'paired' AS pairing, array_to_string(l.pre_info, '|') AS pre_info
+FROM job j JOIN last_info l USING (index, url) JOIN pages p USING (url)"""
+)
 _ROUTED = _with_messages(f"SELECT {_ARTICLES} FROM stored WHERE kind = 'crawlerResult'")
 _FEED_REJECTS = """
   SELECT 'feed' AS stage, status AS reason FROM parsed WHERE status NOT IN ('ok', 'repaired')
@@ -391,10 +401,15 @@ WHERE pos >= greatest(n - 3, 0) AND pos < n - 1"""
   coalesce(string_agg(array_to_string(w.pre_info, '+'), '|' ORDER BY w.pos), '') AS pre_infos
 FROM numbered n LEFT JOIN whole w USING (date, part) GROUP BY ALL"""
     ),
-    "url_companies": _with_lists(
-        """SELECT j.index, j.pos, p.page_id, j.url, 'paired' AS pairing, array_to_string(l.pre_info, '|') AS pre_info
-FROM job j JOIN last_info l USING (index, url) JOIN pages p USING (url)"""
+    "sublist_messages": _with_lists(
+        """SELECT n.index, coalesce(w.pos // 2 * 2, 0) AS start, strftime(n.date, '%Y-%m-%d') AS log_date, n.total,
+  CASE WHEN count(w.url) > 0 THEN 'subList' END AS list_type, coalesce(string_agg(w.url, '|' ORDER BY w.pos), '') AS urls
+FROM numbered n LEFT JOIN (SELECT * FROM list WHERE pos < 3) w USING (date, part)
+GROUP BY n.index, coalesce(w.pos // 2 * 2, 0), n.date, n.total"""
     ),
+    "url_companies": _URL_COMPANIES,
+    "url_companies_split": _URL_COMPANIES,
+    "url_companies_copies": _URL_COMPANIES,
     "url_companies_single": _with_lists(
         """SELECT j.index, j.pos, p.page_id, CASE WHEN urls = 1 THEN 'paired' ELSE 'single' END AS pairing,
   array_to_string(only_info, '|') AS pre_info
@@ -444,19 +459,30 @@ SELECT stage, reason, count(*) AS n FROM (
   {_FEED_REJECTS}
   UNION ALL SELECT stage, reason FROM ({_UNLISTED})
   UNION ALL SELECT 'route', reason FROM routed WHERE reason IS NOT NULL
+  UNION ALL SELECT 'job', 'list without log' FROM unlogged
 ) GROUP BY stage, reason""",
     "required_gate": _with_messages(
-        """SELECT link, title, '' AS post_info, CASE WHEN pre_info IS NULL THEN 'lose data for pre_info'
-  WHEN link IS NULL THEN 'lose data for link' WHEN title IS NULL THEN 'lose data for title' END AS reason
+        """SELECT link, title, '' AS post_info, CASE WHEN pre_info IS NULL THEN 'missing key pre_info'
+  WHEN link IS NULL THEN 'missing key link' WHEN title IS NULL THEN 'missing key title' END AS reason
 FROM message WHERE kind = 'crawlerResult'"""
     ),
-    "store_roundtrip": _STORED_COUNTS,
+    "store_roundtrip": f"SELECT *, true AS stamped FROM ({_STORED_COUNTS})",
     "collection_exists": _with_messages(
         """SELECT s_name AS collection, s_name IN (SELECT collection FROM stored WHERE kind = 'crawlerResult') AS present
 FROM supplier"""
     ),
     "item_export": f"WITH {_BLOCKS}\nSELECT url AS link, title, content FROM article",
     "stream_drain": _ROUTED,
+    "stream_two_queues": _with_messages(
+        "SELECT collection, 2 * count(*) AS n FROM stored WHERE kind = 'crawlerResult' GROUP BY collection"
+    ),
+    "stream_collection_exists": _with_messages(
+        """SELECT s_name AS collection, s_name IN (SELECT collection FROM stored WHERE kind = 'crawlerResult') AS present
+FROM supplier UNION ALL SELECT 'a late one', true"""
+    ),
+    "stream_empty": """
+SELECT count(*) AS suppliers, 0 AS present, 0 AS messages, 'no_collection' AS status, unnest(['before', 'after']) AS state
+FROM supplier""",
     "stream_rejects": _with_messages(
         "SELECT 'route' AS stage, reason, count(*) AS n FROM routed WHERE reason IS NOT NULL GROUP BY reason"
     ),
@@ -484,5 +510,6 @@ SELECT 'nextDate' AS key, status, before, after FROM ({_next_dates(EVENTS, "2015
 SELECT stage, reason, count(*) AS n FROM (
   {_FEED_REJECTS}
   UNION ALL SELECT stage, reason FROM ({_UNLISTED})
+  UNION ALL SELECT 'enrich', 'listed url has no page' FROM list WHERE url NOT IN (SELECT url FROM pages)
 ) GROUP BY stage, reason""",
 }

@@ -46,7 +46,8 @@ def _feeds(spark, folder):
 
 
 def _parsed(spark, folder):
-    return S.parse_feeds(_feeds(spark, folder))
+    """Listings, parsed once for all that is made of them."""
+    return _landed(spark, S.parse_feeds(derived.feeds(spark, folder)), "parsed")
 
 
 def _lists(spark, folder):
@@ -74,13 +75,13 @@ def _jobs(spark, folder):
     return joblists.parse_jobs(_sent_jobs(spark, folder))
 
 
-def _messages(spark, folder):
-    logs = derived.log_message_texts(S.daily_log(_parsed(spark, folder)))
+def _messages(spark, folder, parsed=None):
+    logs = derived.log_message_texts(S.daily_log(_parsed(spark, folder) if parsed is None else parsed))
     return logs.unionByName(derived.result_message_texts(spark, folder))
 
 
-def _routed(spark, folder):
-    return routing.route(messages.decode_messages(_messages(spark, folder)))
+def _routed(spark, folder, parsed=None):
+    return routing.route(messages.decode_messages(_messages(spark, folder, parsed)))
 
 
 # ---------------------------------------------------------------- coverage
@@ -185,6 +186,17 @@ def job_messages(spark, folder):
     )
 
 
+def sublist_messages(spark, folder):
+    """The first three URLs of every list, sent as a sub list and decoded again."""
+    parsed = _parsed(spark, folder)
+    numbered = joblists.number_jobs(S.daily_log(parsed))
+    lists = joblists.slice_lists(S.flatten_feeds(parsed), 0, 3)
+    sent = _landed(spark, joblists.job_messages(numbered, lists, 2), "sublists")
+    return joblists.parse_jobs(sent).select(
+        "index", "start", "log_date", "total", "list_type", F.array_join("urls", "|").alias("urls")
+    )
+
+
 # ---------------------------------------------------------------- companies of pages
 
 
@@ -199,9 +211,33 @@ def url_companies(spark, folder):
     )
 
 
+def url_companies_split(spark, folder):
+    """The same from messages of five URLs that travelled as text alone."""
+    path = shared_dir(spark, "job-texts")
+    _sent_jobs(spark, folder, max_urls=5).select("message").write.text(path)
+    jobs = joblists.parse_jobs(spark.read.text(path).withColumnRenamed("value", "message"))
+    return enrich.attach_companies(enrich.list_entries(jobs), _page_ids(spark, folder)).select(
+        "index", "pos", "page_id", "url", "pairing", _joined("pre_info")
+    )
+
+
+def url_companies_copies(spark, folder):
+    """Pages with older copies: the newest one of a URL counts."""
+    entries = enrich.list_entries(_jobs(spark, folder))
+    pages = derived.page_copies(spark, folder)
+    return enrich.attach_companies(entries, pages, newest="page_id").select(
+        "index", "pos", "page_id", "url", "pairing", _joined("pre_info")
+    )
+
+
+def _unpaired(spark, folder):
+    """Jobs of a producer that does not say how companies are paired."""
+    return _jobs(spark, folder).withColumn("pairing", F.lit(None).cast("string"))
+
+
 def url_companies_single(spark, folder):
     """Jobs that name companies once for the whole list."""
-    jobs = _jobs(spark, folder).withColumn("pre_infos", F.slice("pre_infos", 1, 1))
+    jobs = _unpaired(spark, folder).withColumn("pre_infos", F.slice("pre_infos", 1, 1))
     return enrich.attach_companies(enrich.list_entries(jobs), _page_ids(spark, folder)).select(
         "index", "pos", "page_id", "pairing", _joined("pre_info")
     )
@@ -209,7 +245,7 @@ def url_companies_single(spark, folder):
 
 def url_no_companies(spark, folder):
     """Jobs whose two lists do not fit together."""
-    jobs = _jobs(spark, folder).withColumn("pre_infos", F.slice("pre_infos", 1, 2))
+    jobs = _unpaired(spark, folder).withColumn("pre_infos", F.slice("pre_infos", 1, 2))
     return enrich.attach_companies(enrich.list_entries(jobs), _page_ids(spark, folder)).select(
         "index", "pos", "page_id", "pairing", _joined("pre_info")
     )
@@ -314,7 +350,8 @@ def rejects(spark, folder):
     parts = (
         S.feed_rejects(parsed),
         enrich.unlisted_pages(S.flatten_feeds(parsed), table(spark, folder, "pages")),
-        routing.message_rejects(_routed(spark, folder)),
+        routing.message_rejects(_routed(spark, folder, parsed)),
+        joblists.unlogged_lists(S.daily_log(parsed), _late_lists(spark, folder)),
     )
     return routing.union_rejects(*parts).groupBy("stage", "reason").agg(F.count("*").alias("n"))
 
@@ -333,8 +370,12 @@ def required_gate(spark, folder):
 
 def store_roundtrip(spark, folder):
     path = shared_dir(spark, "articles")
+    begin = spark.range(1).select(F.current_timestamp().cast("timestamp_ntz")).first()[0]
     store.append_articles(routing.accepted_articles(_routed(spark, folder)), path)
-    return store.stored(spark, path).groupBy("collection").agg(F.count("*").alias("n"))
+    stamped = F.coalesce(F.col("ingested_at") >= F.lit(begin), F.lit(False))
+    return store.stored(spark, path).groupBy("collection").agg(
+        F.count("*").alias("n"), F.bool_and(stamped).alias("stamped")
+    )
 
 
 def collection_exists(spark, folder):
@@ -361,10 +402,50 @@ def _queued(spark, folder):
 def stream_drain(spark, folder):
     queue, root, checkpoint = _queued(spark, folder)
     D.drain(spark, queue, root, checkpoint)
-    articles = D.drained_articles(spark, root).drop("ingested_at", "batch_id")
+    articles = D.drained_articles(spark, root).drop("ingested_at", "run", "batch_id")
     return articles.withColumn("pre_info", _joined("pre_info"))
 
 
+def stream_two_queues(spark, folder):
+    """Two queues with a checkpoint each, one store: what both brought is there."""
+    queue, root, checkpoint = _queued(spark, folder)
+    other = f"{queue}-2"
+    D.enqueue(_messages(spark, folder), other)
+    D.drain(spark, queue, root, checkpoint)
+    D.drain(spark, other, root, f"{checkpoint}-2")
+    return D.drained_articles(spark, root).groupBy("collection").agg(F.count("*").alias("n"))
+
+
+def stream_collection_exists(spark, folder):
+    """Which suppliers have a collection, in a store that a stream and a batch have filled."""
+    queue, root, checkpoint = _queued(spark, folder)
+    D.drain(spark, queue, root, checkpoint)
+    late = D.drained_articles(spark, root).select("link").withColumn("collection", F.lit("a late one"))
+    store.append_articles(late, root)
+    names = table(spark, folder, "supplier").select(F.col("s_name").alias("collection"))
+    names = names.unionByName(spark.range(1).select(F.lit("a late one").alias("collection")))
+    return store.mark_existing(names, store.stored(spark, root))
+
+
+def stream_empty(spark, folder):
+    """The first day of every supplier: no queue, no store, then an empty queue drained."""
+    base = shared_dir(spark, "first-day")
+    queue, root = f"{base}/queue", f"{base}/store"
+    names = table(spark, folder, "supplier").select(F.col("s_name").alias("collection"))
+
+    def state(name: str) -> DataFrame:
+        marked = store.mark_existing(names, store.stored(spark, root)).agg(
+            F.count("*").alias("suppliers"), F.count_if("present").alias("present")
+        )
+        waiting = _landed(spark, D.backlog(spark, queue, root), "backlog").select("messages")
+        answer = coverage.next_dates(D.drained_log(spark, root), TODAY).select("status")
+        return _landed(spark, marked.join(waiting).join(answer).withColumn("state", F.lit(name)), "state")
+
+    before = state("before")
+    D.drain(spark, queue, root, f"{base}/checkpoint")
+    return before.unionByName(state("after"))
+
+
 def stream_rejects(spark, folder):
     queue, root, checkpoint = _queued(spark, folder)
     D.drain(spark, queue, root, checkpoint)
@@ -416,12 +497,14 @@ def next_dates_answer(spark, folder):
 
 
 def daily_news(spark: SparkSession, folder: str) -> DataFrame:
-    news = daily.collect_news(_feeds(spark, folder), table(spark, folder, "pages"))
+    landed = lambda parsed: _landed(spark, parsed, "parsed")
+    news = daily.collect_news(derived.feeds(spark, folder), table(spark, folder, "pages"), land=landed)
     return routing.accepted_articles(news.routed).withColumn("pre_info", _joined("pre_info"))
 
 
 def daily_news_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    news = daily.collect_news(_feeds(spark, folder), table(spark, folder, "pages"))
+    landed = lambda parsed: _landed(spark, parsed, "parsed")
+    news = daily.collect_news(derived.feeds(spark, folder), table(spark, folder, "pages"), land=landed)
     return news.rejects.groupBy("stage", "reason").agg(F.count("*").alias("n"))
 
 
@@ -432,13 +515,13 @@ QUERIES = {
         next_dates_no_log, date_walk, missing_dates, source_addresses,
         feed_unwrap_parse, feed_flatten, daily_log, feed_rejects,
         joblist_append, joblist_replace, joblist_clear, joblist_slice, joblist_slice_from_end,
-        joblist_count, job_numbers, job_messages,
-        url_companies, url_companies_single, url_no_companies, url_unmatched,
+        joblist_count, job_numbers, job_messages, sublist_messages,
+        url_companies, url_companies_split, url_companies_copies, url_companies_single, url_no_companies, url_unmatched,
         text_blocks, article_content, selector_extract, selector_links,
         messages_encoded, messages_decoded, legacy_normalised,
         routed, route_counts, keywords, log_dates, rejects, required_gate,
         store_roundtrip, collection_exists, item_export,
-        stream_drain, stream_rejects, stream_next_dates, stream_backlog,
+        stream_drain, stream_two_queues, stream_collection_exists, stream_empty, stream_rejects, stream_next_dates, stream_backlog,
         latest_result, next_dates_answer, daily_news, daily_news_rejects,
     )
 }

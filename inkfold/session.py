@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -18,10 +19,6 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # Whole web pages are wide rows: small column batches keep a scan task lean.
-    "spark.sql.parquet.columnarReaderBatchSize": "512",
 }
 
 #: Only when a session is built: plans are long, and recording the Python line of
@@ -47,4 +44,26 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = tempfile.mkdtemp(prefix="inkfold-")
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+    return os.path.join(base, f"{_MARK}{spark.sparkContext.applicationId}-{purpose}-{uuid.uuid4().hex}")
+
+
+_MARK = "inkfold-"
+
+
+def expire_shared(spark: SparkSession, older_than_hours: float = 48.0) -> int:
+    """Delete folders of :func:`shared_dir` that nothing has changed for so long.
+
+    The application that made a folder owns it and is named in it; this is for what ended
+    applications have left.  Returns how many were deleted.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return 0
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(base)
+    files, limit, gone = folder.getFileSystem(conf), (time.time() - older_than_hours * 3600) * 1000, 0
+    for status in files.listStatus(folder) if files.exists(folder) else []:
+        name, own = status.getPath().getName(), f"{_MARK}{spark.sparkContext.applicationId}-"
+        if name.startswith(_MARK) and not name.startswith(own) and status.getModificationTime() < limit:
+            gone += bool(files.delete(status.getPath(), True))
+    return gone

@@ -7,13 +7,14 @@ days exist).  Everything grows with these tables, and every page takes part.
 Rules (the SQL used to check the queries follows the same ones):
 
 * a page belongs to day ``2024-01-01 + page_id % 28``; each part of a day lists at
-  most 40 pages, so a listing stays small however many pages there are;
+  most 4 pages, so a listing stays small however many pages there are;
 * its company is the ``page_id % n``-th supplier, every third page has the next one too;
 * the listing names a page without its ``utm_source`` parameter, so such pages answer
   under another address than the listed one;
 * pages whose address ends in ``#top`` are listed once more, late, for the next company;
-* every seventh day has a stray backslash in some company names; two days have
-  unreadable listings, two have unusable entries; days without pages have no news.
+* every seventh day has a stray backslash in some company names; three days have
+  unreadable listings, one of them with readable late ones, two have unusable entries; days
+  without pages have no news.
 """
 
 from __future__ import annotations
@@ -27,7 +28,12 @@ from inkfold.sources.feeds import LIST_KEY
 from inkfold.sources.tables import table
 
 DAYS = 28
-PAGES_PER_PART = 40
+#: Small, so that a day has several parts at every size of the tables.
+PAGES_PER_PART = 4
+#: A day whose listings close the brackets around them.
+BREAK_OUT_DAY = 12
+#: A day of unreadable first and readable late listings.
+LATE_ONLY_DAY = 14
 HEAD = "jsonpCallback( "
 TAIL = " );\r\n"
 
@@ -76,6 +82,7 @@ def feeds_of(listed: DataFrame) -> DataFrame:
     news = F.array_join(F.transform(F.sort_array("entries"), lambda e: e["entry"]), ",")
     json = (
         F.when(day == 10, F.concat(F.lit('{"news":['), news, F.lit("]}")))
+        .when(day == BREAK_OUT_DAY, F.concat(F.lit('{"newsinfo":['), news, F.lit(']}],"x":[{"newsinfo":['), news, F.lit("]}")))
         .when(day == 14, F.concat(F.lit('{"newsinfo":['), news, F.lit("]")))
         .otherwise(F.concat(F.lit('{"newsinfo":['), news, F.lit("]}")))
     )
@@ -102,9 +109,22 @@ def feeds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def late_feeds(spark: SparkSession, folder: str) -> DataFrame:
-    """Second listings, for pages that are listed twice."""
+    """Second listings, for pages that are listed twice; also for a day whose first listing
+    is unreadable."""
     twice = page_companies(spark, folder).filter(F.col("url").endswith("#top"))
-    return feeds_of(twice.withColumn("stockname", F.col("next_name")))
+    late = feeds_of(twice.filter(F.col("day_no") != LATE_ONLY_DAY).withColumn("stockname", F.col("next_name")))
+    # As if it were another day, the listing is whole.
+    whole = twice.filter(F.col("day_no") == LATE_ONLY_DAY).withColumn("day_no", F.lit(1))
+    return late.unionByName(feeds_of(whole.withColumn("stockname", F.col("next_name"))))
+
+
+def page_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """``(page_id, url)`` of the pages; every third one has two older copies."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    older = pages.filter(F.col("page_id") % 3 == 0).select(
+        F.explode(F.array(-F.col("page_id") - 1, -F.col("page_id") - 2)).alias("page_id"), "url"
+    )
+    return pages.unionByName(older)
 
 
 def page_articles(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,6 +164,8 @@ def result_message_texts(spark: SparkSession, folder: str) -> DataFrame:
         .when(variant == 5, message(legacy))
         .when(variant == 6, message(with_companies(F.array(F.lit("")))))
         .when(variant == 7, message(F.struct(pre_info.alias("preInfo"))))
+        .when(variant == 8, F.concat(whole, F.lit('],"end":true,"w":['), whole))
+        .when(variant == 9, F.concat(whole, F.lit('],"x":['), whole))
         .otherwise(whole)
     )
     return rows.select(value.alias("value"))

@@ -1,8 +1,10 @@
 """Draining the message queue into the store with Structured Streaming.
 
 The queue is a folder of text files, one message per line.  Batch and stream use the
-same decoding and routing.  Each micro-batch is stored under its batch id, so that a
-retry after a lost executor or a restart replaces it: every message is stored once.
+same decoding, routing and store.  A micro-batch is stored under the identity of its
+stream, which lies in the checkpoint, and its batch id: a retry after a lost executor or
+a restart replaces it, so every message is stored once, and another queue or a new
+checkpoint never touches what is there.
 
 A batch is decoded once and written once.  Its rows carry the branch they belong to
 as a partition, and each reader below sees its own branch only.
@@ -10,16 +12,20 @@ as a partition, and each reader below sees its own branch only.
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from inkfold.operators import routing as R
 from inkfold.operators.messages import decode_messages
-from inkfold.operators.store import stamp, stored
+from inkfold.operators.store import read_or_empty, store_rows, stored
 
-STORED, DRAINED = "messages", "drained"
+DRAINED = "drained"
+_DRAINED = T.StructType().add("file", "string").add("messages", "long").add("run", "string").add("batch_id", "long")
 
 
 def enqueue(messages: DataFrame, queue: str) -> None:
@@ -27,26 +33,26 @@ def enqueue(messages: DataFrame, queue: str) -> None:
     messages.select("value").write.mode("append").text(queue)
 
 
-def store_batch(batch: DataFrame, batch_id: int, root: str) -> None:
-    """Route one micro-batch ``(value, file)`` and store it under its id.
-
-    Rows of a collection are kept together, a large collection in several files, so
-    that the ranges in the file footers let a reader of one collection skip the rest.
-    """
-    path = os.path.join(root, STORED, f"batch_id={batch_id}")
-    rows = R.branches(R.route(decode_messages(batch)))
-    (
-        stamp(rows)
-        .hint("rebalance", "branch", "collection")
-        .sortWithinPartitions("branch", "collection")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy("branch")
-        .parquet(path)
-    )
+def store_batch(batch: DataFrame, batch_id: int, root: str, run: str) -> None:
+    """Route one micro-batch ``(value, file)`` and store it as a batch of its run."""
+    path = store_rows(R.branches(R.route(decode_messages(batch))), root, run, batch_id)
     # Last: files count as drained once their messages are stored.
-    files = batch.sparkSession.read.parquet(path).groupBy("file").agg(F.count("*").alias("messages"))
-    files.write.mode("overwrite").parquet(os.path.join(root, DRAINED, f"batch_id={batch_id}"))
+    files = batch.sparkSession.read.schema("file string").parquet(path).groupBy("file").agg(F.count("*").alias("messages"))
+    files.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+        os.path.join(root, DRAINED, f"run={run}", f"batch_id={batch_id}")
+    )
+
+
+def stream_identity(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that owns a checkpoint; it survives restarts."""
+    text = spark.read.text(os.path.join(checkpoint, "metadata")).first().value
+    return json.loads(text)["id"].replace("-", "")
+
+
+def _make_folder(spark: SparkSession, path: str) -> None:
+    """A stream needs its source to be there, if empty."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
 
 
 def start_drain(
@@ -56,18 +62,20 @@ def start_drain(
     checkpoint: str,
     max_bytes: int = 1 << 40,
     until_empty: bool = True,
+    archive: str | None = None,
 ) -> StreamingQuery:
     """Start draining, about ``max_bytes`` of the queue per micro-batch.
 
-    With ``until_empty`` the query ends when what is there is stored.
+    With ``until_empty`` the query ends when what is there is stored.  Files that are
+    done go to the folder ``archive``, if one is named.
     """
-    lines = (
-        spark.readStream.option("maxBytesPerTrigger", max_bytes)
-        .text(queue)
-        .select("value", F.col("_metadata.file_path").alias("file"))
-    )
+    _make_folder(spark, queue)
+    reader = spark.readStream.option("maxBytesPerTrigger", max_bytes)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    lines = reader.text(queue).select("value", F.col("_metadata.file_path").alias("file"))
     writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: store_batch(batch, batch_id, root)
+        lambda batch, batch_id: store_batch(batch, batch_id, root, stream_identity(batch.sparkSession, checkpoint))
     )
     if until_empty:
         writer = writer.trigger(availableNow=True)
@@ -79,15 +87,20 @@ def drain(spark: SparkSession, queue: str, root: str, checkpoint: str, max_bytes
     start_drain(spark, queue, root, checkpoint, max_bytes).awaitTermination()
 
 
-def stop_when_idle(query: StreamingQuery, wait_step: float = 1.0, max_waits: int = 5) -> bool:
-    """Stop a running drain after ``max_waits`` polls in a row without new messages.
+def stop_when_idle(
+    query: StreamingQuery, wait_step: float = 1.0, max_waits: int = 5, producer_ended: Callable[[], bool] | None = None
+) -> bool:
+    """Stop a running drain after ``max_waits`` polls in a row without new messages, or
+    after one such poll once the producer has ended.
 
-    False: it was idle for so long.  True: the query had ended by itself.
+    False: it was stopped.  True: the query had ended by itself.
     """
     if wait_step * max_waits <= 0:
         raise ValueError("wait_step * max_waits must be greater than 0")
     idle, last_batch = 0, None
     while idle < max_waits:
+        # Asked before the poll: what the producer sent last is seen by the poll.
+        ended = producer_ended is not None and producer_ended()
         if query.awaitTermination(wait_step):
             return True
         progress = query.lastProgress
@@ -95,6 +108,9 @@ def stop_when_idle(query: StreamingQuery, wait_step: float = 1.0, max_waits: int
         busy = query.status["isTriggerActive"] and query.status["isDataAvailable"]
         idle = 0 if busy or batch != last_batch else idle + 1
         last_batch = batch
+        if ended and idle:
+            query.processAllAvailable()
+            break
     query.stop()
     return False
 
@@ -102,30 +118,38 @@ def stop_when_idle(query: StreamingQuery, wait_step: float = 1.0, max_waits: int
 # ---------------------------------------------------------------- readers
 
 
-def _branch(spark: SparkSession, root: str, branch: str) -> DataFrame:
-    return stored(spark, os.path.join(root, STORED)).filter(F.col("branch") == branch)
-
-
 def drained_articles(spark: SparkSession, root: str) -> DataFrame:
-    return _branch(spark, root, R.ARTICLE_BRANCH).select(*R.ARTICLE_COLUMNS, "ingested_at", "batch_id")
+    return stored(spark, root, R.ARTICLE_BRANCH).select(*R.ARTICLE_COLUMNS, "ingested_at", "run", "batch_id")
 
 
 def drained_log(spark: SparkSession, root: str) -> DataFrame:
-    return _branch(spark, root, R.LOG_BRANCH).select(*R.LOG_COLUMNS, "ingested_at", "batch_id")
+    return stored(spark, root, R.LOG_BRANCH).select(*R.LOG_COLUMNS, "ingested_at", "run", "batch_id")
 
 
 def drained_rejects(spark: SparkSession, root: str) -> DataFrame:
-    return _branch(spark, root, R.REJECT_BRANCH).select(*R.REJECT_COLUMNS, "ingested_at", "batch_id")
+    return stored(spark, root, R.REJECT_BRANCH).select(*R.REJECT_COLUMNS, "ingested_at", "run", "batch_id")
+
+
+def drained_files(spark: SparkSession, root: str) -> DataFrame:
+    return read_or_empty(spark, os.path.join(root, DRAINED), _DRAINED)
 
 
 def backlog(spark: SparkSession, queue: str, root: str) -> DataFrame:
-    """How many messages are still on the queue: one row ``(files, messages)``."""
-    waiting = spark.read.text(queue).select(F.col("_metadata.file_path").alias("file"))
-    done = stored(spark, os.path.join(root, DRAINED))
-    if done is not None:
-        waiting = waiting.join(done.select("file").distinct(), "file", "left_anti")
-    per_file = waiting.groupBy("file").agg(F.count("*").alias("messages"))
-    return per_file.agg(
-        F.count("*").alias("files"),
-        F.coalesce(F.sum("messages"), F.lit(0)).alias("messages"),
-    )
+    """How many messages are still on the queue: one row ``(files, messages)``.
+
+    The queue is listed by name; only files that are not drained yet are read.
+    """
+    empty = spark.createDataFrame([(0, 0)], "files bigint, messages bigint")
+    try:
+        names = spark.read.format("binaryFile").load(queue).select(F.col("_metadata.file_path").alias("file"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty
+    waiting = names.join(drained_files(spark, root).select("file").distinct(), "file", "left_anti")
+    # As many names as Spark's own list of the files to read holds.
+    files = [row.file for row in waiting.toLocalIterator()]
+    if not files:
+        return empty
+    lines = spark.read.text(files).agg(F.count("*").alias("messages"))
+    return lines.select(F.lit(len(files)).cast("bigint").alias("files"), "messages")

@@ -53,14 +53,14 @@ def reasons(spark, *texts):
         (result(["A", "B"]), None),
         (result(["A", ""]), None),
         (result([" "]), None),
-        (result(None), "lose data for preInfo"),
+        (result(None), "missing key preInfo"),
         (result([]), "no company"),
         (result([""]), "empty company"),
         (result([None]), "company is null"),
         (result(["A", None]), "company is null"),
         (result(["A"], title="t", content="c"), None),
-        ({"type": "crawlerResult", "content": {"preInfo": ["A"]}}, "lose data for data"),
-        ({"type": "crawlerResult"}, "lose data for data"),
+        ({"type": "crawlerResult", "content": {"preInfo": ["A"]}}, "missing key data"),
+        ({"type": "crawlerResult"}, "missing key data"),
         ({"type": "heartbeat", "content": {}}, "unknown type"),
         ({"content": {"data": {"link": "x"}}}, "unknown type"),
         ('{"type":"logInfo"', "bad json"),
@@ -88,7 +88,7 @@ def test_routes(spark):
     )
     assert rows(R.accepted_logs(routed)) == [(dt.date(2020, 4, 5), 3, None)]
     assert R.accepted_articles(routed).count() == 2
-    assert rows(R.message_rejects(routed), "stage", "reason") == [("route", "lose data for preInfo")]
+    assert rows(R.message_rejects(routed), "stage", "reason") == [("route", "missing key preInfo")]
     parts = R.branches(routed).groupBy("branch").agg(F.count("*"), F.count("payload"))
     assert rows(parts) == [("article", 2, 0), ("log", 1, 0), ("reject", 1, 1)]
 
@@ -99,6 +99,6 @@ def test_required_keys(spark):
     )
     kept, rejects = R.require(df, ["pre", "data", "note", "extra"], empty_ok=("note", "extra"))
     assert rows(kept) == [("a", "", "", "")]
-    assert rows(rejects, "stage", "reason") == [("required", "lose data for data"), ("required", "lose data for pre")]
+    assert rows(rejects, "stage", "reason") == [("required", "missing key data"), ("required", "missing key pre")]
     kept, rejects = R.require(df, ["pre", "missing"])
     assert kept.isEmpty() and rejects.count() == 3
