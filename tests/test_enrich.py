@@ -34,6 +34,24 @@ def test_pairing_last_wins_and_duplicates_stay(spark):
     ]
 
 
+def test_copies_of_a_page_do_not_multiply_and_nothing_is_lost(spark):
+    entries = E.list_entries(jobs(spark, (["a", "b", "a", "gone", "a", "a"], [["A"]] * 6)))
+    copies = spark.createDataFrame([("a", 1, "old"), ("a", 3, "new"), ("a", 2, "mid"), ("b", 1, "b")], "url string, day int, title string")
+    got = E.attach_companies(entries, copies, newest="day").collect()
+    assert sorted((r.pos, r.title) for r in got) == [(0, "new"), (1, "b"), (2, "new"), (4, "new"), (5, "new")]
+    assert rows(E.unfetched_entries(entries, copies)) == [("enrich", "listed url has no page", "gone")]
+
+
+def test_only_listed_pages_go_on_and_pages_are_not_shuffled(spark):
+    entries = E.list_entries(jobs(spark, (["u1", "u5"], [["A"]] * 2)))
+    many = spark.range(3000).select(F.concat(F.lit("u"), F.col("id")).alias("url"), F.lit("<p>x</p>").alias("html"))
+    kept = E.maybe_listed(entries, many)
+    found_urls = {r.url for r in kept.collect()}
+    assert {"u1", "u5"} <= found_urls and len(found_urls) < 30
+    scan = plan(kept).split("Subqueries")[0]
+    assert "Exchange" not in scan and "Join" not in scan
+
+
 def test_single_company_list_is_for_all_and_else_none(spark):
     entries = E.list_entries(jobs(spark, (["a", "b"], [["S"]]), (["a", "b", "c"], [["X"], ["Y"]]), (["a", "b"], [])))
     assert [(i, u, p) for i, _, u, p, _ in found(spark, entries, "a", "b")] == [

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkfold.operators import joblists as L
 from tests.helpers import plan, rows
@@ -70,17 +71,52 @@ def test_job_messages(spark):
     sent = L.job_messages(L.number_jobs(logs), lists, max_urls=2)
     found = {(r["index"], r.start): json.loads(r.message) for r in sent.collect()}
     assert found[(0, 2)] == {
-        "index": 0, "logInfo": {"Date": "2024-01-01", "Total": 5},
+        "index": 0, "start": 2, "pairing": "paired", "logInfo": {"Date": "2024-01-01", "Total": 5},
         "preInfo": [["C"], ["D"]], "urlList": ["c", "d"],
     }
     assert found[(1, 0)] == {
-        "index": 1, "logInfo": {"Date": "2024-01-02", "Total": 0}, "preInfo": [], "urlList": [],
+        "index": 1, "start": 0, "pairing": "paired", "logInfo": {"Date": "2024-01-02", "Total": 0}, "preInfo": [], "urlList": [],
     }
     assert sorted(found) == [(0, 0), (0, 2), (0, 4), (1, 0)]
     logs_again = L.job_logs(L.parse_jobs(sent))
     assert rows(logs_again) == [(0, "2024-01-01", 5, None), (1, "2024-01-02", 0, None)]
 
 
+def test_messages_carry_position_and_type_and_lists_without_log_are_rejected(spark):
+    lists = L.slice_lists(make(spark, (D1, 0, "aba"), (D3, 0, "xy")), 0, 9)
+    logs = spark.createDataFrame([(D1, 0, 3)], "date date, part int, total long")
+    numbered = L.number_jobs(logs)
+    jobs = L.parse_jobs(L.job_messages(numbered, lists, max_urls=2).select("message"))
+    assert rows(jobs, "index", "start", "list_type", "urls") == [(0, 0, "subList", ["a", "b"]), (0, 2, "subList", ["a"])]
+    assert rows(L.job_logs(jobs)) == [(0, "2024-01-01", 3, "subList")]
+    assert rows(L.unlogged_lists(numbered, lists)) == [("job", "list without log", "x"), ("job", "list without log", "y")]
+
+
+def test_a_long_list_is_split_over_tasks(spark):
+    """1,000 messages of one list: the join splits its key."""
+    urls = spark.range(0, 100_400, 1, 8).select(
+        F.when(F.col("id") < 100_000, F.lit(D1)).otherwise(F.lit(D2)).alias("date"),
+        F.greatest(F.col("id") - 99_999, F.lit(0)).cast("int").alias("part"), F.col("id").alias("pos"),
+        F.sha2(F.col("id").cast("string"), 256).alias("url"), F.array(F.lit("c")).alias("pre_info"))
+    others = spark.range(1, 4000).select(F.lit(D2).alias("date"), F.col("id").cast("int").alias("part"), F.lit(1).cast("long").alias("total"))
+    logs = others.unionByName(spark.createDataFrame([(D1, 0, 100_000)], "date date, part int, total long"))
+    keys = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        found = L.job_messages(L.number_jobs(logs), urls, 100)
+        assert len(found.collect()) == 1000 + 3999
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_sublist_type_and_bad_jobs(spark):
     texts = [
         ('{"index":3,"logInfo":{"Date":"2024-01-01","Total":9,"type":"subList"},"preInfo":[["A"]],"urlList":["u"]}',),

@@ -1,9 +1,11 @@
 import datetime as dt
 import json
+import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from inkfold.functions.json_text import is_object, parse_object
 from inkfold.operators import messages as M, routing as R
 from tests.helpers import rows
 
@@ -34,6 +36,31 @@ def test_encoding_keeps_nulls_and_sublist_type(spark):
     ]
 
 
+BREAK_OUTS = ['{"a":1}],"x":[{"a":2}', '{"a":1}],"end":true,"w":[{"a":2}', '{"a":1},"end":true,"w":{"a":2}', '{"a":1}}', '{"a":1},{"a":2}', '{"a":1} x', "[]", ""]
+
+
+def test_a_text_is_one_whole_object(spark):
+    """Against Python's parser: texts that close the brackets around them, and random changes."""
+    r = random.Random(6)
+    base = json.dumps({"a": 1, "b": [1, {"c": "],x"}], "d": "}],\"w\":["})
+    texts = [base, *BREAK_OUTS, '{"b":[1,2],"a":1}', '{"b":[{"c":[]},[]],"a":1}']
+    for _ in range(300):
+        at, cut = r.randrange(len(base)), r.choice([0, 1, 2])
+        texts.append(base[:at] + r.choice(['', ']', '}', ',', '{', '"', '],', '}],"w":[{', ':']) + base[at + cut :])
+    schema = T.StructType().add("a", "long")
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    good = {row.t: row.ok for row in df.select("t", is_object(parse_object(F.col("t"), schema)).alias("ok")).collect()}
+
+    def whole(text):
+        try:
+            value = json.loads(text)
+        except ValueError:
+            return False
+        return isinstance(value, dict) and isinstance(value.get("a", 1), int)
+
+    assert {t: good[t] for t in texts} == {t: whole(t) for t in texts}
+
+
 def test_old_and_new_form_give_the_same(spark):
     old = {"type": "crawlerResult", "content": {"link": "l", "title": ["t"], "content": ["c", "d"], "preInfo": ["A"]}}
     new = result(["A"], link="l", title="t", content="cd")

@@ -3,6 +3,7 @@ import json
 import os
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,10 +67,59 @@ def test_stream_equals_batch_in_many_batches_and_after_a_restart(spark, sent, tm
 def test_a_retried_batch_is_stored_once(spark, sent, tmp_path):
     _, root, _ = paths(tmp_path)
     batch = sent.withColumn("file", F.lit("f"))
-    D.store_batch(batch, 0, root)
-    D.store_batch(batch, 0, root)
+    D.store_batch(batch, 0, root, "r")
+    D.store_batch(batch, 0, root, "r")
     same(spark, sent, root)
-    assert store.stored(spark, os.path.join(root, D.DRAINED)).agg(F.sum("messages")).collect()[0][0] == sent.count()
+    assert D.drained_files(spark, root).agg(F.sum("messages")).collect()[0][0] == sent.count()
+
+
+def test_another_queue_or_checkpoint_keeps_what_is_stored(spark, sent, tmp_path):
+    queue, root, checkpoint = paths(tmp_path)
+    D.enqueue(sent, queue)
+    D.drain(spark, queue, root, checkpoint)
+    n = D.drained_articles(spark, root).count()
+    other = str(tmp_path / "other")
+    D.enqueue(sent, other)
+    D.drain(spark, other, root, checkpoint + "2")
+    assert D.drained_articles(spark, root).count() == 2 * n
+    assert D.backlog(spark, other, root).first().messages == 0
+    # A lost checkpoint: everything on the queue comes again, and nothing is deleted.
+    D.drain(spark, queue, root, checkpoint + "3")
+    assert D.drained_articles(spark, root).count() == 3 * n
+    assert D.drained_articles(spark, root).select("run").distinct().count() == 3
+    assert store.collection_exists(spark, root, "multiCompaniesTogether")
+    assert not store.collection_exists(spark, root, "nobody")
+
+
+def test_first_day(spark, tmp_path):
+    queue, root, checkpoint = paths(tmp_path)
+    assert tuple(D.backlog(spark, queue, root).first()) == (0, 0)
+    assert not store.collection_exists(spark, root)
+    for read in (D.drained_articles, D.drained_log, D.drained_rejects):
+        assert read(spark, root).count() == 0
+    D.drain(spark, queue, root, checkpoint)
+    assert tuple(D.backlog(spark, queue, root).first()) == (0, 0)
+    assert D.drained_articles(spark, root).count() == 0
+
+
+def test_a_store_that_cannot_be_read_is_no_first_day(spark, tmp_path):
+    root = tmp_path / "store"
+    (root / "stored" / "run=x" / "batch_id=0" / "branch=article" / "bucket=0").mkdir(parents=True)
+    (root / "stored" / "run=x" / "batch_id=0" / "branch=article" / "bucket=0" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        store.stored(spark, str(root)).count()
+
+
+def test_stop_when_the_producer_has_ended(spark, sent, tmp_path):
+    queue, root, checkpoint = paths(tmp_path)
+    D.enqueue(sent, queue)
+    query = D.start_drain(spark, queue, root, checkpoint, until_empty=False)
+    try:
+        assert D.stop_when_idle(query, 1.0, 10_000, producer_ended=lambda: True) is False
+    finally:
+        query.stop()
+    same(spark, sent, root)
+    assert D.backlog(spark, queue, root).first().messages == 0
 
 
 def test_stop_when_idle(spark, sent, tmp_path):
@@ -103,31 +153,45 @@ def test_append_articles_and_exists(spark, sent, tmp_path):
     assert rows(store.mark_existing(names, table_)) == [("multiCompaniesTogether", True), ("nobody", False)]
 
 
-def test_a_large_collection_is_written_by_several_tasks(spark, tmp_path):
+def footer_ranges(path):
+    """Of each file the bucket and the first and last collection in it."""
+    out = []
+    for folder, _, names in os.walk(path):
+        for name in names:
+            if name.endswith(".parquet"):
+                meta = pq.ParquetFile(os.path.join(folder, name)).metadata
+                column = meta.schema.names.index("collection")
+                stats = [meta.row_group(i).column(column).statistics for i in range(meta.num_row_groups)]
+                out.append((folder, min(x.min for x in stats), max(x.max for x in stats)))
+    return out
+
+
+def test_files_hold_ranges_that_do_not_overlap_and_a_large_collection_is_cut(spark, tmp_path):
     path = str(tmp_path / "articles")
-    rows_ = spark.range(0, 40_000, 1, 8).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 40)).alias("collection"),
+    rows_ = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.format_string("c%04d", F.col("id") % 400)).alias("collection"),
         F.sha2(F.col("id").cast("string"), 512).alias("content"),
     )
-    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    key, old = "spark.sql.adaptive.coalescePartitions.enabled", None
     old = spark.conf.get(key)
-    spark.conf.set(key, "256KB")
+    spark.conf.set(key, "false")
     try:
-        store.append_articles(rows_, path)
+        store.append_articles(rows_, path, buckets=2)
     finally:
         spark.conf.set(key, old)
-
-    def files(bucket):
-        return [f for f in os.listdir(f"{path}/{bucket}") if f.endswith(".parquet")]
-
-    stored = spark.read.parquet(path)
-    hot = store.read_collection(stored, "hot")
-    assert hot.count() == rows_.filter("collection = 'hot'").count()
-    hot_bucket = hot.select("bucket").first().bucket
-    assert len(files(f"bucket={hot_bucket}")) > 1
-    others = [d for d in os.listdir(path) if d.startswith("bucket=") and d != f"bucket={hot_bucket}"]
-    assert others and all(len(files(d)) <= len(files(f"bucket={hot_bucket}")) for d in others)
-    assert stored.count() == 40_000
+    ranges = footer_ranges(path)
+    stored = store.stored(spark, path)
+    assert stored.count() == 60_000
+    assert store.read_collection(stored, "hot", 2).count() == 20_000
+    assert sum(a <= "hot" <= b for _, a, b in ranges) > 1  # several tasks wrote it
+    for name in ("c0000", "c0123", "c0399"):
+        folders = {f for f, a, b in ranges if a <= name <= b and f"bucket={bucket(spark, name)}" in f}
+        files = [1 for f, a, b in ranges if f in folders and a <= name <= b]
+        assert 1 <= len(files) <= 2  # at most one border inside a small collection
+
+
+def bucket(spark, name):
+    return spark.range(1).select(store.bucket_of(F.lit(name), 2)).first()[0]
 
 
 def test_reading_a_collection_prunes_partitions(spark, tmp_path):
