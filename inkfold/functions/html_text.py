@@ -1,31 +1,35 @@
 """Text out of HTML with built-in column functions only.
 
 Everything here works inside one row: a page is never exploded, shuffled and put
-together again.  The patterns use the regex features common to Java and RE2, so
-they mean the same in other SQL engines.  Where a plain replacement of characters
-does the work, it is used instead of a pattern: it is several times cheaper.
+together again.  Where a plain replacement of characters does the work, it is used
+instead of a pattern: it is several times cheaper.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
 # Control characters that cannot occur in the cleaned text serve as markers.
 BLOCK, LINK_OPEN, LINK_CLOSE = "\x02", "\x03", "\x04"
 
-# Patterns of the markup.
+# Patterns of the markup.  A quoted attribute value may hold a ">"; a quote
+# that never ends means nothing.  Possessive runs keep long tags from being tried again.
+_ATTRIBUTES = r"""(?:[^>=]*+(?:=[ \t\r\n\f]*+(?:"[^"]*+"|'[^']*+'|(?!["']))[^>=]*+)*+>|[^>]*>)"""
 INVISIBLE = (
     r"(?s)<(?:(?i:script)\b[^>]*>.*?(?:</(?i:script)[^>]*>|\z)"
     r"|(?i:style)\b[^>]*>.*?(?:</(?i:style)[^>]*>|\z)"
+    r"|(?i:noscript)\b[^>]*>.*?(?:</(?i:noscript)[^>]*>|\z)"
+    r"|(?i:option)\b[^>]*>[^<]*"
     r"|!--.*?(?:-->|\z))"
 )
 TITLE = r"(?is)<title\b[^>]*>([^<]*)"
-ANY_TAG = r"<[/!?a-zA-Z][^>]*>"
-TAG_NAME = r"^/?[a-zA-Z!?][a-zA-Z0-9:-]*"
-ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,15});"
+ANY_TAG = r"<[/!?a-zA-Z]" + _ATTRIBUTES
+REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;)"
+# Names that count without a semicolon, the longest first.
+UNENDED = "^(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
 
 # Blanks besides the space itself.
 BLANKS = ("\t", "\n", "\r", "\f", "\xa0")
@@ -36,6 +40,10 @@ INLINE = (
     "q s samp small span strike strong sub sup time tt u var wbr"
 ).split()
 
+_NAME_END = r"(?=[ \t\r\n\f/>])"
+INLINE_TAG = "(?i)</?(?:" + "|".join(INLINE) + ")" + _NAME_END + _ATTRIBUTES
+LINK_START, LINK_END = "(?i)<a" + _NAME_END + _ATTRIBUTES, "(?i)</a" + _NAME_END + _ATTRIBUTES
+
 # Scripts written without blanks, where each character counts as a word.
 UNSPACED = "[぀-ヿ㐀-䶿一-鿿豈-﫿]"
 # One range around them, which is quicker to look for.
@@ -55,6 +63,14 @@ def squeeze(text: Column) -> Column:
 # ---------------------------------------------------------------- entities
 
 
+def _windows(code: int) -> str:
+    """What the numbers 128 to 159 are taken for."""
+    try:
+        return bytes([code]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(code)
+
+
 def _code_point(number: Column) -> Column:
     """The character of a code point; U+FFFD where there is none to show."""
     valid = (
@@ -62,42 +78,61 @@ def _code_point(number: Column) -> Column:
         | number.between(32, 0xD7FF)
         | number.between(0xE000, 0x10FFFF)
     )
+    old = F.array(*[F.lit(_windows(c)) for c in range(128, 160)])
     as_bytes = F.unhex(F.lpad(F.hex(number), 8, "0"))
-    return F.when(valid, F.decode(as_bytes, "UTF-32")).otherwise(F.lit("�"))
+    return (
+        F.when(number.between(128, 159), F.get(old, (number - 128).cast("int")))
+        .when(valid, F.decode(as_bytes, "UTF-32"))
+        .otherwise(F.lit("\ufffd"))
+    )
+
+
+def _number(reference: Column) -> Column:
+    """The code point of a numeric reference, 0 if it is out of range by its length."""
+    body = F.rtrim(reference, F.lit(";"))
+    hexadecimal = F.ltrim(F.substr(body, F.lit(3)), F.lit("0"))
+    decimal = F.ltrim(F.substr(body, F.lit(2)), F.lit("0"))
+    return F.coalesce(
+        F.when(F.substring(body, 2, 1).isin("x", "X"), F.when(F.length(hexadecimal).between(1, 6), F.conv(hexadecimal, 16, 10).cast("bigint")))
+        .otherwise(F.when(F.length(decimal).between(1, 7), decimal.cast("bigint"))),
+        F.lit(0).cast("bigint"),
+    )
+
+
+def _names(ended: bool) -> Column:
+    """One literal, folded into a map constant when the plan is optimized."""
+    chosen = {n: c for n, c in html5.items() if n.endswith(";") == ended and not set(c) & {"\n", "\t"}}
+    return F.str_to_map(F.lit("\n".join(f"{n}\t{c}" for n, c in chosen.items())), F.lit("\n"), F.lit("\t"))
 
 
 def decode_entities(text: Column) -> Column:
-    """Named (HTML 4) and numeric character references, each decoded once.
+    """Named (HTML 5) and numeric character references, each decoded once.
 
     ``text`` is read several times, so hand over a column, not a long expression.
     """
-    # One literal, folded into a map constant when the plan is optimized.
-    pairs = "\n".join(f"{name}\t{chr(code)}" for name, code in name2codepoint.items())
-    names = F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit("\t"))
+    names, unended = _names(True), _names(False)
 
     def with_name(part: Column) -> Column:
-        return F.struct(part.alias("part"), F.regexp_extract(part, ENTITY, 1).alias("name"))
+        return F.struct(part.alias("part"), F.regexp_extract(part, REFERENCE, 0).alias("ref"))
+
+    def replaced(part: Column, ref: Column, char: Column) -> Column:
+        return F.concat(char, F.substr(part, F.length(ref) + 1))
 
     def decoded(piece: Column, index: Column) -> Column:
-        part, name = piece["part"], piece["name"]
-        number = F.when(
-            F.substring(name, 2, 1).isin("x", "X"),
-            F.conv(F.substr(name, F.lit(3)), 16, 10).cast("bigint"),
-        ).otherwise(F.substr(name, F.lit(2)).cast("bigint"))
-        # The most frequent one first: looking up a map constant is a linear search.
+        part, ref = piece["part"], piece["ref"]
+        # The most frequent ones first: looking up a map constant is a linear search.
         char = (
-            F.when(name == "amp", "&")
-            .when(name.startswith("#"), _code_point(number))
-            .otherwise(F.try_element_at(names, name))
+            F.when(ref == "amp;", "&").when(ref == "nbsp;", "\xa0").when(ref == "quot;", '"')
+            .when(ref == "lt;", "<").when(ref == "gt;", ">")
+            .when(ref.startswith("#"), _code_point(_number(ref)))
+            .when(ref != "", F.try_element_at(names, ref))
         )
-        return (
-            F.when(index == 0, part)
-            .when(name == "", F.concat(F.lit("&"), part))
-            .otherwise(
-                F.coalesce(
-                    F.concat(char, F.substr(part, F.length(name) + 2)),
-                    F.concat(F.lit("&"), part),
-                )
+        short = F.regexp_extract(part, UNENDED, 0)
+        return F.when(index == 0, part).otherwise(
+            F.coalesce(
+                replaced(part, ref, char),
+                F.when(short != "", replaced(part, short, F.try_element_at(unended, short))),
+                F.concat(F.lit("&"), part),
             )
         )
 
@@ -120,33 +155,14 @@ def title_text(markup: Column) -> Column:
 
 
 def marked_text(markup: Column) -> Column:
-    """Text with markers for links and block borders in the place of tags."""
-
-    def named(part: Column) -> Column:
-        return F.struct(
-            part.alias("part"),
-            F.lower(F.regexp_extract(part, TAG_NAME, 0)).alias("tag"),
-            F.instr(part, ">").alias("end"),
-        )
+    """Text with markers for links and block borders in the place of tags.
 
-    def text_of(piece: Column, index: Column) -> Column:
-        tag, end, part = piece["tag"], piece["end"], piece["part"]
-        mark = (
-            F.when(tag == "a", LINK_OPEN)
-            .when(tag == "/a", LINK_CLOSE)
-            .when(tag.isin([x for name in INLINE for x in (name, "/" + name)]), "")
-            .otherwise(BLOCK)
-        )
-        is_tag = (tag != "") & (end > 0)
-        return (
-            F.when(index == 0, part)
-            .when(is_tag & (tag == "title"), BLOCK)
-            .when(is_tag, F.concat(mark, F.substr(part, end + 1)))
-            .otherwise(F.concat(F.lit("<"), part))
-        )
-
-    pieces = F.transform(F.split(markup, "<"), named)
-    return F.array_join(F.transform(pieces, text_of), "")
+    One pattern for each kind of tag over the whole page: no function is called for each tag.
+    """
+    text = F.regexp_replace(markup, TITLE, BLOCK)
+    for pattern, mark in ((INLINE_TAG, ""), (LINK_START, LINK_OPEN), (LINK_END, LINK_CLOSE), (ANY_TAG, BLOCK)):
+        text = F.regexp_replace(text, pattern, mark)
+    return text
 
 
 def close_links_per_block(text: Column) -> Column:

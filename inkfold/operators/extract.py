@@ -117,6 +117,8 @@ PARAGRAPH_END = (
     r"|fieldset|figcaption|figure|footer|form|h[1-6]|header|hgroup|hr|html|li|main|menu|nav|ol|p"
     r"|pre|search|section|table|tbody|td|tfoot|th|thead|tr|ul)(?:[ \t\r\n\f/][^>]*)?>"
 )
+# Tags whose next start or end ends them, so they do not nest.
+SELF_ENDING = frozenset("p a h1 h2 h3 h4 h5 h6 option title".split())
 _CUT = "\x05"
 
 
@@ -182,12 +184,16 @@ def select_texts(
 ) -> Column:
     """All text nodes under ``inner`` elements inside the matching containers, in order."""
     region = _inside_containers(markup, container, css_class)
-    end = PARAGRAPH_END if inner == "p" else rf"</(?i:{inner})(?:[ \t\r\n\f/][^>]*)?>"
-    pieces = F.split(region, _tag(inner))
-    elements = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-    nodes = F.flatten(
-        F.transform(elements, lambda e: F.split(F.get(F.split(e, end, 2), F.lit(0)), H.ANY_TAG))
-    )
+    if inner in SELF_ENDING:
+        end = PARAGRAPH_END if inner == "p" else rf"</(?i:{inner})(?:[ \t\r\n\f/][^>]*)?>"
+        pieces = F.split(region, _tag(inner))
+        elements = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+        nodes = F.flatten(
+            F.transform(elements, lambda e: F.split(F.get(F.split(e, end, 2), F.lit(0)), H.ANY_TAG))
+        )
+    else:
+        # Elements that may hold others of their kind: the depth decides where one ends.
+        nodes = F.split(_inside_containers(region, inner, None), H.ANY_TAG)
     return F.transform(F.filter(nodes, lambda n: n != ""), H.decode_entities)
 
 

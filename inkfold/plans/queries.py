@@ -279,6 +279,20 @@ def selector_extract(spark, folder):
     return found.select("page_id", _joined("title"), _joined("content"))
 
 
+def selector_places(spark, folder):
+    """The places of the collected site, in pages that have them."""
+    pages = derived.site_pages(spark, folder)
+    return extract.select_articles(pages).select("page_id", _joined("title"), _joined("content"))
+
+
+def selector_blocks(spark, folder):
+    """Inner elements that hold others of their kind."""
+    pages = derived.site_pages(spark, folder).select(
+        "page_id", extract.select_texts(F.col("html"), "article", "section").alias("texts")
+    )
+    return pages.select("page_id", _joined("texts"))
+
+
 def selector_links(spark, folder):
     """The link texts of the navigation."""
     markup = table(spark, folder, "pages").select("page_id", "html")
@@ -517,7 +531,7 @@ QUERIES = {
         joblist_append, joblist_replace, joblist_clear, joblist_slice, joblist_slice_from_end,
         joblist_count, job_numbers, job_messages, sublist_messages,
         url_companies, url_companies_split, url_companies_copies, url_companies_single, url_no_companies, url_unmatched,
-        text_blocks, article_content, selector_extract, selector_links,
+        text_blocks, article_content, selector_extract, selector_places, selector_blocks, selector_links,
         messages_encoded, messages_decoded, legacy_normalised,
         routed, route_counts, keywords, log_dates, rejects, required_gate,
         store_roundtrip, collection_exists, item_export,

@@ -127,6 +127,16 @@ def page_copies(spark: SparkSession, folder: str) -> DataFrame:
     return pages.unionByName(older)
 
 
+def site_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """``(page_id, html)``: the given pages with heading and text in the places of the
+    collected site, one inside another element of its kind, and sections in sections."""
+    pages = table(spark, folder, "pages").select("page_id", "html")
+    html = F.replace(F.col("html"), F.lit("<h1>"), F.lit('<div class="titmain"><div><section>a<section>b</section>c</section><h1>'))
+    html = F.replace(html, F.lit("</h1>"), F.lit("</h1></div></div>"))
+    html = F.replace(html, F.lit("<article>"), F.lit('<article><div class="texttit_m1">'))
+    return pages.withColumn("html", F.replace(html, F.lit("</article>"), F.lit("</div></article>")))
+
+
 def page_articles(spark: SparkSession, folder: str) -> DataFrame:
     """``(page_id, url, title, content)`` of all pages."""
     return extract_articles(table(spark, folder, "pages").select("page_id", "url", "html"))

@@ -65,11 +65,7 @@ def test_entities_against_the_standard_library(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.d for r in df.select("i", H.decode_entities(F.col("t")).alias("d")).collect()}
     for i, text in enumerate(texts):
-        # Only references closed by a semicolon and known to HTML 4 are decoded.
-        expected = re.sub(
-            r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);",
-            lambda m: pyhtml.unescape(m.group(0)), text,
-        )
+        expected = pyhtml.unescape(text)
         assert got[i] == expected, text
     odd = spark.createDataFrame([("&#55296;&#1;&#9999999;",)], "t string")
     assert odd.select(H.decode_entities(F.col("t"))).collect()[0][0] == "���"
@@ -149,3 +145,34 @@ def test_selected_items(spark):
     df = spark.createDataFrame([("u", "<title>t</title>")], "url string, html string")
     assert [tuple(r) for r in X.page_items(X.extract_articles(df)).collect()] == [("u", "t", "")]
     assert os.path.exists(DATA)
+
+
+@pytest.mark.parametrize("markup, text", [
+    ("a &apos;b&apos; &notin; c", "a 'b' ∉ c"),
+    ("&CounterClockwiseContourIntegral; &#128; &#x80; &#150;", "∳ € € –"),
+    ("&copy 1 &ampx &notit; &unknown; & &#; &#0; &#99999999999;", "© 1 &x ¬it; &unknown; & &#; � �"),
+    ("&lt;b&gt; &#65 &#x42;", "<b> A B"),
+])
+def test_references_of_html_5(spark, markup, text):
+    df = spark.createDataFrame([(markup,)], "t string")
+    assert df.select(H.decode_entities(F.col("t"))).first()[0] == text
+
+
+@pytest.mark.parametrize("html, texts", [
+    ('<div title="a > b">x</div>', ["x"]),
+    ("<div title='a > b' class=\"c\">x</div>y", ["x", "y"]),
+    ("<p title=\"never ends>x</p><p>y</p>", ["x", "y"]),
+    ("<p>It's <b class=it's>so</b></p>'", ["It's so", "'"]),
+    ("<select><option>no<option>no</select><noscript>no</noscript><p>yes", ["yes"]),
+    ("<p " + 'a="1" ' * 20_000 + ">x", ["x"]),
+])
+def test_tags_and_what_is_no_text(spark, html, texts):
+    df = spark.createDataFrame([(html,)], "html string")
+    assert [r.text for r in X.text_blocks(df).orderBy("pos").collect()] == texts
+
+
+def test_nested_inner_elements_keep_their_text(spark):
+    html = "<article><div>a<div>b</div>c</div><span>s<span>t</span></span></article><div>out</div>"
+    df = spark.createDataFrame([(html,)], "html string")
+    got = df.select(X.select_texts(F.col("html"), "article", "div").alias("d"), X.select_texts(F.col("html"), "article", "span").alias("s")).first()
+    assert got.d == ["a", "b", "c"] and got.s == ["s", "t"]
