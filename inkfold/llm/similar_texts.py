@@ -98,12 +98,12 @@ def _common(df: DataFrame, text: str, how: Join) -> np.ndarray:
     return np.array([r["counter"] for r in top.collect()][::-1], np.int64)
 
 
-SIGNED = "n long, sum long, mix long, prefix array<long>, bits binary, wide binary"
+SIGNED = "n long, sum long, mix long, prefix array<long>, bits binary"
 
 
 def _wide_bitmaps(found: np.ndarray, owner: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """A bitmap of each set that grows with it: a power of two, twice its size at least."""
-    bits = np.maximum(256, 1 << np.ceil(np.log2(np.maximum(1, 2 * n))).astype(np.int64))
+    """A bitmap of each set: a power of two that is twice the set's size, BITS at least."""
+    bits = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(1, 2 * n))).astype(np.int64))
     base = np.concatenate((np.zeros(1, np.int64), np.cumsum(bits)))
     table = np.zeros(base[-1], bool)
     table[base[owner] + (found.view(np.int64) & (bits[owner] - 1))] = True
@@ -147,15 +147,12 @@ def _signatures(df: DataFrame, id_col: str, text: str, how: Join, common: np.nda
             if len(full):
                 total[full] = np.add.reduceat(mix(found), first[full])
                 other[full] = np.bitwise_xor.reduceat(mix(found + np.uint64(0x632BE59BD9B4E019)), first[full])
-            bits = np.zeros((len(texts), BITS), bool)
-            bits[owner, (found & np.uint64(BITS - 1)).astype(np.int64)] = True
-            packed = np.packbits(bits, axis=1)
             order = np.lexsort((found, place[(found >> np.uint64(64 - how.sketch_bits)).astype(np.int64)], owner))
             length = np.where(n > 0, n - _least(n, how.percent) + 1, 0)
             inside = np.arange(len(found)) - first[owner] < length[owner]
             offsets = np.concatenate((np.zeros(1, np.int32), np.cumsum(length))).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[order][inside].view(np.int64)))
-            return {"n": n, "sum": total.view(np.int64), "mix": other.view(np.int64), "prefix": prefix, "bits": [b.tobytes() for b in packed], "wide": _wide_bitmaps(found, owner, n)}
+            return {"n": n, "sum": total.view(np.int64), "mix": other.view(np.int64), "prefix": prefix, "bits": _wide_bitmaps(found, owner, n)}
 
         return call
 
@@ -212,9 +209,9 @@ _COUNT = np.bitwise_count
 
 def _possible(pairs: DataFrame, members: DataFrame, how: Join) -> DataFrame:
     """The pairs (u, v) that sizes and bitmaps do not rule out."""
-    info = members.select("id", "n", "wide")
-    joined = pairs.join(info.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("wide").alias("bu")), "u")
-    joined = joined.join(info.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("wide").alias("bv")), "v")
+    info = members.select("id", "n", "bits")
+    joined = pairs.join(info.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu")), "u")
+    joined = joined.join(info.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv")), "v")
     joined = joined.filter(_similar(F.least("nu", "nv"), F.col("nu"), F.col("nv"), how.percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +227,15 @@ def _possible(pairs: DataFrame, members: DataFrame, how: Join) -> DataFrame:
     return joined.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(run, "u long, v long")
 
 
-def _bitmaps(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
+def _folded(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps of BITS bits each: the halves of larger ones are laid over each other."""
+    out = np.empty((len(bitmaps), BITS // 8), np.uint8)
+    sizes = np.array([len(b) for b in bitmaps], np.int64)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        table = np.frombuffer(b"".join(bitmaps[i] for i in rows), np.uint8).reshape(len(rows), -1, BITS // 8)
+        out[rows] = np.bitwise_or.reduce(table, axis=1)
+    return out.view(np.uint64)
 
 
 class Tree:
@@ -344,7 +348,8 @@ def _left_over(shared: DataFrame, parts: DataFrame, members: DataFrame, how: Joi
         main = group.column("main")[0].as_py()
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         ids, n, part = (group.column(c).to_numpy() for c in ("id", "n", "part"))
-        bits = _bitmaps(group.column("bits").combine_chunks())
+        wide = group.column("bits").to_pylist()
+        bits = _folded(wide)
         first = group.column("apart").to_numpy() if main else group.column("block").to_numpy() == i
         same = not main and i == j
 
@@ -358,7 +363,14 @@ def _left_over(shared: DataFrame, parts: DataFrame, members: DataFrame, how: Joi
         one, rows_one = tree(sides[0])
         other, rows_other = (one, rows_one) if same else tree(sides[1])
         a, b = _dual_walk(one, other, same, how.percent)
-        u, v = ids[rows_one[a]], ids[rows_other[b]]
+        a, b = rows_one[a], rows_other[b]
+        # Bitmaps of one size fill up with long texts; those that grow with the text do not.
+        keep = np.zeros(len(a), bool)
+        for at in range(0, len(a), 1 << 16):
+            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            both = (n[x] + n[y] - _apart([wide[i] for i in x], [wide[i] for i in y])) // 2
+            keep[at : at + (1 << 16)] = 100 * both >= how.percent * (n[x] + n[y] - both)
+        u, v = ids[a[keep]], ids[b[keep]]
         return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
 
     found = placed.groupBy("token", "i", "j", "main").applyInArrow(run, "u long, v long")
@@ -380,7 +392,7 @@ def similar_texts(df: DataFrame, how: Join = Join(), id_col: str = "doc_id", tex
     shared = landing.land(postings.join(hubs.select("token", "hub"), "token").distinct())
     landing.drop(postings)
     asked = shared.select("id").distinct()
-    bitmaps = landing.land(signed.select("id", "n", "bits", "wide").join(asked, "id", "left_semi").dropDuplicates(["id", "n", "bits"]))
+    bitmaps = landing.land(signed.select("id", "n", "bits").join(asked, "id", "left_semi").dropDuplicates(["id", "n", "bits"]))
     pairs = shared.filter(F.col("id") != F.col("hub")).select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
     first = landing.land(_possible(pairs, bitmaps, how))
     ends = first.select(F.col("u").alias("id")).unionByName(first.select(F.col("v").alias("id"))).distinct()
@@ -388,14 +400,12 @@ def similar_texts(df: DataFrame, how: Join = Join(), id_col: str = "doc_id", tex
     links = landing.land(_verified(first, sets, how))
     parts = landing.land(connected_components(links, landing))
     landing.drop(sets, first)
-    # Bitmaps of one size fill up with long texts; those that grow with the text do not.
-    left = landing.land(_left_over(shared, parts, bitmaps, how, landing))
-    more = landing.land(_possible(left, bitmaps, how))
+    more = landing.land(_left_over(shared, parts, bitmaps, how, landing))
     ends = more.select(F.col("u").alias("id")).unionByName(more.select(F.col("v").alias("id"))).distinct()
     sets = landing.land(_sets(df, id_col, text, how, ends))
     linked = links.unionByName(_verified(more, sets, how))
     components = landing.land(connected_components(linked, landing))
-    landing.drop(sets, left, more, shared, bitmaps, parts, links)
+    landing.drop(sets, more, shared, bitmaps, parts, links)
     named = classes.join(components.select(F.col("id").alias("member"), "component"), "member", "left")
     named = named.select(*key, F.coalesce("component", "member").alias("component"))
     # Rows that share an id are one document: all of its classes are united by the smallest component.
