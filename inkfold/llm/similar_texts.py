@@ -38,6 +38,8 @@ from inkfold.llm.mapping import chunks, map_texts
 from inkfold.llm.words import mix, range_hashes, split_words, window_hashes
 
 BITS = 1024
+#: Pairs of nodes that are looked at together; each may become fan * fan of them.
+_PAIRS = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -281,8 +283,8 @@ def _dual_walk(one: Tree, other: Tree, same: bool, percent: int) -> tuple[np.nda
     todo = [(len(one.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while todo:
         level, a, b = todo.pop()
-        if len(a) > 1 << 16:
-            todo += [(level, a[i : i + (1 << 16)], b[i : i + (1 << 16)]) for i in range(0, len(a), 1 << 16)]
+        if len(a) > _PAIRS:
+            todo += [(level, a[i : i + _PAIRS], b[i : i + _PAIRS]) for i in range(0, len(a), _PAIRS)]
             continue
         ok = _may_match(one, other, level, a, b, percent)
         a, b = a[ok], b[ok]
@@ -366,10 +368,10 @@ def _left_over(shared: DataFrame, parts: DataFrame, members: DataFrame, how: Joi
         a, b = rows_one[a], rows_other[b]
         # Bitmaps of one size fill up with long texts; those that grow with the text do not.
         keep = np.zeros(len(a), bool)
-        for at in range(0, len(a), 1 << 16):
-            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        for at in range(0, len(a), _PAIRS):
+            x, y = a[at : at + _PAIRS], b[at : at + _PAIRS]
             both = (n[x] + n[y] - _apart([wide[i] for i in x], [wide[i] for i in y])) // 2
-            keep[at : at + (1 << 16)] = 100 * both >= how.percent * (n[x] + n[y] - both)
+            keep[at : at + _PAIRS] = 100 * both >= how.percent * (n[x] + n[y] - both)
         u, v = ids[a[keep]], ids[b[keep]]
         return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
 
