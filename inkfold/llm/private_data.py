@@ -1,6 +1,7 @@
 """Personal data by weak supervision, on DataFrame functions only.
 
-Candidate spans come from patterns.  Labelers look at each candidate: its form and check
+Candidate spans come from patterns; numbers that fail the checks of their kind (check
+digits, ranges, lengths) are none.  Labelers look at each candidate: its form and check
 digits, gazetteers (issuers, top-level domains, key prefixes, reserved networks, given
 names), the words before it, its edges, and its variety; each votes for, against or
 abstains.  Votes are counted by pattern of votes over all texts, expectation-maximisation
@@ -186,9 +187,11 @@ def _cut(text: Column, source: Source) -> Column:
 
 
 def _judged(source: Source, found: Column, before: Column, after: Column) -> Column:
-    """Whether it is a base span, and the votes."""
+    """Whether it passes its kind's checks, is a base span, and the votes."""
     passes = _passes(source.kind, found)
-    return F.struct((passes & F.lit(source.base)).alias("base"), _votes(source.kind, found, before, after, passes).alias("votes"))
+    return F.struct(
+        passes.alias("passes"), (passes & F.lit(source.base)).alias("base"),
+        _votes(source.kind, found, before, after, passes).alias("votes"))
 
 
 def _candidates(text: Column, source: Source) -> Column:
@@ -198,13 +201,14 @@ def _candidates(text: Column, source: Source) -> Column:
         found, gap = F.get(cut["m"], i), F.get(cut["g"], i)
         start = F.get(starts, i) + F.length(gap)
         judged = _judged(source, found, F.right(gap, F.lit(CONTEXT)), F.left(F.get(cut["g"], i + 1), F.lit(2)))
-        return _let(judged, lambda j: F.struct(
+        return _let(judged, lambda j: F.when(j["passes"], F.struct(
             start.cast("int").alias("start"), kind.alias("kind"), (start + F.length(found)).cast("int").alias("end"),
-            j["base"].alias("base"), j["votes"].alias("votes")))
+            j["base"].alias("base"), j["votes"].alias("votes"))))
 
     def all_of(cut: Column) -> Column:
         sizes = F.zip_with(cut["m"], F.slice(cut["g"], F.lit(1), F.size(cut["m"])), lambda m, g: F.length(m) + F.length(g))
-        return _let(_let(sizes, _starts), lambda starts: F.transform(_upto(F.size(cut["m"])), lambda i: one(cut, starts, i)))
+        found = _let(_let(sizes, _starts), lambda starts: F.transform(_upto(F.size(cut["m"])), lambda i: one(cut, starts, i)))
+        return F.filter(found, lambda c: c.isNotNull())
 
     none = F.array().cast(f"array<{_CANDIDATE}>")
     return F.when(source.holds(text), _let(_cut(text, source), all_of).cast(f"array<{_CANDIDATE}>")).otherwise(none)
@@ -321,7 +325,8 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
             def piece(i: Column) -> Column:
                 found, gap = F.get(cut["m"], i), F.get(cut["g"], i)
                 judged = _judged(source, found, F.right(gap, F.lit(CONTEXT)), F.left(F.get(cut["g"], i + 1), F.lit(2)))
-                put = _let(judged, lambda j: F.when(j["base"] | model.accepts(kind, j["votes"]), mark).otherwise(found))
+                stays = lambda j: j["passes"] & (j["base"] | model.accepts(kind, j["votes"]))
+                put = _let(judged, lambda j: F.when(stays(j), mark).otherwise(found))
                 return F.concat(gap, put)
 
             pieces = F.transform(_upto(F.size(cut["m"])), piece)

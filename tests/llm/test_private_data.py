@@ -72,6 +72,12 @@ def test_method_adds_secrets_and_numbers_inside_longer_runs(spark):
     assert found[31].spans == ""
 
 
+def test_numbers_that_fail_their_checks_are_left_alone(spark):
+    text = "order 9807915762804490 and 300.1.2.3 and +1 23 or 155 9807915762804490 x"
+    found = rows_of(spark, [text] * 20 + ["see 4111111111111111 ok", "mail a@b.com now"] * 10)
+    assert found[0].spans == "" and found[20].spans == "card:4:20"
+
+
 def test_reliabilities_follow_agreement():
     """Three labelers that agree are trusted more than one that votes against them."""
     good = sum(2 * 3**i for i in range(4)) + 0 * 81
