@@ -1,7 +1,6 @@
 import html as pyhtml
 import os
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
