@@ -54,9 +54,13 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
 
-_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>")
+# An attribute: a quote means something only where a value starts, right after "=".
+_SPACE = r"\t\n\f\r "
+_VALUE = rf"[{_SPACE}]*+=[{_SPACE}]*+(?:\"[^\"]*+\"|'[^']*+'|[^{_SPACE}\"'>][^{_SPACE}>]*+|(?=>))"
+_TAG = re.compile(rf"</?([a-zA-Z][^\s/>]*+)((?:[{_SPACE}/]++|[^{_SPACE}/>][^{_SPACE}/>=]*+(?:{_VALUE}|(?![{_SPACE}]*+=)))*+)>")
 _LOOSE_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)([^>]*)>")
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TAG_START = re.compile(r"</?[a-zA-Z]")
+_ATTRIBUTE = re.compile(rf"([^{_SPACE}/>][^{_SPACE}/>=]*+)(?:[{_SPACE}]*+=[{_SPACE}]*+(?:\"([^\"]*+)\"|'([^']*+)'|([^{_SPACE}\"'>][^{_SPACE}>]*+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
 _RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 _FROM_BODY = frozenset(("html", "body", "article", "main"))
@@ -123,19 +127,20 @@ def parse(html: str) -> Node:
             stop = html.find("-->", place + 4)
             at = end if stop < 0 else stop + 3
             continue
-        if html.startswith(("<!", "<?"), place):
+        starts_tag = _TAG_START.match(html, place)
+        if html.startswith(("<!", "<?"), place) or not starts_tag and html.startswith("</", place) and place + 2 < end:
             stop = html.find(">", place)
             at = end if stop < 0 else stop + 1
             continue
+        if not starts_tag:
+            stack[-1].children.append("<")
+            at = place + 1
+            continue
         found = pattern.match(html, place)
         if not found and pattern is _TAG and (loose := _LOOSE_TAG.match(html, place)):
             pattern, found = _LOOSE_TAG, loose  # a quote without end: quotes mean nothing from here on
         if not found:
-            if html[place + 1 : place + 2].isalpha() or html.startswith("</", place):
-                break  # a tag that the end of the page cuts off
-            stack[-1].children.append("<")
-            at = place + 1
-            continue
+            break  # a tag that the end of the page cuts off: no ">" follows
         tag, at = found[1].lower(), found.end()
         if html[place + 1] == "/":
             if open_count.get(tag):

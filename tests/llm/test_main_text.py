@@ -41,6 +41,32 @@ def test_blocks_references_and_broken_markup():
     assert extract(f"<article><p>{LONG}</p><ul><li>a<li>b</ul></article>") == f"{LONG} a b"
 
 
+@pytest.mark.parametrize("text", ["<é", "<Ä b", "<π", "<新闻>", "<3", "< p", "<", "<<", "<5>"])
+def test_what_starts_no_tag_is_text(text):
+    page = f"<article><p>{LONG} {text} and on</p><p>{LONG} behind</p></article>"
+    assert extract(page) == f"{LONG} {text} and on {LONG} behind"
+
+
+@pytest.mark.parametrize("comment", ["</3>", "</>", "</ p>", "</é x>", "</3 <b>"])
+def test_an_end_tag_without_a_name_is_a_comment(comment):
+    assert extract(f"<article><p>{LONG} a{comment}b</p><p>{LONG} behind</p></article>") == f"{LONG} ab {LONG} behind"
+
+
+@pytest.mark.parametrize("tag", [
+    '<p class="a"">', "<p title=it's>", "<p it's>", "<p title=a\"b>", "<p 'x>", "<p title = 'a > b' \">", "<p title=>", "<p data_hidden>",
+    "<p title=it's/hidden>", "<p title='it' ' >", "<p/title=\"a>b\"/>", "<p =\">",
+])
+def test_quotes_count_only_where_a_value_starts(tag):
+    page = f"<article>{tag}{LONG} it's a \"word\"</p><p class='b' title=\"c > d\">{LONG} behind</p></article>"
+    assert extract(page) == f"{LONG} it's a \"word\" {LONG} behind"
+
+
+def test_the_end_of_the_page_cuts_only_a_tag():
+    assert extract(f"<p>{LONG} a <b and") == extract(f"<p>{LONG} a </b and") == f"{LONG} a"
+    assert extract(f"<p>{LONG} a <é and") == f"{LONG} a <é and" and extract(f"<p>{LONG} a </") == f"{LONG} a </"
+    assert extract("<p>" + "<é " * 30_000) == ("<é " * 30_000).strip() and extract('<a b="' * 30_001) == ""
+
+
 def test_short_article_and_nothing():
     assert extract("<nav>menu</nav><article><h1>Hi</h1></article><p>x</p>") == "Hi"
     assert extract("") == extract("<nav>menu</nav>") == extract("<!-- x") == extract("   ") == ""
