@@ -59,9 +59,9 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    """Which documents the mixture takes, and in how many passes over their source."""
-    taken = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
-    return taken.select("doc_id", "source", "pass_number")
+    """Which documents the mixture takes, in how many passes over their source, and where in a pass."""
+    taken = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"), places=True)
+    return taken.select("doc_id", "source", "pass_number", "block", "position")
 
 
 def op8_private_data(spark: SparkSession, folder: str) -> DataFrame:

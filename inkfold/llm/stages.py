@@ -44,9 +44,9 @@ def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in mixture weights: every document once at least, small sources repeated up to
-    twice."""
+    twice.  Rows, and the files written of them, follow the mixture's order."""
     packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    taken = mixing.mix(packed.select("doc_id", "source", "row", mixing.words(F.col("text")).alias("n_words")), tokens=F.col("n_words"))
+    taken = mixing.mix(packed.select("doc_id", "source", "row", mixing.words(F.col("text")).alias("n_words")), tokens=F.col("n_words"), ordered=True)
     return taken.select("row.*")
 
 

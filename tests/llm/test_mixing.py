@@ -50,6 +50,52 @@ def test_passes_are_permuted_anew_and_repeatably(spark):
     assert one == sorted((r.doc_id, r.pass_number) for r in M.mix(df.repartition(7), how).collect())
 
 
+def places_of(spark, df, how):
+    out = {}
+    for r in M.mix(df, how, places=True).collect():
+        out.setdefault((r.source, r.pass_number), []).append((r.position, r.block, r.doc_id))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("how", [M.Mixture(repetition=3.5, block=8), M.Mixture(budget=5000, block=16)])
+def test_every_pass_has_an_order_of_its_own(spark, how):
+    df = table(spark, [400, 60, 30])
+    got = places_of(spark, df, how)
+    assert got == places_of(spark, df.repartition(7), how)
+    assert sorted((d, p) for (_, p), rows in got.items() for _, _, d in rows) == sorted((r.doc_id, r.pass_number) for r in M.mix(df, how).collect())
+    ids = {s: sorted(i for _, _, i in rows) for (s, p), rows in got.items() if p == 0}
+    for (s, p), rows in got.items():
+        assert [x for x, _, _ in rows] == list(range(len(rows)))
+        assert [b for _, b, _ in rows] == sorted(b for _, b, _ in rows)  # block after block
+        order = [i for _, _, i in rows]
+        assert order != sorted(order) and len(set(order)) == len(order)
+        for q in range(p):
+            assert order != [i for _, _, i in got[s, q]][: len(order)]
+            assert {i: b for _, b, i in got[s, q] if i in order} != {i: b for _, b, i in rows}
+    assert any(p > 0 for _, p in got) and len(ids["s0"]) > 100
+
+
+def test_ordered_rows_follow_the_passes_and_hold_the_weights_throughout(spark):
+    df, how = table(spark, [900, 300]), M.Mixture(repetition=1.7, block=8)
+    places = places_of(spark, df, how)
+    rows = M.mix(df, how, ordered=True).collect()
+    assert [(r.doc_id, r.pass_number) for r in rows] == [(r.doc_id, r.pass_number) for r in M.mix(df.repartition(7), how, ordered=True).collect()]
+    for s in ("s0", "s1"):
+        assert [(r.pass_number, r.doc_id) for r in rows if r.source == s] == [(p, i) for (t, p), v in sorted(places.items()) if t == s for _, _, i in v]
+    share = sum(r.source == "s1" for r in rows) / len(rows)
+    for part in (rows[: len(rows) // 3], rows[len(rows) // 3 : 2 * len(rows) // 3], rows[2 * len(rows) // 3 :]):
+        assert abs(sum(r.source == "s1" for r in part) / len(part) - share) < 0.1
+
+
+def test_places_of_odd_rows(spark):
+    rows = [(1, None, None), (2, "", "a"), (2, "", "a"), (3, "x y", "a"), (None, "z", None), (4, "", "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.mix(df, places=True, ordered=True)
+    assert got.columns == ["doc_id", "text", "source", "pass_number", "block", "position"]
+    assert sorted((r.source or "", r.position) for r in got.filter("pass_number = 0").collect()) == [("", 0), ("", 1), ("a", 0), ("a", 1), ("a", 2), ("empty", 0)]
+    assert M.mix(df.limit(0), places=True, ordered=True).count() == 0
+
+
 def test_cases(spark):
     rows = [(1, None, None), (2, "", "a"), (2, "", "a"), (3, "x y", "a"), (None, "z", None), (4, "", "empty")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -1,11 +1,12 @@
 from collections import Counter
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inkfold.llm import stages
+from inkfold.llm import mixing, stages
 from inkfold.llm.queries import PIECES
 from tests.llm.test_private_data import brute as base_spans
 from tests.llm.test_similar_texts import brute as components
@@ -74,6 +75,14 @@ def test_stages_keep_clashing_columns_and_odd_rows(spark):
     assert stages.encode_pieces(spark, docs, DATA).count() == len(rows)
 
 
+def test_mixing_writes_the_order_of_the_mixture(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    stages.mix_sources(spark, docs, DATA).write.parquet(str(tmp_path / "mixed"))
+    files = sorted((tmp_path / "mixed").glob("part-*.parquet"))
+    written = [i for f in files for i in pq.read_table(f).column("doc_id").to_pylist()]
+    assert written == [r.doc_id for r in mixing.mix(docs, ordered=True).collect()] and written != sorted(written)
+
+
 def test_run_gives_every_mixed_document(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.filter(F.col("ids").isNull()).count() == 0 and out.count() >= out.select("doc_id").distinct().count() > 100
