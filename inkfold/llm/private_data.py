@@ -312,26 +312,72 @@ def find(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
     return found.select(*others, *map(of_kind, range(4)), _listed(base).alias("base"), _listed(F.col("candidates")).alias("spans"))
 
 
+def _tops(values: Column) -> Column:
+    """The largest value before each place (0 for the first), by blocks like the sums."""
+    n = F.size(values)
+    largest = lambda part: F.coalesce(F.array_max(part), F.lit(0))
+    blocks = F.transform(_upto(F.ceil(n / _BLOCK).cast("int")), lambda b: largest(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+    def places(tops: Column) -> Column:
+        before = F.transform(_upto(F.size(tops)), lambda b: largest(F.slice(tops, F.lit(1), b)))
+        return _let(before, lambda base: F.transform(_upto(n), lambda i: F.greatest(F.get(base, (i / _BLOCK).cast("int")), largest(
+            F.slice(values, (i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK)))))
+
+    return _let(blocks, places)
+
+
+def _merged(spans: Column) -> Column:
+    """Spans in order of start, those that overlap as one, with the kind of the longest."""
+    n = F.size(spans)
+
+    def group(tops: Column, heads: Column, k: Column) -> Column:
+        head, after = F.get(heads, k), F.coalesce(F.get(heads, k + 1), n)
+        own = F.slice(spans, head + 1, after - head)
+        longest = F.array_max(F.transform(own, lambda s: F.struct((s["end"] - s["start"]).alias("size"), (-s["kind"]).alias("kind"))))
+        # All groups before end at or before this one's start.
+        end = F.coalesce(F.get(tops, after), F.array_max(F.transform(spans, lambda s: s["end"])))
+        return F.struct(F.get(spans, head)["start"].alias("start"), end.alias("end"), (-longest["kind"]).alias("kind"))
+
+    def all_of(tops: Column) -> Column:
+        heads = F.filter(_upto(n), lambda i: F.get(spans, i)["start"] >= F.get(tops, i))
+        return _let(heads, lambda h: F.transform(_upto(F.size(h)), lambda k: group(tops, h, k)))
+
+    return _let(_tops(F.transform(spans, lambda s: s["end"])), all_of)
+
+
+_CHUNK = 1024
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with a mark for each of the spans, which are apart and in order."""
+    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+
+    def between(chunks: Column, start: Column, end: Column) -> Column:
+        # Places in a string are counted from its start: only the chunks in question are joined.
+        first = (start / _CHUNK).cast("int")
+        part = F.array_join(F.slice(chunks, first + 1, (end / _CHUNK).cast("int") - first + 1), "")
+        return F.substring(part, start % _CHUNK + 1, end - start)
+
+    def cut(chunks: Column, merged: Column) -> Column:
+        def piece(k: Column) -> Column:
+            here = F.get(merged, k)
+            since = F.when(k > 0, F.get(merged, k - 1)["end"]).otherwise(0)
+            return F.concat(between(chunks, since, here["start"]), F.element_at(marks, here["kind"] + 1))
+
+        last = F.element_at(merged, -1)["end"]
+        rest = F.array(between(chunks, last, F.greatest(last, F.size(chunks) * _CHUNK)))
+        return F.array_join(F.concat(F.transform(_upto(F.size(merged)), piece), rest), "")
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, _let(_merged(spans), lambda m: _let(chunks, lambda c: cut(c, m)))).otherwise(text)
+
+
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """The same rows with each span of the text replaced by its kind in brackets."""
-    rows = candidates(df, text, keep=[])
-    model = train(rows)
-    out = df
-    for source in SOURCES:
-        mark = F.lit(f"[{source.kind.upper()}]")
-        kind = F.lit(KINDS.index(source.kind))
-
-        def joined(cut: Column) -> Column:
-            def piece(i: Column) -> Column:
-                found, gap = F.get(cut["m"], i), F.get(cut["g"], i)
-                judged = _judged(source, found, F.right(gap, F.lit(CONTEXT)), F.left(F.get(cut["g"], i + 1), F.lit(2)))
-                stays = lambda j: j["passes"] & (j["base"] | model.accepts(kind, j["votes"]))
-                put = _let(judged, lambda j: F.when(stays(j), mark).otherwise(found))
-                return F.concat(gap, put)
-
-            pieces = F.transform(_upto(F.size(cut["m"])), piece)
-            return F.concat(F.array_join(pieces, ""), F.element_at(cut["g"], -1))
-
-        body = F.col(f"`{text}`")
-        out = compute_once(out.withColumn(text, F.when(source.holds(body), _let(_cut(body, source), joined)).otherwise(body)), text).select(*df.columns)
-    return out
+    """The same rows with the spans that `find` gives replaced by their kind in brackets; spans
+    that overlap are replaced as one, by the kind of the longest."""
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("body"))
+    rows = candidates(packed, "body")
+    model = train(candidates(packed, "body", keep=[]))
+    found = compute_once(accepted(rows, model), "candidates")
+    out = compute_once(found.withColumn("body", _replaced(F.col("body"), F.col("candidates"))), "body")
+    return out.select(*[F.col("body").alias(c) if c.lower() == text.lower() else F.col(f"row.`{c}`") for c in df.columns])

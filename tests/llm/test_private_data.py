@@ -86,6 +86,31 @@ def test_reliabilities_follow_agreement():
     assert min(model.reliability[:4]) > 0.9 > 0.6 > model.reliability[4]
 
 
+def cut(text, spans):
+    """The text with overlapping spans (kind, start, end) replaced as one."""
+    groups = []
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], P.KINDS.index(s[0]))):
+        if groups and start < groups[-1][1]:
+            groups[-1][1] = max(groups[-1][1], end)
+            groups[-1][2].append((start - end, P.KINDS.index(kind)))
+        else:
+            groups.append([start, end, [(start - end, P.KINDS.index(kind))]])
+    out, at = "", 0
+    for start, end, kinds in groups:
+        out, at = out + text[at:start] + f"[{P.KINDS[min(kinds)[1]].upper()}]", end
+    return out + text[at:]
+
+
+def test_redact_replaces_every_code_point_of_every_span(spark):
+    mixed = ["call +33.1.23.45.67.89 now", "or +1 10.0.0.1 2345, é😀", "a@1.2.3.4.de " * 300, "😀" * 1023 + " 1.2.3.4" + "é" * 1015 + "x@y.de", "+33.1.23.45.67.89" + "é" * 3000]
+    texts = hard_texts() + mixed
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    found = {r.doc_id: [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)] for r in P.find(df, keep=["doc_id"]).collect()}
+    got = {r.doc_id: r.text for r in P.redact(df).collect()}
+    assert all(got[i] == cut(text, found[i]) for i, text in enumerate(texts))
+    assert [got[len(texts) - 5], got[len(texts) - 4]] == ["call [PHONE] now", "or [PHONE], é😀"]
+
+
 def test_redact_and_cases(spark):
     rows = [(1, "x a@b.com, y", "k"), (1, "x a@b.com, y", "k"), (2, None, "k"), (None, "", None), (3, "ip 10.1.2.3 and 4111111111111111.", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
