@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from inkfold.session import shared_dir
@@ -25,6 +27,18 @@ class Landing:
         table._landed_path = path
         return table
 
+    def land_bucketed(self, df: DataFrame, buckets: int, column: str) -> DataFrame:
+        """The same with the rows of a column's value in one bucket: joins and aggregates on it
+        need no shuffle.  Without a shuffle before it, each task writes a file a bucket it has."""
+        path, name = shared_dir(self.spark, self.purpose), f"bucketed_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(name)
+        self.spark.sparkContext._jvm.System.gc()
+        table = self.spark.table(name)
+        # The plan holds files and buckets; the catalog, which others may share, need not.
+        self.spark.sql(f"DROP TABLE {name}")
+        table._landed_path = path
+        return table
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete landed tables that no later result reads."""
         jvm = self.spark.sparkContext._jvm

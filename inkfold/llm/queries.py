@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkfold.llm import language, main_text, mixing, near_vectors, private_data, repetition, sentence_pieces, similar_texts, token_counts, toxicity
+from inkfold.llm import (
+    byte_pairs, hard_negatives, language, main_text, mixing, near_vectors, private_data, repetition,
+    sentence_pieces, similar_texts, spelling, token_counts, toxicity,
+)
+from inkfold.llm.oracle import ORACLE as ORACLE
 from inkfold.sources.tables import table
 
 PIECES = "piece_bpe_32k.model"
@@ -88,6 +92,33 @@ def op10_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.quality(table(spark, folder, "documents"), keep=["doc_id"])
 
 
+def is_anchor() -> Column:
+    """Rows that negatives are mined for."""
+    return F.col("id") % 100 == 0
+
+
+def shifted_label() -> Column:
+    """The label, moved on by one where 7 divides the id."""
+    return F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+
+
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, for each of its first five positives."""
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"), is_anchor(), shifted_label())
+
+
+def op12_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Encode every document into byte-level pieces and decode it again."""
+    columns = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return byte_pairs.encode(table(spark, folder, "documents"), public_tokenizers.path(BYTE_PAIRS), keep=["doc_id"], columns=columns)
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, their near words, and the form and root that they vary."""
+    words = spelling.count_words(table(spark, folder, "documents"), slips=97)
+    return spelling.variants(words)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language": op2_language,
@@ -99,7 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_private_data": op8_private_data,
     "op9_toxicity": op9_toxicity,
     "op10_repetition": op10_repetition,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_byte_pairs": op12_byte_pairs,
+    "op13_spelling": op13_spelling,
 }
-
-#: SQL for DuckDB, where SQL can say it.
-ORACLE: dict[str, str] = {}
