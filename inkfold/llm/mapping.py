@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 #: Bytes of text handed to a function at once (one longer text goes alone).
 CHUNK_BYTES = 1 << 20
@@ -26,6 +27,16 @@ def chunks(sizes: Sequence[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         yield start, len(sizes)
 
 
+def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of a text column and their UTF-8 texts (null: empty).  A range is cut before it
+    is turned into Python's bytes, so that a task holds one chunk beside the column batch."""
+    if not pa.types.is_binary(column.type):
+        column = column.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for i, j in chunks(sizes):
+        yield i, j, [t or b"" for t in column.slice(i, j - i).to_pylist()]
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list[bytes]], dict]],
@@ -45,7 +56,11 @@ def map_texts(
     lower = {n.lower() for n in names}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in lower]
     kept = list(dict.fromkeys(kept))
-    ready = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias(_TEXT))
+    ready = df.select(*[F.col(f"`{c}`") for c in kept])
+    # A text that is kept travels once.
+    place = kept.index(text) if text in kept and isinstance(df.schema[text].dataType, StringType) else len(kept)
+    if place == len(kept):
+        ready = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias(_TEXT))
     out = StructType([ready.schema[c] for c in kept] + made.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,13 +68,12 @@ def map_texts(
 
         target, call = to_arrow_schema(out), make()
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
-            texts = [t or b"" for t in texts]
-            for i, j in chunks([len(t) for t in texts]):
-                result = call(texts[i:j])
+            for i, j, texts in text_chunks(batch.column(place)):
+                result = call(texts)
                 columns = [batch.column(k).slice(i, j - i) for k in range(len(kept))]
                 columns += [pa.array(result[n], target.field(n).type) for n in names]
                 columns = [c.cast(f.type) for c, f in zip(columns, target, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
+            pa.default_memory_pool().release_unused()
 
     return ready.mapInArrow(run, out)

@@ -145,7 +145,17 @@ def _repeated_lines(words: Words) -> np.ndarray:
     line = range_hashes(words.buffer, start, end)
     order = np.lexsort((line, text))
     again = (line[order[1:]] == line[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
-    return np.bincount(text[order[1:]][again], minlength=len(words.counts))
+    # Equal hashes only say where to look: lines are counted when their bytes are equal.
+    out, seen = np.zeros(len(words.counts), np.int64), set()
+    data = words.buffer.tobytes()
+    for k in np.flatnonzero(again):
+        i, j = order[k], order[k + 1]
+        if not k or not again[k - 1]:
+            seen = {data[start[i] : end[i]]}
+        own = data[start[j] : end[j]]
+        out[text[j]] += own in seen
+        seen.add(own)
+    return out
 
 
 MEASURED = (

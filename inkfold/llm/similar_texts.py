@@ -19,8 +19,8 @@ The links so found connect all texts that any chain of similar texts connects.
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case.  Fewer words than a shingle has are one
 shingle.  Defined cases: a text that is null or has no word has no shingle and links
 with nothing, also not with its like; a null id links with nothing; rows with the same
-id are one text's rows if their texts are equal, else their links are united; an empty
-table gives an empty table.
+id are one document, and the links of all their texts are united; an empty table gives an
+empty table.  Shingles are compared by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from inkfold.llm.components import connected_components
 from inkfold.llm.landing import Landing
-from inkfold.llm.mapping import chunks, map_texts
+from inkfold.llm.mapping import map_texts, text_chunks
 from inkfold.llm.words import mix, range_hashes, split_words, window_hashes
 
 BITS = 1024
@@ -47,6 +47,7 @@ class Join:
     words: int = 5
     percent: int = 80  # of the union that the intersection must have
     block: int = 2048  # members of a tree at most
+    deal: int = 256  # members of a shingle that a task deals to blocks
     fan: int = 8  # children of a node
     sketch_bits: int = 22  # counters of a task; more for more text
     common: int = 1 << 17  # names of common shingles that are broadcast at most
@@ -88,9 +89,8 @@ def _common(df: DataFrame, text: str, how: Join) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(counters, np.int32)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(0).to_pylist()]
-            for i, j in chunks([len(t) for t in texts]):
-                found, _ = shingles(texts[i:j], how.words)
+            for _, _, texts in text_chunks(batch.column(0)):
+                found, _ = shingles(texts, how.words)
                 np.add.at(table, (found >> np.uint64(64 - how.sketch_bits)).astype(np.int64), 1)
         high = np.flatnonzero(table > max(7.0, 4 * table.mean()))
         yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(table[high].astype(np.int64))], ["counter", "n"])
@@ -100,6 +100,21 @@ def _common(df: DataFrame, text: str, how: Join) -> np.ndarray:
     return np.array([r["counter"] for r in top.collect()][::-1], np.int64)
 
 
+#: What tells a set from others: its size and two sums of 64 bits.
+KEY = ["n", "sum", "mix"]
+
+
+def _digests(found: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two numbers that tell each of the sets, which stand one after another."""
+    total, other = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        first = (np.cumsum(n) - n)[full]
+        total[full] = np.add.reduceat(mix(found), first)
+        other[full] = np.bitwise_xor.reduceat(mix(found + np.uint64(0x632BE59BD9B4E019)), first)
+    return total.view(np.int64), other.view(np.int64)
+
+
 SIGNED = "n long, sum long, mix long, prefix array<long>, bits binary"
 
 
@@ -144,17 +159,13 @@ def _signatures(df: DataFrame, id_col: str, text: str, how: Join, common: np.nda
             found, owner = shingles(texts, how.words)
             n = np.bincount(owner, minlength=len(texts))
             first = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
-            full = np.flatnonzero(n)
-            total, other = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-            if len(full):
-                total[full] = np.add.reduceat(mix(found), first[full])
-                other[full] = np.bitwise_xor.reduceat(mix(found + np.uint64(0x632BE59BD9B4E019)), first[full])
+            total, other = _digests(found, n)
             order = np.lexsort((found, place[(found >> np.uint64(64 - how.sketch_bits)).astype(np.int64)], owner))
             length = np.where(n > 0, n - _least(n, how.percent) + 1, 0)
             inside = np.arange(len(found)) - first[owner] < length[owner]
             offsets = np.concatenate((np.zeros(1, np.int32), np.cumsum(length))).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[order][inside].view(np.int64)))
-            return {"n": n, "sum": total.view(np.int64), "mix": other.view(np.int64), "prefix": prefix, "bits": _wide_bitmaps(found, owner, n)}
+            return {"n": n, "sum": total, "mix": other, "prefix": prefix, "bits": _wide_bitmaps(found, owner, n)}
 
         return call
 
@@ -173,8 +184,10 @@ def _filter_of(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 def _sets(df: DataFrame, id_col: str, text: str, how: Join, wanted: DataFrame) -> DataFrame:
-    """Shingle sets (id, set) of the wanted ids and a few others; texts are not shuffled."""
-    held = df.sparkSession.sparkContext.broadcast(_filter_of(wanted, how.filter_bits))
+    """Shingle sets (id, set) of the wanted classes (member, doc, n, sum, mix), from the texts
+    of their smallest ids; a text that is not the class's has another digest.  Texts are not shuffled."""
+    docs = wanted.select(F.col("doc").alias("id"))
+    held = df.sparkSession.sparkContext.broadcast(_filter_of(docs, how.filter_bits))
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << how.filter_bits))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("text")).filter(F.col("id").isNotNull())
 
@@ -183,15 +196,16 @@ def _sets(df: DataFrame, id_col: str, text: str, how: Join, wanted: DataFrame) -
         for batch in batches:
             slots = batch.column(2).to_numpy()
             asked = (table[slots >> 6] >> (slots & 63)) & 1 == 1
-            batch = batch.filter(pa.array(asked))
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for i, j in chunks([len(t) for t in texts]):
-                found, owner = shingles(texts[i:j], how.words)
-                offsets = np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32)
+            for _, _, texts in text_chunks(batch.column(1).filter(pa.array(asked))):
+                found, owner = shingles(texts, how.words)
+                n = np.bincount(owner, minlength=len(texts))
+                total, other = _digests(found, n)
+                offsets = np.concatenate((np.zeros(1, np.int32), np.cumsum(n))).astype(np.int32)
                 sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sets], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(total), pa.array(other), sets], [*KEY, "set"])
 
-    return rows.withColumn("slot", slot).mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
+    found = rows.withColumn("slot", slot).mapInArrow(run, "n long, sum long, mix long, set array<long>").dropDuplicates(KEY)
+    return found.join(wanted, KEY).select(F.col("member").alias("id"), "set")
 
 
 def _similar(both: Column, a: Column, b: Column, percent: int) -> Column:
@@ -323,13 +337,17 @@ def _left_over(shared: DataFrame, parts: DataFrame, members: DataFrame, how: Joi
         F.bit_xor(F.xxhash64("id")).alias("which"), F.min("hub").alias("hub"))
     # Pairs with the hub have been compared, so two members are done; tokens of equal groups count once.
     open_ = groups.filter((F.col("low") != F.col("high")) & (F.col("size") > 2))
-    one_each = open_.groupBy("size", "which", "hub", "main").agg(F.min("token").alias("token")).select("token", "main")
-    rows = named.join(one_each, "token").filter(F.col("id") != F.col("hub")).select("token", "id", "part", (F.col("part") != F.col("main")).alias("apart"))
+    one_each = open_.groupBy("size", "which", "hub", "main").agg(F.min("token").alias("token")).select("token", "main", "size")
+    rows = named.join(one_each, "token").filter(F.col("id") != F.col("hub")).select("token", "size", "id", "part", (F.col("part") != F.col("main")).alias("apart"))
     rows = landing.land(rows)
-    blocks = rows.groupBy("token").agg(
+    # A token of many members is dealt in parts from here on.
+    parts_of = F.ceil(F.col("size") / how.deal).cast("int")
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64("id", F.lit(2)), parts_of).cast("int"))
+    blocks = rows.groupBy("token", "size").agg(
         F.ceil(F.count(F.when(F.col("apart"), 1)) / how.block).cast("int").alias("n_apart"),
         F.ceil(F.count(F.when(~F.col("apart"), 1)) / how.block).cast("int").alias("n_main"))
-    dealt = rows.join(blocks.filter(F.col("n_apart") > 0), "token")
+    blocks = blocks.filter(F.col("n_apart") > 0).withColumn("deal", F.explode(F.sequence(F.lit(0), parts_of - 1)))
+    dealt = rows.join(blocks.drop("size"), ["token", "deal"])
     block = F.pmod(F.xxhash64("id"), F.when(F.col("apart"), F.col("n_apart")).otherwise(F.col("n_main"))).cast("int")
     dealt = dealt.withColumn("block", block)
 
@@ -379,38 +397,48 @@ def _left_over(shared: DataFrame, parts: DataFrame, members: DataFrame, how: Joi
     return found.filter(F.col("u") != F.col("v")).distinct()
 
 
+def _one_document(placed: DataFrame) -> DataFrame:
+    """Links (u, v) between the classes of an id whose rows have several texts."""
+    of_id = placed.filter("member is not null").groupBy("id").agg(F.min("member").alias("u"), F.max("member").alias("last"))
+    several = of_id.filter(F.col("u") != F.col("last")).select("id", "u")
+    return placed.join(several, "id").select("u", F.col("member").alias("v")).filter(F.col("u") != F.col("v")).distinct()
+
+
 def similar_texts(df: DataFrame, how: Join = Join(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a row: id, n_shingles and component_id (smallest id reachable by links)."""
     landing = Landing(df.sparkSession, "similar-texts")
     signed = landing.land(_signatures(df, id_col, text, how, _common(df, text, how)))
-    key = ["n", "sum", "mix"]
     usable = signed.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = landing.land(usable.groupBy(*key).agg(F.min("id").alias("member")))
-    heads = classes.select(F.col("member").alias("id"), *key)
-    members = signed.join(heads, ["id", *key], "left_semi")
+    # A class has a number of its own: its smallest id may be that of another class too.
+    classes = landing.land(usable.groupBy(*KEY).agg(F.min("id").alias("doc")).withColumn("member", F.monotonically_increasing_id()))
+    heads = classes.select(F.col("doc").alias("id"), *KEY, "member")
+    members = signed.join(heads, ["id", *KEY]).select(F.col("member").alias("id"), "n", "prefix", "bits")
     # Only shingles that two members have in their prefixes matter.
     postings = landing.land(members.select("id", F.explode("prefix").alias("token")))
     hubs = postings.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter(F.col("hub") != F.col("last"))
     shared = landing.land(postings.join(hubs.select("token", "hub"), "token").distinct())
     landing.drop(postings)
     asked = shared.select("id").distinct()
-    bitmaps = landing.land(signed.select("id", "n", "bits").join(asked, "id", "left_semi").dropDuplicates(["id", "n", "bits"]))
+    bitmaps = landing.land(members.select("id", "n", "bits").join(asked, "id", "left_semi").dropDuplicates(["id"]))
     pairs = shared.filter(F.col("id") != F.col("hub")).select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("u").alias("member")).unionByName(pairs.select(F.col("v").alias("member"))).distinct()
+        return landing.land(_sets(df, id_col, text, how, landing.land(classes.join(ends, "member", "left_semi"))))
+
     first = landing.land(_possible(pairs, bitmaps, how))
-    ends = first.select(F.col("u").alias("id")).unionByName(first.select(F.col("v").alias("id"))).distinct()
-    sets = landing.land(_sets(df, id_col, text, how, ends))
+    sets = sets_of(first)
     links = landing.land(_verified(first, sets, how))
     parts = landing.land(connected_components(links, landing))
     landing.drop(sets, first)
     more = landing.land(_left_over(shared, parts, bitmaps, how, landing))
-    ends = more.select(F.col("u").alias("id")).unionByName(more.select(F.col("v").alias("id"))).distinct()
-    sets = landing.land(_sets(df, id_col, text, how, ends))
-    linked = links.unionByName(_verified(more, sets, how))
+    sets = sets_of(more)
+    placed = landing.land(signed.select("id", *KEY).join(classes.select(*KEY, "member"), KEY, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("member")).alias("member")))
+    linked = links.unionByName(_verified(more, sets, how)).unionByName(_one_document(placed))
     components = landing.land(connected_components(linked, landing))
-    landing.drop(sets, more, shared, bitmaps, parts, links)
-    named = classes.join(components.select(F.col("id").alias("member"), "component"), "member", "left")
-    named = named.select(*key, F.coalesce("component", "member").alias("component"))
-    # Rows that share an id are one document: all of its classes are united by the smallest component.
-    out = signed.select("id", *key).join(named, key, "left")
-    found = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"))
+    landing.drop(sets, more, shared, bitmaps, parts, links, signed)
+    named = classes.select("member", "doc").join(components.withColumnRenamed("id", "member"), "member", "left")
+    named = named.select("member", "doc", F.coalesce("component", "member").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    out = placed.join(named.join(smallest, "component").select("member", "component_id"), "member", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -1,9 +1,11 @@
 """Toxicity by multiple-instance learning: labels are of documents, scores of sentences.
 
 A sentence has the probability p = 1 / (1 + exp(-z)), z a bias and the sum of the weights
-of its features; a document is toxic if any sentence is (noisy-or): 1 - prod(1 - p).  The
-weights are trained from document labels through that formula, so that the sentences that
-explain a label get high scores and can be named.
+of its weighted features; a document is toxic if any sentence is (noisy-or): 1 - prod(1 - p).
+The product runs over the sentences that have a weighted feature and one more that has none,
+which stands for all the others: a text is judged by what it holds, not by its length.  The
+weights are trained from document labels through that same formula, so that the sentences
+that explain a label get high scores and can be named.
 
 Features of a word (a run of letters, lower case) are the word and its beginnings of 4 to
 8 bytes.  The candidates for a weight are found over the training texts, counted per
@@ -28,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from inkfold.llm.mapping import chunks, map_texts
+from inkfold.llm.mapping import map_texts, text_chunks
 from inkfold.llm.words import code_points, range_hashes
 from inkfold.session import shared_dir
 
@@ -98,10 +100,9 @@ def _counted(df: DataFrame, least: int, most: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(0).to_pylist()]
             toxic = np.array(batch.column(1).to_pylist(), np.int64)
-            for i, j in chunks([len(t) for t in texts]):
-                s = sentences(texts[i:j])
+            for i, j, texts in text_chunks(batch.column(0)):
+                s = sentences(texts)
                 owner = s.text[s.sentence]
                 order = np.lexsort((owner, s.feature))
                 f, o = s.feature[order], owner[order]
@@ -172,22 +173,30 @@ def _document_rows(df: DataFrame, hashes: np.ndarray) -> list:
     return sorted(rows.collect(), key=lambda r: r["rank"])
 
 
+def _hazards(sentence: np.ndarray, weight: np.ndarray, bias: float, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each sentence z and log(1 + exp(z)), 0 for one without a weighted feature: the one
+    rule of training and scoring.  A document adds the same of the bias once."""
+    z = bias + np.bincount(sentence, weight, len(marked))
+    return z, np.where(marked, np.logaddexp(0, z), 0.0)
+
+
 def _fit(rows: list, n_features: int, how: Training) -> tuple[np.ndarray, float]:
-    """Weights and bias that explain the labels through the noisy-or."""
+    """Weights and bias that explain the labels through the noisy-or of :func:`_hazards`."""
     label = np.array([r["toxic"] for r in rows], float)
     counts = np.array([r["n"] for r in rows])
     base = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)[:-1]))
     document = np.repeat(np.arange(len(rows)), counts)
     place = np.concatenate([np.array(r["place"], np.int64) for r in rows])
     sentence = np.concatenate([np.array(r["sentence"], np.int64) + b for r, b in zip(rows, base, strict=True)])
+    marked = np.bincount(sentence, minlength=len(document)) > 0
     weights, bias = np.zeros(n_features), -5.0
     moment, square = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, how.rounds + 1):
-        z = bias + np.bincount(sentence, weights[place], len(document))
-        hazard = np.bincount(document, np.logaddexp(0, z), len(rows))
+        z, each_hazard = _hazards(sentence, weights[place], bias, marked)
+        hazard = np.bincount(document, each_hazard, len(rows)) + np.logaddexp(0, bias)
         push = (1 - label) - label / np.maximum(np.expm1(np.minimum(hazard, 50)), 1e-6)
-        each = push[document] / (1 + np.exp(-z)) / len(rows)
-        slope = np.append(np.bincount(place, each[sentence], n_features) + how.decay * weights, each.sum())
+        each = np.where(marked, push[document] / (1 + np.exp(-z)), 0.0) / len(rows)
+        slope = np.append(np.bincount(place, each[sentence], n_features) + how.decay * weights, each.sum() + push.mean() / (1 + np.exp(-bias)))
         moment = 0.9 * moment + 0.1 * slope
         square = 0.99 * square + 0.01 * slope * slope
         move = 0.15 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
@@ -231,10 +240,8 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
         def call(texts: list[bytes]) -> dict:
             s = sentences(texts)
             place, sentence = _distinct(_place(s.feature, model.hashes), s.sentence)
-            z = model.bias + np.bincount(sentence, model.weights[place], len(s.text))
-            # Sentences without a weighted feature do not count: texts are judged by what they hold, not by length.
-            plain = np.bincount(sentence, minlength=len(s.text)) == 0
-            hazard = np.where(plain, 0.0, np.logaddexp(0, z))
+            marked = np.bincount(sentence, minlength=len(s.text)) > 0
+            _, hazard = _hazards(sentence, model.weights[place], model.bias, marked)
             total = np.bincount(s.text, hazard, len(texts)) + np.logaddexp(0, model.bias)
             value = -np.expm1(-total)
             each = -np.expm1(-hazard)

@@ -78,3 +78,22 @@ def test_cases(spark):
     assert out.columns[:2] == ["doc_id", "text"] and out.columns.count("kept") == 1
     assert all(x.n_words == 0 and x.base_failed and not x.kept for x in out.collect())
     assert R.quality(df.limit(0)).count() == 0
+
+
+def test_lines_of_regular_structure_are_compared_by_their_bytes():
+    one, other = ("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(2048)) for k in (0, 1))
+    text = "\n".join([one, other, one, "x", "x", other, ""]).encode()
+    assert R.measure([text], R.Rules())["n_dup_lines"].tolist() == [3]
+
+
+def test_hashes_of_ranges_tell_them_apart():
+    import numpy as np
+
+    from inkfold.llm.words import range_hashes
+
+    data = np.frombuffer(("ab" * 5000 + "".join("ab"[bin(i).count("1") % 2] for i in range(8192))).encode(), np.uint8)
+    starts = np.repeat(np.arange(0, 12000, 7), 4)
+    ends = starts + np.tile([0, 3, 9, 4200], len(starts) // 4)
+    found = range_hashes(data, starts, ends)
+    texts = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+    assert len(set(found.tolist())) == len(set(texts)) and len({(h, t) for h, t in zip(found.tolist(), texts)}) == len(set(texts))

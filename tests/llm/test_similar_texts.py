@@ -111,3 +111,33 @@ def test_nulls_repeats_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in S.similar_texts(df).collect())
     assert got == [(0, 2, None), (1, 2, 1), (1, 2, 1), (2, 0, 2), (3, 2, 1)]
     assert S.similar_texts(df.limit(0)).count() == 0
+
+
+def test_an_id_with_several_texts_unites_their_links(spark):
+    r = random.Random(2)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (5, a + " end"), (7, b + " tail"), (9, c), (9, b + " tail"), (12, c + " x"), (20, text()), (20, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id) for r in S.similar_texts(df).collect())
+    assert got == [(1, 1), (1, 1), (5, 1), (7, 1), (9, 1), (9, 1), (12, 1), (20, 20), (20, 20)]
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_texts_of_regular_structure_do_not_collide(spark):
+    words = [thue_morse(2048), thue_morse(2048, True)]
+    df = spark.createDataFrame([(i, f"{w} one two three four five") for i, w in enumerate(words)] + [(7, words[0]), (8, words[1])], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.similar_texts(df, S.Join(words=1, percent=90)).collect()}
+    assert got == {0: 0, 1: 1, 7: 7, 8: 8}
+
+
+def test_a_shingle_of_many_members(spark):
+    r = random.Random(6)
+    shared = "one passage that very many texts have in common and nothing more"
+    rows = [(i, shared + " " + " ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(r.choice([2, 2, 3, 40])))) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    how = S.Join(words=2, percent=80, block=40, deal=16)
+    assert sorted(tuple(r) for r in S.similar_texts(df, how).collect()) == brute(rows, 2, 80)
