@@ -9,9 +9,13 @@ as they are, with ``job=("date", "part")``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from inkfold.operators.redirects import at_final_address
+
 
 def list_entries(jobs: DataFrame) -> DataFrame:
     """One row per listed URL, duplicates included.
@@ -64,10 +68,14 @@ def resolve_entries(entries: DataFrame, job: Sequence[str] = ("index",)) -> Data
 
 def attach_companies(
     entries: DataFrame, pages: DataFrame, job: Sequence[str] = ("index",), url: str = "url",
-    newest: str | None = None,
+    newest: str | None = None, redirects: DataFrame | None = None,
 ) -> DataFrame:
     """One row per listed URL that was fetched, with the page's columns.
 
+    With ``redirects`` (what :func:`inkfold.operators.redirects.follow_redirects` resolved)
+    a page that answers under another address has the companies of the one asked for,
+    which the column ``asked`` names.
+
     Hand over pages with their text already extracted: extraction is narrow, and
     the raw HTML then never enters a shuffle.  Where a URL may have several fetched
     copies, name the column whose largest value is the newest.
@@ -75,7 +83,10 @@ def attach_companies(
     fetched = pages.withColumnRenamed(url, "url")
     if newest:
         fetched = newest_pages(fetched, newest)
-    return resolve_entries(entries, job).join(fetched, "url")
+    known = resolve_entries(entries, job)
+    if redirects is not None:
+        known = at_final_address(known, redirects)
+    return known.join(fetched, "url")
 
 
 def newest_pages(pages: DataFrame, by: str) -> DataFrame:
@@ -88,25 +99,76 @@ def newest_pages(pages: DataFrame, by: str) -> DataFrame:
     return pages.groupBy("url").agg(best).select("url", "page.*")
 
 
-def maybe_listed(entries: DataFrame, pages: DataFrame, url: str = "url", bits: int = 20) -> DataFrame:
-    """Pages without most of those that no list names, before any work is done on them.
+#: Bits of one value of the filter, and how many such values it may have.
+SHARD_BITS, MAX_SHARDS = 24, 64
+#: Bits of the filter for each listed key, and places that a key marks.
+BITS_PER_KEY, PLACES = 16, 4
 
-    A table of 2 ** ``bits`` bits that holds the listed URLs is one value of fixed size,
-    so pages are tested where they are read, whatever the number of lists; the exact
-    lookup follows.  Pages are not shuffled for it.
-    """
-    def slot(column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(1 << bits))
 
-    held = entries.select(slot("url").alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("held")
-    )
-    words = entries.sparkSession.range(1 << bits >> 6).withColumnRenamed("id", "word").join(held, "word", "left")
-    row = words.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("held", F.lit(0).cast("bigint")).alias("held")))).alias("t"))
-    table = row.select(F.col("t.held")).scalar()
-    place = slot(url)
-    word = F.get(table, (place / 64).cast("int"))
-    return pages.filter(F.expr("1L") == F.call_function("shiftrightunsigned", word, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")))
+@dataclass(frozen=True)
+class FilterSize:
+    """``shards`` values of ``words`` words of 64 bits."""
+
+    shards: int
+    words: int
+
+
+def filter_size(keys: int, shard_bits: int = SHARD_BITS, max_shards: int = MAX_SHARDS) -> FilterSize:
+    """Enough bits for so many keys, in values of bounded size; the filter ends at
+    ``max_shards`` of them (128 MB), from where on more keys are let through."""
+    bits = 1 << max(16, (max(1, keys) * BITS_PER_KEY - 1).bit_length())
+    shards = min(max_shards, max(1, bits >> shard_bits))
+    return FilterSize(shards, min(bits // shards, 1 << shard_bits) // 64)
+
+
+def maybe_in(keys: DataFrame, rows: DataFrame, columns: Sequence[str], size: FilterSize | None = None) -> DataFrame:
+    """Rows without most of those whose key no row of ``keys`` has, before any work on them.
+
+    A key marks ``PLACES`` bits of one word, in a table sized by the number of distinct keys
+    (counted here, if ``size`` does not say it).  About one in 250 other rows is let through;
+    an exact lookup has to follow.  The table is a few values of bounded size, so rows are
+    tested where they are read and not shuffled.  A null key is in no list.
+    """
+    if size is None:
+        size = filter_size(keys.agg(F.approx_count_distinct(F.xxhash64(*columns))).first()[0])
+    where, which = F.xxhash64(*columns), F.xxhash64(*columns, F.lit(1))
+    shard = F.pmod(where, F.lit(size.shards)).cast("int")
+    word = F.pmod(F.call_function("shiftrightunsigned", where, F.lit(8)), F.lit(size.words)).cast("int")
+    one = F.lit(1).cast("bigint")
+    bits = [F.call_function("shiftleft", one, F.call_function("shiftrightunsigned", which, F.lit(6 * k)).bitwiseAND(F.lit(63)).cast("int")) for k in range(PLACES)]
+    mask = reduce(Column.bitwiseOR, bits)
+    known = keys.dropna(subset=list(columns))
+    held = known.select(shard.alias("shard"), word.alias("word"), mask.alias("mask")).groupBy("shard", "word").agg(F.bit_or("mask").alias("mask"))
+    every = keys.sparkSession.range(size.shards * size.words).select(
+        (F.col("id") / size.words).cast("int").alias("shard"), F.pmod("id", F.lit(size.words)).cast("int").alias("word"))
+    dense = every.join(held, ["shard", "word"], "left")
+
+    def value(k: int) -> Column:
+        own = dense.filter(F.col("shard") == k)
+        marks = F.sort_array(F.collect_list(F.struct("word", F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask"))))
+        return own.agg(marks.alias("t")).select(F.col("t.mask")).scalar()
+
+    found = F.get(value(0), word)
+    for k in range(1, size.shards):
+        found = F.when(shard == k, F.get(value(k), word)).otherwise(found)
+    no_null = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+    # The mask is settled before the test: it stands on both sides of it.
+    tested = rows.select("*", F.inline(F.array(F.struct(found.alias("__found"), mask.alias("__mask")))))
+    return tested.filter(no_null & (F.col("__found").bitwiseAND(F.col("__mask")) == F.col("__mask"))).drop("__found", "__mask")
+
+
+def maybe_listed(entries: DataFrame, pages: DataFrame, url: str = "url", size: FilterSize | None = None) -> DataFrame:
+    """Pages without most of those that no list names; the exact lookup follows."""
+    return maybe_in(entries.select(F.col("url").alias(url)), pages, [url], size)
+
+
+def maybe_newest(pages: DataFrame, newest: str, url: str = "url") -> DataFrame:
+    """Pages without most copies that are not the newest of their URL.
+
+    Only URL and ``newest`` are shuffled to find the newest copies; HTML is not.
+    """
+    best = pages.groupBy(url).agg(F.max(newest).alias(newest))
+    return maybe_in(best, pages, [url, newest])
 
 
 def unfetched_entries(entries: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:

@@ -28,7 +28,7 @@ class BlockRules:
     next_words_after_links: int = 17
 
 
-def _is_content(blocks: Column, index: Column, rules: BlockRules) -> Column:
+def is_content(blocks: Column, index: Column, rules: BlockRules) -> Column:
     """The rules over a block, the one before and the one after it."""
     zero = F.lit(0)
     before, here, after = (F.get(blocks, index + step) for step in (-1, 0, 1))
@@ -78,7 +78,7 @@ def extract_articles(
     pages: DataFrame, html: str = "html", rules: BlockRules = BlockRules()
 ) -> DataFrame:
     """Replace the HTML column by ``title`` and ``content`` (main text, one line per block)."""
-    kept = F.filter("blocks", lambda block, i: _is_content(F.col("blocks"), i, rules))
+    kept = F.filter("blocks", lambda block, i: is_content(F.col("blocks"), i, rules))
     text = F.array_join(F.transform(kept, lambda block: block["text"]), "\n")
     return page_blocks(pages, html).withColumn("content", text).drop("blocks")
 
@@ -93,7 +93,7 @@ def text_blocks(
             block["text"].alias("text"),
             block["words"].alias("words"),
             block["link_words"].alias("link_words"),
-            _is_content(F.col("blocks"), i, rules).alias("is_content"),
+            is_content(F.col("blocks"), i, rules).alias("is_content"),
         ),
     )
     base = page_blocks(pages, html).withColumn("blocks", flagged)
@@ -120,6 +120,8 @@ PARAGRAPH_END = (
 # Tags whose next start or end ends them, so they do not nest.
 SELF_ENDING = frozenset("p a h1 h2 h3 h4 h5 h6 option title".split())
 _CUT = "\x05"
+#: Pieces that a fold over a page's tags takes together.
+FOLD_BLOCK = 256
 
 
 def _tag(name: str) -> str:
@@ -130,8 +132,9 @@ def _inside_containers(markup: Column, container: str, css_class: str | None) ->
     """Inner markup of all matching containers, nesting respected.
 
     The markup is cut at the container's own tags only, and a fold over these
-    pieces keeps the depth.  Its work grows with the square of the number of such
-    tags in one page only through the copying of an array of references.
+    pieces keeps the depth.  It goes by blocks of pieces: what a block keeps is put
+    together on its own and appended once, so that a page with very many tags does
+    not copy all it has kept at each of them.
     """
     own_tag = rf"(</?(?i:{container})(?:[ \t\r\n\f/][^>]*)?>)"
     pieces = F.split(F.regexp_replace(markup, own_tag, _CUT + "$1"), _CUT)
@@ -153,11 +156,8 @@ def _inside_containers(markup: Column, container: str, css_class: str | None) ->
             F.when(index == 0, piece).otherwise(F.substr(piece, F.length(opening) + 2)).alias("rest"),
         )
 
-    start = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit(0).alias("entered"),
-        F.array().cast("array<string>").alias("parts"),
-    )
+    def begin(depth: Column, entered: Column) -> Column:
+        return F.struct(depth.alias("depth"), entered.alias("entered"), F.array().cast("array<string>").alias("parts"))
 
     def walk(state: Column, piece: Column) -> Column:
         depth = F.greatest(state["depth"] + piece["step"], F.lit(0))
@@ -171,8 +171,22 @@ def _inside_containers(markup: Column, container: str, css_class: str | None) ->
         ).otherwise(state["parts"])
         return F.struct(depth.alias("depth"), entered.alias("entered"), parts.alias("parts"))
 
-    folded = F.aggregate(F.transform(pieces, described), start, walk)
-    # A container border ends any open paragraph, so a block tag takes its place.
+    def walk_block(state: Column, block: Column) -> Column:
+        after = F.aggregate(F.transform(block, lambda p: described(p["piece"], p["index"])), begin(state["depth"], state["entered"]), walk)
+        # A container border ends any open paragraph, so a block tag takes its place.
+        text = F.transform(F.array(after), lambda a: F.struct(
+            a["depth"].alias("depth"), a["entered"].alias("entered"),
+            F.concat(state["parts"], F.when(F.size(a["parts"]) > 0, F.array(F.array_join(a["parts"], "<div>"))).otherwise(F.array().cast("array<string>"))).alias("parts")))
+        return F.get(text, F.lit(0))
+
+    def cut(numbered: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(numbered) - 1) / FOLD_BLOCK).cast("int"))
+        return F.transform(starts, lambda k: F.slice(numbered, k * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)))
+
+    numbered = F.transform(pieces, lambda piece, index: F.struct(piece.alias("piece"), index.alias("index")))
+    # As the variable of a lambda the pieces are made once, not for each block.
+    blocks = F.get(F.transform(F.array(numbered), cut), F.lit(0))
+    folded = F.aggregate(blocks, begin(F.lit(0), F.lit(0)), walk_block)
     region = F.array_join(folded["parts"], "<div>")
     if css_class is None:
         return region

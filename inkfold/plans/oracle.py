@@ -264,6 +264,48 @@ article AS (
     GROUP BY page_id) j USING (page_id)
 )"""
 
+# The article as a whole: windows over the blocks.
+_END_MARKS = (
+    "(?i)^(?:©|\\(c\\) |copyright |all rights reserved|comments?$|comments?[ (:]|leave a (?:comment|reply)"
+    "|related (?:articles|posts|stories|news)|read (?:more|next)|share (?:this|on)|more from |tags?:"
+    "|责任编辑|相关阅读|相关新闻|版权所有|免责声明|网友评论)"
+)
+_MAIN = rf"""
+kind AS (
+  SELECT *, words - link_words AS weight, CASE
+    WHEN lower(text) = lower(title)
+      OR list_contains(list_transform(string_split_regex(lower(title), ' [-|»·–—:] |_'), lambda p: trim(p)), lower(text)) THEN 'heading'
+    WHEN words <= 20 AND regexp_matches(text, {_text(_END_MARKS)}) THEN 'end'
+    WHEN is_content THEN 'body' ELSE 'other' END AS kind
+  FROM judged
+),
+upto AS (
+  SELECT *, coalesce(sum(CASE WHEN kind = 'body' THEN weight END) OVER w, 0) AS before,
+    count(CASE WHEN kind = 'heading' THEN 1 END) OVER w AS headings
+  FROM kind WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+closing AS (SELECT page_id, min(pos) AS closed FROM upto WHERE kind = 'end' AND before >= 20 GROUP BY page_id),
+open_body AS (
+  SELECT u.*, coalesce(pos - lag(pos) OVER w > 2 OR headings <> lag(headings) OVER w, true) AS begins
+  FROM upto u LEFT JOIN closing c USING (page_id) WHERE kind = 'body' AND (closed IS NULL OR pos < closed)
+  WINDOW w AS (PARTITION BY page_id ORDER BY pos)
+),
+grouped AS (SELECT *, count(CASE WHEN begins THEN 1 END) OVER (PARTITION BY page_id ORDER BY pos) AS part FROM open_body),
+best AS (
+  SELECT page_id, first(part ORDER BY total DESC, part) AS part
+  FROM (SELECT page_id, part, sum(weight) AS total FROM grouped GROUP BY ALL) WHERE total > 0 GROUP BY page_id
+),
+main AS (
+  SELECT m.page_id, m.title, coalesce(g.content, '') AS content FROM marked m LEFT JOIN (
+    SELECT page_id, string_agg(text, chr(10) ORDER BY pos) AS content FROM grouped JOIN best USING (page_id, part) GROUP BY page_id
+  ) g USING (page_id)
+)"""
+_FRAMED_START = """framed AS (
+  SELECT page_id, url, replace(html, '</article>', '</article><p>Comments (3)</p><p>One reader writes that this is all very well but that it could have been said in fewer words, and then goes on for quite a while about it.</p><p>Related articles</p><ul><li><a href=''/x''>Another one</a></li></ul>') AS html
+  FROM pages
+),
+"""
+
 # Text nodes: no element the selectors ask for is nested in another one of its kind.
 _END_OF_P = (
     r"(?i)</?(?:address|article|aside|blockquote|body|center|div|dl|footer|form|h[1-6]|header|hr|html"
@@ -292,6 +334,27 @@ selected AS (
   FROM article_part
 )"""
 
+# ---------------------------------------------------------------- redirects
+
+_REDIRECTS = """
+moved AS (SELECT page_id, listed, CASE WHEN page_id % 11 = 0 THEN listed ELSE url END AS target, page_id % 3 + 1 AS hops FROM pc WHERE url <> listed),
+hop AS (
+  SELECT CASE k WHEN 0 THEN listed ELSE listed || '#hop' || k END AS asked,
+    CASE WHEN k + 1 = hops THEN target ELSE listed || '#hop' || (k + 1) END AS target
+  FROM moved, range(3) t(k) WHERE k < hops
+),
+edge AS (SELECT asked, max(target) AS target FROM hop GROUP BY asked),
+follow(asked, url, hops) AS (
+  SELECT asked, target, 1 FROM edge
+  UNION ALL
+  SELECT f.asked, e.target, f.hops + 1 FROM follow f JOIN edge e ON e.asked = f.url WHERE f.hops < 100
+),
+resolved AS (SELECT asked AS url, url AS final, CAST(hops AS BIGINT) AS hops FROM follow f WHERE url NOT IN (SELECT asked FROM edge)),
+answered AS (
+  SELECT j.index, j.pos, j.url AS asked, coalesce(r.final, j.url) AS url, l.pre_info
+  FROM job j JOIN last_info l USING (index, url) LEFT JOIN resolved r ON r.url = j.url
+)"""
+
 # ---------------------------------------------------------------- messages
 
 _RESULTS = """
@@ -436,6 +499,19 @@ FROM job j JOIN pages p USING (url)"""
 FROM job j JOIN last_info l USING (index, url) JOIN pages p USING (url)"""
     ),
     "url_unmatched": _with_lists(_UNLISTED),
+    "url_redirected": f"""WITH RECURSIVE {_LISTS},{_REDIRECTS}
+SELECT a.index, a.pos, p.page_id, a.asked, a.url, array_to_string(a.pre_info, '|') AS pre_info FROM answered a JOIN pages p USING (url)""",
+    "redirect_hops": f"WITH RECURSIVE {_PAGES},{_REDIRECTS[: _REDIRECTS.index('answered') - 2]}\nSELECT url, final, hops FROM resolved",
+    "redirect_rejects": f"""WITH RECURSIVE {_LISTS},{_REDIRECTS}
+SELECT stage, reason, count(*) AS n FROM (
+  SELECT 'enrich' AS stage, 'redirect loop' AS reason FROM edge WHERE asked NOT IN (SELECT url FROM resolved)
+  UNION ALL SELECT 'enrich', 'page url not in any list' FROM pages WHERE url NOT IN (SELECT url FROM answered)
+  UNION ALL SELECT 'enrich', 'listed url has no page' FROM answered WHERE url NOT IN (SELECT url FROM pages)
+) GROUP BY stage, reason""",
+    "listed_filter": _with_lists("SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM list)"),
+    "article_main": f"WITH {_BLOCKS},{_MAIN}\nSELECT page_id, title, content FROM main",
+    "article_main_layouts": f"""WITH {_BLOCKS.replace("FROM pages", "FROM framed").replace("markup AS (", _FRAMED_START + "markup AS (", 1)},{_MAIN}
+SELECT page_id, title, content FROM main""",
     "text_blocks": f"WITH {_BLOCKS}\nSELECT page_id, is_content, text, pos, words, link_words FROM judged",
     "article_content": f"WITH {_BLOCKS}\nSELECT url AS link, title, content FROM article",
     "selector_extract": f"""WITH {_SELECTED}
@@ -523,6 +599,14 @@ SELECT 'nextDate' AS key, status, before, after FROM ({_next_dates(EVENTS, "2015
   CASE WHEN len(pre_info) > 1 THEN array_to_string(pre_info, '_') END AS keywords,
   url AS link, title, content, '' AS post_info FROM news"""
     ),
+    "daily_news_redirected": f"""WITH RECURSIVE {_LISTS},{_BLOCKS},{_REDIRECTS},
+list_last AS (SELECT date, part, url, arg_max(pre_info, pos) AS pre_info FROM list GROUP BY ALL),
+news AS (
+  SELECT s.pre_info, a.url, a.title, a.content FROM list l JOIN list_last s USING (date, part, url)
+  LEFT JOIN resolved r ON r.url = l.url JOIN article a ON a.url = coalesce(r.final, l.url)
+)
+SELECT CASE WHEN len(pre_info) > 1 THEN 'multiCompaniesTogether' ELSE pre_info[1] END AS collection,
+  array_to_string(pre_info, '|') AS pre_info, url AS link, title, content FROM news""",
     "daily_news_rejects": f"""WITH {_LISTS},
 {_FEEDS.replace(_PAGES + ",", "")}
 SELECT stage, reason, count(*) AS n FROM (

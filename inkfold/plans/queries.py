@@ -8,7 +8,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkfold.operators import (
-    coverage, enrich, extract, joblists, messages, results, routing, store,
+    article, coverage, enrich, extract, joblists, messages, redirects, results, routing, store,
 )
 from inkfold.plans import daily
 from inkfold.session import shared_dir
@@ -261,9 +261,53 @@ def url_unmatched(spark, folder):
     return enrich.unlisted_pages(entries, table(spark, folder, "pages"))
 
 
+def _followed(spark, folder):
+    return redirects.follow_redirects(derived.redirects(spark, folder))
+
+
+def url_redirected(spark, folder):
+    """Pages that answer under other addresses take the companies of the one asked for."""
+    entries = enrich.list_entries(_jobs(spark, folder))
+    found = enrich.attach_companies(entries, _page_ids(spark, folder), redirects=_followed(spark, folder).resolved)
+    return found.select("index", "pos", "page_id", "asked", "url", _joined("pre_info"))
+
+
+def redirect_hops(spark, folder):
+    """How far each redirected address leads."""
+    return _followed(spark, folder).resolved
+
+
+def redirect_rejects(spark, folder):
+    """Loops, pages that no list leads to, and listed addresses that lead to no page."""
+    entries = enrich.list_entries(_jobs(spark, folder))
+    followed = _followed(spark, folder)
+    final = enrich.at_final_address(entries, followed.resolved)
+    pages = table(spark, folder, "pages")
+    parts = (followed.rejects, enrich.unlisted_pages(final, pages), enrich.unfetched_entries(final, pages))
+    return routing.union_rejects(*parts).groupBy("stage", "reason").agg(F.count("*").alias("n"))
+
+
+def listed_filter(spark, folder):
+    """Pages that the filter sized by the lists lets through and that are listed."""
+    lists = _lists(spark, folder)
+    pages = enrich.maybe_listed(lists, _page_ids(spark, folder))
+    return pages.join(lists.select("url").distinct(), "url", "left_semi").select("page_id", "url")
+
+
 # ---------------------------------------------------------------- extraction
 
 
+def article_main(spark, folder):
+    """The article of each page: without heading, footer and what follows the text."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return article.main_articles(pages).select("page_id", "title", "content")
+
+
+def article_main_layouts(spark, folder):
+    """The same of pages with comments, related links and a second heading behind the text."""
+    return article.main_articles(derived.framed_pages(spark, folder)).select("page_id", "title", "content")
+
+
 def text_blocks(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "html")
     return extract.text_blocks(pages).select(
@@ -317,7 +361,8 @@ def messages_decoded(spark, folder):
 
 def messages_encoded(spark, folder):
     """The messages of the daily job, read back."""
-    sent = daily.collected_messages(_feeds(spark, folder), table(spark, folder, "pages"))
+    landed = lambda parsed: _landed(spark, parsed, "parsed")
+    sent = daily.collected_messages(derived.feeds(spark, folder), table(spark, folder, "pages"), land=landed)
     return messages.decode_messages(sent).select(
         "kind", "log_date", "total", "link", "title", "content", _joined("pre_info")
     )
@@ -521,6 +566,15 @@ def daily_news(spark: SparkSession, folder: str) -> DataFrame:
     return routing.accepted_articles(news.routed).withColumn("pre_info", _joined("pre_info"))
 
 
+def daily_news_redirected(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily job over pages with older copies, redirects followed: articles by company."""
+    landed = lambda parsed: _landed(spark, parsed, "parsed")
+    html = table(spark, folder, "pages").select("url", "html")
+    copies = derived.page_copies(spark, folder).join(html, "url")
+    news = daily.collect_news(derived.feeds(spark, folder), copies, newest="page_id", land=landed, redirects=derived.redirects(spark, folder))
+    return routing.accepted_articles(news.routed).select("collection", _joined("pre_info"), "link", "title", "content")
+
+
 def daily_news_rejects(spark: SparkSession, folder: str) -> DataFrame:
     landed = lambda parsed: _landed(spark, parsed, "parsed")
     news = daily.collect_news(derived.feeds(spark, folder), table(spark, folder, "pages"), land=landed)
@@ -536,11 +590,12 @@ QUERIES = {
         joblist_append, joblist_replace, joblist_clear, joblist_slice, joblist_slice_from_end,
         joblist_count, job_numbers, job_messages, sublist_messages,
         url_companies, url_companies_split, url_companies_copies, url_companies_single, url_no_companies, url_unmatched,
+        url_redirected, redirect_hops, redirect_rejects, listed_filter, article_main, article_main_layouts,
         text_blocks, article_content, selector_extract, selector_places, selector_blocks, selector_links,
         messages_encoded, messages_decoded, legacy_normalised,
         routed, route_counts, keywords, log_dates, rejects, required_gate,
         store_roundtrip, collection_exists, item_export,
         stream_drain, stream_two_queues, stream_collection_exists, stream_empty, stream_rejects, stream_next_dates, stream_backlog,
-        latest_result, next_dates_answer, daily_news, daily_news_rejects,
+        latest_result, next_dates_answer, daily_news, daily_news_redirected, daily_news_rejects,
     )
 }

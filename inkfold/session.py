@@ -7,7 +7,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: What every job here relies on.  AQE splits skewed join partitions and turns a
 #: shuffle join into a broadcast only after it has seen the real size of a side.
@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Rows that go to Python at once: whole documents stand in them.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 #: Only when a session is built: plans are long, and recording the Python line of
@@ -47,6 +49,24 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(base, f"{_MARK}{spark.sparkContext.applicationId}-{purpose}-{uuid.uuid4().hex}")
 
 
+def land(rows: DataFrame, purpose: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: it cuts the lineage, is made once
+    however often it is used, and outlives executors."""
+    path = shared_dir(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    table = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    table._landed_path = path
+    return table
+
+
+def drop_landed(*tables: DataFrame) -> None:
+    """Delete landed tables that no later result reads."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._landed_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _MARK = "inkfold-"
 
 

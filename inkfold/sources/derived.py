@@ -127,6 +127,32 @@ def page_copies(spark: SparkSession, folder: str) -> DataFrame:
     return pages.unionByName(older)
 
 
+def redirects(spark: SparkSession, folder: str) -> DataFrame:
+    """``(asked, target)``: pages that answer under another address than the listed one are
+    reached in 1 to 3 hops; some lead back to where they began, and some name two targets."""
+    moved = page_companies(spark, folder).filter(F.col("url") != F.col("listed"))
+    hops = (F.col("page_id") % 3 + 1).cast("int")
+    end = F.when(F.col("page_id") % 11 == 0, F.col("listed")).otherwise(F.col("url"))
+
+    def stop(k: Column) -> Column:
+        return F.when(k == 0, F.col("listed")).when(k == hops, end).otherwise(F.concat("listed", F.lit("#hop"), k.cast("string")))
+
+    steps = F.transform(F.sequence(F.lit(0), hops - 1), lambda k: F.struct(stop(k).alias("asked"), stop(k + 1).alias("target")))
+    rows = moved.select("page_id", "url", F.explode(steps).alias("step")).select("page_id", "step.*")
+    # An older answer, which sorts before the one that counts.
+    return rows.select("asked", "target").unionByName(rows.filter(F.col("page_id") % 2 == 0).select("asked", F.lit("!").alias("target")))
+
+
+def framed_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """``(page_id, html)``: the given pages with text of other kinds behind the article."""
+    after = (
+        "</article><p>Comments (3)</p><p>One reader writes that this is all very well but that it could have been said in fewer words, and then "
+        "goes on for quite a while about it.</p><p>Related articles</p><ul><li><a href='/x'>Another one</a></li></ul>"
+    )
+    pages = table(spark, folder, "pages").select("page_id", "html")
+    return pages.withColumn("html", F.replace("html", F.lit("</article>"), F.lit(after)))
+
+
 def site_pages(spark: SparkSession, folder: str) -> DataFrame:
     """``(page_id, html)``: the given pages with heading and text in the places of the
     collected site, one inside another element of its kind, and sections in sections."""

@@ -103,3 +103,32 @@ def test_unlisted_pages_reads_only_urls(spark, tmp_path):
     entries = E.list_entries(jobs(spark, (["b"], [["B"]])))
     text = plan(E.unlisted_pages(entries, spark.read.parquet(path)))
     assert "ReadSchema: struct<url:string>" in text
+
+
+def test_the_filter_grows_with_the_lists(spark):
+    """A million listed URLs against pages of another million: few pass, none is lost."""
+    n = 1_000_000
+    entries = spark.range(n).select(F.concat(F.lit("http://a/"), "id").alias("url"))
+    others = spark.range(n).select(F.concat(F.lit("http://b/"), "id").alias("url"))
+    passed = E.maybe_listed(entries, others).count()
+    assert 0 < passed < 0.01 * n
+    assert E.maybe_listed(entries, entries).count() == n
+    fixed = E.filter_size(10_000)
+    assert E.maybe_listed(entries, others, size=fixed).count() > 20 * passed  # what a table of fixed size lets through
+
+
+def test_a_filter_of_several_values(spark):
+    entries = spark.range(20_000).select(F.concat(F.lit("u"), F.col("id") * 2).alias("url"))
+    pages = spark.range(40_000).select(F.concat(F.lit("u"), "id").alias("url")).unionByName(spark.createDataFrame([(None,)], "url string"))
+    size = E.filter_size(20_000, shard_bits=16)
+    assert size.shards == 8
+    kept = {r.url for r in E.maybe_listed(entries, pages, size=size).collect()}
+    assert {r.url for r in entries.collect()} <= kept and len(kept) < 20_400 and None not in kept
+    assert E.filter_size(10**12) == E.FilterSize(E.MAX_SHARDS, 1 << E.SHARD_BITS - 6)
+    assert E.maybe_listed(entries.limit(0), pages).count() == 0
+
+
+def test_only_newest_copies_go_on(spark):
+    pages = spark.range(3000).select(F.concat(F.lit("u"), F.col("id") % 1000).alias("url"), F.col("id").alias("day"), F.lit("<p>").alias("html"))
+    kept = E.maybe_newest(pages, "day").collect()
+    assert {(r.url, r.day) for r in kept} >= {(f"u{i}", i + 2000) for i in range(1000)} and len(kept) < 1030

@@ -175,3 +175,26 @@ def test_nested_inner_elements_keep_their_text(spark):
     df = spark.createDataFrame([(html,)], "html string")
     got = df.select(X.select_texts(F.col("html"), "article", "div").alias("d"), X.select_texts(F.col("html"), "article", "span").alias("s")).first()
     assert got.d == ["a", "b", "c"] and got.s == ["s", "t"]
+
+
+def test_very_many_nested_elements_take_linear_time(spark):
+    import time
+
+    n = 100_000
+    page = "<div class='x'>" * n + "<p>inside</p>" + "</div>" * n + "<p>outside</p><div class='x'><p>more</p></div>"
+    df = spark.createDataFrame([(page,)], "html string").select(X.select_texts(F.col("html"), "div", "p", "x").alias("t"))
+    start = time.time()
+    assert df.first().t == ["inside", "more"]
+    assert time.time() - start < 10
+
+
+def test_blocks_of_the_fold_give_what_one_fold_gives(spark, monkeypatch):
+    r = random.Random(8)
+    pages = ["".join(r.choice(["<div>", "<div class='k'>", "</div>", "<p>a</p>", "t", "<p>b"]) for _ in range(60)) for _ in range(150)]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "page_id int, html string")
+    found = []
+    for size in (1, 3, 10_000):
+        monkeypatch.setattr(X, "FOLD_BLOCK", size)
+        texts = df.select("page_id", X.select_texts(F.col("html"), "div", "p", "k").alias("t"))
+        found.append({row.page_id: row.t for row in texts.collect()})
+    assert found[0] == found[1] == found[2] and sum(bool(t) for t in found[0].values()) > 50
