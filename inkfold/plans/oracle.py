@@ -591,6 +591,18 @@ SELECT 'before' AS state, (SELECT count(*) FROM pages) + (SELECT count(*) FROM l
 UNION ALL SELECT 'after', 0""",
     "latest_result": """
 SELECT CAST(user_id AS VARCHAR) AS key, arg_max(props, event_id) AS value FROM events GROUP BY user_id""",
+    "latest_result_folded": """
+SELECT CAST(user_id AS VARCHAR) AS key, arg_max(props, event_id) AS value FROM events GROUP BY user_id""",
+    "coverage_intervals": f"""
+SELECT min(d) AS first, max(d) AS last FROM (
+  SELECT d, d - CAST(row_number() OVER (ORDER BY d) AS INTEGER) AS island FROM (SELECT DISTINCT d FROM ({ORDERS}) WHERE d IS NOT NULL)
+) GROUP BY island""",
+    "missing_dates_folded": f"{_ORDER_DAYS} EXCEPT {ORDERS}",
+    "next_dates_folded": _next_dates(EVENTS, "2015-10-01"),
+    "collection_rows": _with_messages(
+        "SELECT collection, 2 * count(*) AS n FROM stored WHERE kind = 'crawlerResult' GROUP BY collection"
+    ),
+    "stream_stop_rule": _STORED_COUNTS,
     "next_dates_answer": f"""
 SELECT 'nextDate' AS key, status, before, after FROM ({_next_dates(EVENTS, "2015-10-01")})""",
     "daily_news": _with_news(

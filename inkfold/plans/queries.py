@@ -8,7 +8,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkfold.operators import (
-    article, coverage, enrich, extract, joblists, messages, redirects, results, routing, store,
+    article, coverage, enrich, extract, folded, joblists, messages, redirects, results, routing, store,
 )
 from inkfold.plans import daily
 from inkfold.session import shared_dir
@@ -447,7 +447,20 @@ def collection_exists(spark, folder):
     path = shared_dir(spark, "articles")
     store.append_articles(routing.accepted_articles(_routed(spark, folder)), path)
     names = table(spark, folder, "supplier").select(F.col("s_name").alias("collection"))
-    return store.mark_existing(names, store.stored(spark, path))
+    return store.mark_existing(names, store.collection_index(spark, path))
+
+
+def collection_rows(spark, folder):
+    """How many articles each collection has, from the index; half of it was lost and made again."""
+    path = shared_dir(spark, "articles")
+    articles = routing.accepted_articles(_routed(spark, folder))
+    store.append_articles(articles, path)
+    # A job that died before it wrote its index.
+    store.append_articles(articles, f"{path}-other")
+    lost = store.stored(spark, f"{path}-other").drop("ingested_at", "run", "batch_id")
+    lost.write.partitionBy("branch", "bucket").parquet(f"{path}/{store.STORED}/run=died/batch_id=0")
+    store.rebuild_index(spark, path)
+    return store.collection_index(spark, path).select("collection", F.col("rows").alias("n"))
 
 
 def item_export(spark, folder):
@@ -488,7 +501,15 @@ def stream_collection_exists(spark, folder):
     store.append_articles(late, root)
     names = table(spark, folder, "supplier").select(F.col("s_name").alias("collection"))
     names = names.unionByName(spark.range(1).select(F.lit("a late one").alias("collection")))
-    return store.mark_existing(names, store.stored(spark, root))
+    return store.mark_existing(names, store.collection_index(spark, root))
+
+
+def stream_stop_rule(spark, folder):
+    """A drain that runs until its queue has been idle, then stops: what it has stored."""
+    queue, root, checkpoint = _queued(spark, folder)
+    query = D.start_drain(spark, queue, root, checkpoint, until_empty=False)
+    D.stop_when_idle(query, wait_step=1.0, max_waits=3)
+    return D.drained_articles(spark, root).groupBy("collection").agg(F.count("*").alias("n"))
 
 
 def stream_empty(spark, folder):
@@ -546,6 +567,41 @@ def latest_result(spark, folder):
     return results.latest_results(answers)
 
 
+def _in_batches(rows: DataFrame, number: Column, n: int = 3) -> list[DataFrame]:
+    """All rows, in batches that come one after the other and out of order."""
+    return [rows.filter(F.pmod(number, F.lit(n)) == k) for k in range(n)]
+
+
+def latest_result_folded(spark, folder):
+    """The same answers from a table that each batch of events was folded into."""
+    answers = table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.col("props").alias("value"))
+    kept = folded.FoldedTable(spark, shared_dir(spark, "answers"), results.ANSWERS)
+    for batch in _in_batches(answers, F.xxhash64("seq")):
+        results.fold_results(kept, batch)
+    return results.folded_results(kept)
+
+
+def _folded_days(spark, days: DataFrame) -> DataFrame:
+    kept = folded.FoldedTable(spark, shared_dir(spark, "covered"), coverage.INTERVALS)
+    for batch in _in_batches(days, F.xxhash64("date")):
+        coverage.fold_coverage(kept, batch)
+    return kept.read()
+
+
+def coverage_intervals(spark, folder):
+    """The unbroken runs of days with orders."""
+    return coverage.covered_intervals(_orders(spark, folder))
+
+
+def missing_dates_folded(spark, folder):
+    return coverage.missing_dates_of(_folded_days(spark, _orders(spark, folder)))
+
+
+def next_dates_folded(spark, folder):
+    return coverage.next_dates_of(_folded_days(spark, _events(spark, folder)), TODAY)
+
+
 def next_dates_answer(spark, folder):
     """The stored answer to the date query, read by its key."""
     answer = coverage.next_dates(_events(spark, folder), TODAY)
@@ -596,6 +652,7 @@ QUERIES = {
         routed, route_counts, keywords, log_dates, rejects, required_gate,
         store_roundtrip, collection_exists, item_export,
         stream_drain, stream_two_queues, stream_collection_exists, stream_empty, stream_rejects, stream_next_dates, stream_backlog,
+        collection_rows, stream_stop_rule, latest_result_folded, coverage_intervals, missing_dates_folded, next_dates_folded,
         latest_result, next_dates_answer, daily_news, daily_news_redirected, daily_news_rejects,
     )
 }

@@ -6,7 +6,7 @@ stream, which lies in the checkpoint, and its batch id: a retry after a lost exe
 a restart replaces it, so every message is stored once, and another queue or a new
 checkpoint never touches what is there.
 
-A batch is decoded once and written once.  Its rows carry the branch they belong to
+A batch is decoded once: its routed rows are landed, counted and dealt to files.  Its rows carry the branch they belong to
 as a partition, and each reader below sees its own branch only.
 """
 
