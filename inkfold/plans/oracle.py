@@ -570,6 +570,9 @@ FROM supplier"""
     "stream_two_queues": _with_messages(
         "SELECT collection, 2 * count(*) AS n FROM stored WHERE kind = 'crawlerResult' GROUP BY collection"
     ),
+    "store_joined": _with_messages(
+        "SELECT collection, 3 * count(*) AS n, 3 * count(*) AS indexed FROM stored WHERE kind = 'crawlerResult' GROUP BY collection"
+    ),
     "stream_collection_exists": _with_messages(
         """SELECT s_name AS collection, s_name IN (SELECT collection FROM stored WHERE kind = 'crawlerResult') AS present
 FROM supplier UNION ALL SELECT 'a late one', true"""

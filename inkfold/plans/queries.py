@@ -8,7 +8,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkfold.operators import (
-    article, coverage, enrich, extract, folded, joblists, messages, redirects, results, routing, store,
+    article, coverage, enrich, extract, folded, joblists, joining, messages, redirects, results, routing, store,
 )
 from inkfold.plans import daily
 from inkfold.session import shared_dir
@@ -504,6 +504,25 @@ def stream_collection_exists(spark, folder):
     return store.mark_existing(names, store.collection_index(spark, root))
 
 
+def store_joined(spark, folder):
+    """A stream of small batches and two batch jobs, joined while the stream is not at its end:
+    articles by collection, as stored and as indexed."""
+    base = shared_dir(spark, "joined")
+    queue, root, checkpoint = f"{base}/queue", f"{base}/store", f"{base}/checkpoint"
+    messages = _messages(spark, folder)
+    halves = [messages.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == k) for k in (0, 1)]
+    for k, half in enumerate(halves):
+        D.enqueue(half, queue)
+        D.drain(spark, queue, root, checkpoint)
+        store.append_articles(routing.accepted_articles(_routed(spark, folder)), root)
+        if k == 0:
+            joining.join_batches(spark, root, {D.stream_identity(spark, checkpoint): D.settled_batch(spark, checkpoint)})
+    joining.join_batches(spark, root, {D.stream_identity(spark, checkpoint): D.settled_batch(spark, checkpoint)})
+    joining.delete_replaced(spark, root)
+    rows = D.drained_articles(spark, root).groupBy("collection").agg(F.count("*").alias("n"))
+    return rows.join(store.collection_index(spark, root).select("collection", F.col("rows").alias("indexed")), "collection", "full")
+
+
 def stream_stop_rule(spark, folder):
     """A drain that runs until its queue has been idle, then stops: what it has stored."""
     queue, root, checkpoint = _queued(spark, folder)
@@ -652,7 +671,7 @@ QUERIES = {
         routed, route_counts, keywords, log_dates, rejects, required_gate,
         store_roundtrip, collection_exists, item_export,
         stream_drain, stream_two_queues, stream_collection_exists, stream_empty, stream_rejects, stream_next_dates, stream_backlog,
-        collection_rows, stream_stop_rule, latest_result_folded, coverage_intervals, missing_dates_folded, next_dates_folded,
+        collection_rows, store_joined, stream_stop_rule, latest_result_folded, coverage_intervals, missing_dates_folded, next_dates_folded,
         latest_result, next_dates_answer, daily_news, daily_news_redirected, daily_news_rejects,
     )
 }

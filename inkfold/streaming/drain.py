@@ -6,8 +6,8 @@ stream, which lies in the checkpoint, and its batch id: a retry after a lost exe
 a restart replaces it, so every message is stored once, and another queue or a new
 checkpoint never touches what is there.
 
-A batch is decoded once: its routed rows are landed, counted and dealt to files.  Its rows carry the branch they belong to
-as a partition, and each reader below sees its own branch only.
+A batch is decoded once: its routed rows are landed, counted and dealt to files.  Its rows
+carry the branch they belong to as a partition, and each reader below sees its own branch only.
 """
 
 from __future__ import annotations
@@ -17,15 +17,12 @@ import os
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from inkfold.operators import routing as R
 from inkfold.operators.messages import decode_messages
-from inkfold.operators.store import read_or_empty, store_rows, stored
-
-DRAINED = "drained"
-_DRAINED = T.StructType().add("file", "string").add("messages", "long").add("run", "string").add("batch_id", "long")
+from inkfold.operators.store import DRAINED, DRAINED_SCHEMA, read_or_empty, store_rows, stored, visible
 
 
 def enqueue(messages: DataFrame, queue: str) -> None:
@@ -49,6 +46,14 @@ def stream_identity(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(text)["id"].replace("-", "")
 
 
+def settled_batch(spark: SparkSession, checkpoint: str) -> int:
+    """The last batch that a stream will not write again, -1 before the first; for joining."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(checkpoint, "commits"))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+    return max((int(name) for name in names if name.isdigit()), default=-1)
+
+
 def _make_folder(spark: SparkSession, path: str) -> None:
     """A stream needs its source to be there, if empty."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -131,25 +136,31 @@ def drained_rejects(spark: SparkSession, root: str) -> DataFrame:
 
 
 def drained_files(spark: SparkSession, root: str) -> DataFrame:
-    return read_or_empty(spark, os.path.join(root, DRAINED), _DRAINED)
+    return read_or_empty(spark, os.path.join(root, DRAINED), DRAINED_SCHEMA).filter(visible(spark, root))
 
 
 def backlog(spark: SparkSession, queue: str, root: str) -> DataFrame:
-    """How many messages are still on the queue: one row ``(files, messages)``.
+    """How many messages are still on the queue: one row ``(files, messages)``; files
+    without a byte do not count.
 
-    The queue is listed by name; only files that are not drained yet are read.
+    The queue is listed by name, and the names of drained files are taken away by a join.
+    What is read starts at the oldest file that waits: of the drained ones only those that
+    are younger than it.  The driver sees that one time, no names.
     """
     empty = spark.createDataFrame([(0, 0)], "files bigint, messages bigint")
+    file = F.col("_metadata.file_path").alias("file")
     try:
-        names = spark.read.format("binaryFile").load(queue).select(F.col("_metadata.file_path").alias("file"))
+        names = spark.read.format("binaryFile").load(queue).select(file, "modificationTime")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return empty
     waiting = names.join(drained_files(spark, root).select("file").distinct(), "file", "left_anti")
-    # As many names as Spark's own list of the files to read holds.
-    files = [row.file for row in waiting.toLocalIterator()]
-    if not files:
+    # A second less: the option takes whole seconds and what is later.
+    oldest = F.date_format(F.date_trunc("second", F.min("modificationTime")) - F.expr("INTERVAL 1 SECOND"), "yyyy-MM-dd'T'HH:mm:ss")
+    since = waiting.agg(oldest).first()[0]
+    if since is None:
         return empty
-    lines = spark.read.text(files).agg(F.count("*").alias("messages"))
-    return lines.select(F.lit(len(files)).cast("bigint").alias("files"), "messages")
+    lines = spark.read.option("modifiedAfter", since).text(queue).select(file).groupBy("file").agg(F.count("*").alias("n"))
+    counted = waiting.join(lines, "file", "left")
+    return counted.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("messages"))
