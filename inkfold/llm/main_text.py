@@ -4,7 +4,10 @@ Paragraphs pass points for length and commas to their ancestors, less with each
 a container's points are discounted by the share of its text that stands in links.  The
 best container is kept, and those of its siblings that score well or read like text.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader comments
-are left out by their elements and by the words of their class, id and role.
+are left out by their elements and by the words of their class, id and role.  Words decide
+less than text: inside an article a name that only begins like a marked one loses nothing
+but short blocks, and an element that holds nearly all unlinked text of a page stays,
+whatever its name, unless it holds reader comments.
 
 A text is the blocks in page order, joined by one blank; white space inside a block is one
 blank.  Inline elements do not separate words, a line break does.
@@ -47,6 +50,10 @@ MARKS = frozenset(
     " recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe"
     " subscription toolbar widget widgets".split()
 )
+# Marks of reader comments, words that say what a page has or lacks, and words that name no content of their own.
+COMMENTS = frozenset("comment comments discussion disqus feedback replies reply respond".split())
+SAYS = frozenset("has have is no not with without".split())
+NEUTRAL = frozenset("area bar block body box column container content group inner item items list outer panel row section slot text unit wrap wrapper".split())
 #: Open elements that a new one ends, and where the search for them stops.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -67,15 +74,32 @@ _FROM_BODY = frozenset(("html", "body", "article", "main"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "left_out", "marked", "wraps", "points", "size", "linked", "enter", "leave")
+    __slots__ = (
+        "tag", "parent", "children", "name", "left_out", "marked", "loosely", "remarks", "reads", "wraps", "points", "size",
+        "linked", "unended", "enter", "leave")
 
     def __init__(self, tag: str, parent: "Node | None"):
         self.tag, self.parent, self.children = tag, parent, []
-        self.left_out = self.marked = self.wraps = False
-        self.points, self.size, self.linked = 0.0, 0, 0
+        self.name = ""
+        self.left_out = self.marked = self.loosely = self.remarks = self.reads = self.wraps = False
+        self.points, self.size, self.linked, self.unended = 0.0, 0, 0, 0
         self.enter = self.leave = 0
 
 
+def _mark(node: Node, names: str) -> None:
+    """What the names of a class or id say; loosely: no name ends in a marked word."""
+    for name in names.split():
+        words = _WORD.findall(name)
+        if not words or words[0] in SAYS or MARKS.isdisjoint(words):
+            continue
+        while len(words) > 1 and (words[-1] in NEUTRAL or words[-1].isdigit()):
+            words.pop()
+        exact = words[-1] in MARKS
+        node.loosely = not exact and (node.loosely or not node.marked)
+        node.marked = True
+        node.remarks |= not COMMENTS.isdisjoint(words)
+
+
 def _describe(node: Node, attributes: str) -> None:
     """Whether the element is left out, surely or by the words of its attributes."""
     tag = node.tag
@@ -85,7 +109,9 @@ def _describe(node: Node, attributes: str) -> None:
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id"):
-            node.marked |= any(w in MARKS for w in _WORD.findall(value))
+            _mark(node, value)
+            if name == "class":
+                node.name = " ".join(value.split())
         elif name == "role":
             node.left_out |= value.strip() in ROLES
         elif name == "hidden" or name == "aria-hidden" and value == "true":
@@ -194,6 +220,19 @@ def _walk(root: Node) -> list[Node]:
     return order
 
 
+def _settle_loose(order: list[Node]) -> None:
+    """Marks that a name only begins with do not hold for elements with a paragraph in them."""
+    own = {}
+    for node in reversed(order):
+        if node.left_out or node.tag == "a":
+            continue
+        size = own.get(node.enter, 0) + sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        if node.loosely and not node.remarks and size >= PARAGRAPH:
+            node.reads = True
+        if node.parent:
+            own[node.parent.enter] = own.get(node.parent.enter, 0) + size
+
+
 def _blocks(root: Node, use_marks: bool) -> list[tuple[Node, str, int]]:
     """Block element, text and length in links of each block that is not left out."""
     out: list[tuple[Node, str, int]] = []
@@ -223,6 +262,7 @@ def _blocks(root: Node, use_marks: bool) -> list[tuple[Node, str, int]]:
             pieces.append(" ")
             continue
         out_by_mark = use_marks and item.marked and not item.wraps and not (article and item.tag in ("p", "b", "i", "em", "strong", "span", "a"))
+        out_by_mark &= not (article and item.reads)
         header = item.tag == "header" and not article and not item.wraps
         if item.left_out or out_by_mark or header:
             if item.tag in BLOCK:
@@ -240,6 +280,11 @@ def _blocks(root: Node, use_marks: bool) -> list[tuple[Node, str, int]]:
     return out
 
 
+#: Code points of a paragraph that reads like an article's; shortest block that scores; how
+#: many times what is left an element must hold to stay in spite of its name.
+PARAGRAPH, SCORED, OUTWEIGHS = 80, 25, 8
+_ENDS_SENTENCE = (".", "!", "?", "\u3002", "\uff01", "\uff1f")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PARAGRAPHS = frozenset("p pre td li dd blockquote h1 h2 h3 h4 h5 h6 figcaption".split())
 _PRIOR = {"article": 30.0, "main": 20.0, "div": 5.0, "section": 5.0, "body": 0.0, "ul": -5.0, "ol": -3.0, "table": -3.0, "li": -3.0}
 
@@ -250,12 +295,14 @@ def _score(order: list[Node], blocks: list[tuple[Node, str, int]]) -> list[Node]
     for block, text, linked in blocks:
         block.size += len(text)
         block.linked += linked
+        block.unended += block.tag not in _PARAGRAPHS or not text.endswith(_ENDS_SENTENCE)
     for node in reversed(order):
         if node.parent:
             node.parent.size += node.size
             node.parent.linked += node.linked
+            node.parent.unended += node.unended
     for block, text, linked in blocks:
-        if len(text) < 25:
+        if len(text) < SCORED:
             continue
         points = (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - linked / len(text))
         up: Node | None
@@ -273,11 +320,44 @@ def _final(node: Node) -> float:
     return node.points * (1 - node.linked / max(1, node.size))
 
 
+def _unlinked(blocks: list[tuple[Node, str, int]]) -> int:
+    return sum(len(text) - linked for block, text, linked in blocks if len(text) >= SCORED and block.tag not in _HEADINGS)
+
+
+def _unmark(order: list[Node], whole: list[tuple[Node, str, int]], left: int) -> bool:
+    """Forget the marks of elements that hold nearly all unlinked text of the page."""
+    held: dict[int, int] = {}
+    for block, text, linked in whole:
+        if len(text) >= SCORED and block.tag not in _HEADINGS:
+            held[block.enter] = held.get(block.enter, 0) + len(text) - linked
+    for node in reversed(order):
+        if node.parent and node.enter in held:
+            held[node.parent.enter] = held.get(node.parent.enter, 0) + held[node.enter]
+    total, found = held.get(0, 0), False
+    for node in order:
+        mine = held.get(node.enter, 0)
+        if node.marked and not node.remarks and 2 * mine > total and mine >= max(OUTWEIGHS * left, PARAGRAPH):
+            node.marked, found = False, True
+    return found
+
+
+def _alike(best: Node, other: Node) -> bool:
+    """Whether a sibling is of the best container's kind and holds paragraphs of sentences only."""
+    return other.tag == best.tag and other.name == best.name and not other.linked and not other.unended
+
+
 def extract(html: str) -> str:
     """The main text of one page."""
     root = parse(html)
     order = _walk(root)
-    blocks = _blocks(root, use_marks=True) or _blocks(root, use_marks=False)
+    if any(n.loosely for n in order):
+        _settle_loose(order)
+    blocks = _blocks(root, use_marks=True)
+    if any(n.marked for n in order) and not any(n.tag in ("article", "main") for n in order):
+        whole = _blocks(root, use_marks=False)
+        if _unmark(order, whole, _unlinked(blocks)):
+            blocks = _blocks(root, use_marks=True)
+    blocks = blocks or _blocks(root, use_marks=False)
     if not blocks:
         return ""
     containers = _score(order, blocks)
@@ -292,7 +372,7 @@ def extract(html: str) -> str:
             continue
         density = sibling.linked / sibling.size
         reads = sibling.tag in _PARAGRAPHS and density < 0.25 and (sibling.size > 80 or sibling.tag in ("h1", "h2"))
-        if reads or sibling.points and _final(sibling) >= least:
+        if reads or sibling.points and _final(sibling) >= least or _alike(best, sibling):
             kept.append((sibling.enter, sibling.leave))
     kept.sort()  # siblings, so the ranges are apart
     starts = [a for a, _ in kept]

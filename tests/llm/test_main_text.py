@@ -35,6 +35,39 @@ def test_marks_do_not_drop_what_wraps_the_article():
     assert extract(f'<body class="ad"><div class="with-sidebar"><article class="no-comments"><h1>T</h1><p>{LONG}</p></article></div>') == f"T {LONG}"
 
 
+LAYOUTS = [
+    # what holds the text is named like something else
+    (f'<h1>T</h1><div class="layout has-sidebar"><p>{LONG} a</p><p>{LONG} b</p></div>', f"T {LONG} a {LONG} b"),
+    (f'<div class="post-share-wrap"><p>{LONG} a</p><p>{LONG} b</p></div><p>Copyright 2020</p>', f"{LONG} a {LONG} b"),
+    (f'<div id="promo"><p>{LONG} a</p><p>{LONG} b</p></div>', f"{LONG} a {LONG} b"),
+    (f'<div class="legal"><div class="body"><p>{LONG} a</p><p>{LONG} b</p></div><div class="share">Share</div></div>', f"{LONG} a {LONG} b"),
+    (f'<div class="no-comments with-menu"><p>{LONG} a</p><p>{LONG} b</p></div>', f"{LONG} a {LONG} b"),
+    # inside an article a name that only begins like a marked one
+    (f'<article><p>{LONG} a</p><div class="copyright-law-explained"><p>{LONG} {LONG} b</p></div></article>', f"{LONG} a {LONG} {LONG} b"),
+    (f'<article><p>{LONG} a</p><div class="share-buttons"><p>Share it</p></div></article>', f"{LONG} a"),
+    (f'<article><p>{LONG} a</p><div class="ad-slot-2"><p>{LONG} {LONG} no</p></div></article>', f"{LONG} a"),
+    (f'<article><p>{LONG} a</p><div class="comment-thread"><p>{LONG} {LONG} no</p></div></article>', f"{LONG} a"),
+    # parts of a text that stand side by side
+    (f"<div><p>{LONG}, a</p><p>{LONG} b</p></div><div><p>Second part, short but text.</p></div>", f"{LONG}, a {LONG} b Second part, short but text."),
+    (f'<div class=x><p>{LONG}, a</p></div><div><p>Another kind.</p></div><div class=x><p>All <a href=u>links</a>.</p></div>', f"{LONG}, a"),
+    # comments and notices around a short text
+    (f'<div class="post"><p>{LONG} a</p></div><div class="comments">' + f"<p>{LONG} no</p>" * 30 + "</div>", f"{LONG} a"),
+    (f'<article><p>Short.</p></article><div class="newsletter"><p>{LONG} {LONG} no</p></div>', "Short."),
+    (f'<div class="post"><p>{LONG} a</p></div><div class="cookie-notice"><p>{LONG} {LONG} no</p></div>', f"{LONG} a"),
+]
+
+
+@pytest.mark.parametrize("page,text", LAYOUTS)
+def test_layouts(page, text):
+    assert extract(f"<body>{page}</body>") == text
+
+
+def test_marked_elements_in_each_other_take_linear_time():
+    page = "<article>" + '<div class="copyright-law">' * 20_000 + f"<p>{LONG} {LONG}</p>"
+    assert extract(page) == f"{LONG} {LONG}"
+    assert extract(f"<body>{'<div class=ad>' * 20_000}<p>{LONG} {LONG}</p>") == f"{LONG} {LONG}"
+
+
 def test_blocks_references_and_broken_markup():
     assert extract(f"<p>{LONG}&amp;co<br>x &nbsp; y<b>z</b>w<!-- no --><p title='a > b'>{LONG} <i>in</i>line") == f"{LONG}&co x yzw {LONG} inline"
     assert extract(f"<p>{LONG} 1 < 2</p><a href=\"x") == f"{LONG} 1 < 2"
