@@ -3,13 +3,15 @@
 Vectors are compared only with those of the same label.  Each tree splits a node at the
 median of a random projection again and again; vectors near the median go to both sides
 (spill), so that a close pair is rarely torn apart in one tree and hardly ever in all.
-Within leaves every pair is compared by cosine in double precision, the pairs of all trees
-are united, and connected components give the groups.
+Within leaves every pair is compared by cosine in double precision.  Each vector carries the
+names of its leaves: a pair is counted in the first leaf that holds both, so links are summed
+without writing pairs.  A leaf gives one row a linked vector (its links, the smallest vector
+it reaches there); connected components of these rows give the groups.
 
 Equal vectors are one point with a number of copies.  Nodes above `Forest.task_rows` are
 split by Spark jobs (median by an aggregate, children by a join); smaller ones by one task
-each.  A node that no projection parts (a dense ball) is cut into blocks, and every pair of
-blocks is compared, so its size bounds no task and no pair is lost.
+each.  A node that no projection parts (a dense ball) is one leaf; above task size it is cut
+into blocks, and every pair of blocks is compared, so its size bounds no task and no pair is lost.
 
 Defined cases: a vector that is null, all zero, empty, or holds null or non-finite
 components, or whose label or id is null, links with nothing (n_links 0, its own
@@ -56,19 +58,50 @@ def _margin(how: Forest, size: int) -> float:
     return how.spill * np.sqrt(max(0.0, 2 - 2 * how.cosine) / size)
 
 
-def _compare(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of a row of x and a row of y with this cosine or more."""
-    step = max(1, (1 << 22) // max(1, len(y)))
-    found = [np.argwhere(x[i : i + step] @ y.T >= least) + (i, 0) for i in range(0, len(x), step)]
-    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def _tree_pairs(x: np.ndarray, how: Forest, seed: int) -> np.ndarray:
-    """Close pairs (i < j) that share a leaf of one random tree over the rows of x."""
+def _close(x: np.ndarray, least: float) -> np.ndarray:
+    """Which two rows have this cosine or more, as a matrix; no row with itself."""
+    close = np.empty((len(x), len(x)), bool)
+    step = max(1, (1 << 22) // max(1, len(x)))
+    for i in range(0, len(x), step):
+        np.greater_equal(x[i : i + step] @ x.T, least, out=close[i : i + step])
+    close |= close.T
+    np.fill_diagonal(close, False)
+    return close
+
+
+def _together(names: list[list[str]], leaf: str) -> np.ndarray:
+    """Which two rows also share a leaf whose name comes before this one's."""
+    members: dict[str, list[int]] = {}
+    for row, its in enumerate(names):
+        for name in its:
+            if name < leaf:
+                members.setdefault(name, []).append(row)
+    shared = np.zeros((len(names), len(names)), bool)
+    for rows in members.values():
+        if len(rows) > 1:
+            shared[np.ix_(rows, rows)] = True
+    return shared
+
+
+def _roots(close: np.ndarray) -> np.ndarray:
+    """For each row the first row that links reach from it."""
+    root = np.arange(len(close))
+    left = close.any(axis=1)
+    for start in range(len(close)):
+        if not left[start]:
+            continue
+        left[start], new = False, np.array([start])
+        while len(new):
+            new = np.flatnonzero(close[new].any(axis=0) & left)
+            left[new], root[new] = False, start
+    return root
+
+
+def _tree_leaves(x: np.ndarray, how: Forest, seed: int) -> list[np.ndarray]:
+    """The leaves of one random tree over the rows of x: places of rows, some in several."""
     random, size = np.random.default_rng(seed), x.shape[1]
     margin = _margin(how, size)
-    pairs, todo = [], [np.arange(len(x))]
+    leaves, todo = [], [np.arange(len(x))]
     while todo:
         rows = todo.pop()
         left = right = rows
@@ -79,12 +112,10 @@ def _tree_pairs(x: np.ndarray, how: Forest, seed: int) -> np.ndarray:
             middle = np.median(value)
             left, right = rows[value <= middle + margin], rows[value > middle - margin]
         if max(len(left), len(right)) > 0.9 * len(rows):  # small enough, or a dense ball
-            a, b = _compare(x[rows], x[rows], how.cosine)
-            a, b = rows[a[a < b]], rows[b[a < b]]
-            pairs.append(np.minimum(a, b) * len(x) + np.maximum(a, b))
+            leaves.append(rows)
         else:
             todo += [left, right]
-    return np.unique(np.concatenate(pairs))
+    return leaves
 
 
 def _points(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -131,60 +162,73 @@ def _split(nodes: DataFrame, large: DataFrame, how: Forest, level: int, landing:
     return split.select(*nodes.columns), rows.join(dense, key).select(*nodes.columns)
 
 
-def _pairs_of_trees(points: DataFrame, how: Forest, landing: Landing) -> DataFrame:
-    """Close pairs (a, b, cosine at least `how.cosine`) of the distinct points."""
+def _small_nodes(nodes: DataFrame, how: Forest) -> DataFrame:
+    """Rows (label, size, gid, leaf) of nodes that one task splits."""
+    def run(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("gid").to_numpy())
+        ids = group.column("gid").to_numpy()[order].astype(np.int64)
+        tree, path = group.column("tree")[0].as_py(), group.column("path")[0].as_py()
+        seed = hash((how.seed, tree, int(ids[0]) & 0xFFFFFF))
+        leaves = _tree_leaves(_unit(_matrix(group.column("v")))[order], how, abs(seed) % (1 << 32))
+        rows = np.concatenate(leaves)
+        names = np.repeat([f"{tree:03d}.{path}.{n}" for n in range(len(leaves))], [len(r) for r in leaves])
+        first = pa.array(np.zeros(len(rows), np.int64))
+        return pa.table({"label": group.column("label").take(first), "size": group.column("size").take(first), "gid": ids[rows], "leaf": names.tolist()})
+
+    kind = nodes.schema["label"].dataType.simpleString()
+    return nodes.groupBy("label", "size", "tree", "path").applyInArrow(run, f"label {kind}, size int, gid long, leaf string")
+
+
+def _leaves_of_trees(points: DataFrame, how: Forest, landing: Landing) -> DataFrame:
+    """Rows (label, size, gid, leaf): the leaves of each point, the name of one beginning with its tree's number."""
     key = ["label", "size", "tree", "path"]
     nodes = points.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(how.trees - 1)))).withColumn("path", F.lit(""))
-    parts, level = [], 0
+    found, level = None, 0
     while True:
         counts = nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
         large = landing.land(counts.filter(F.col("n") > how.task_rows))
-        if large.isEmpty():
-            parts.append(_small_nodes(nodes, how))
-            break
-        done = nodes.join(large.select(*key), key, "left_anti")
-        parts.append(_small_nodes(done, how))
+        whole = large.isEmpty()
+        done = _small_nodes(nodes if whole else nodes.join(large.select(*key), key, "left_anti"), how)
+        found = done if found is None else found.unionByName(done)
+        if whole:
+            return landing.land(found)
         nodes, dense = _split(nodes, large, how, level, landing)
         nodes, dense = landing.land(nodes), landing.land(dense)
-        # A ball that one tree cannot part is compared whole: once is enough.
-        parts.append(_dense_nodes(dense, how))
+        ball = F.format_string("%03d.%s.ball", "tree", "path").alias("leaf")
+        found = found.unionByName(dense.select("label", "size", F.col("gid").cast("long").alias("gid"), ball))
         level += 1
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return landing.land(found.distinct())
-
-
-def _small_nodes(nodes: DataFrame, how: Forest) -> DataFrame:
-    def run(group: pa.Table) -> pa.Table:
-        ids = group.column("gid").to_numpy()
-        x = _unit(_matrix(group.column("v")))
-        order = np.argsort(ids)
-        ids, x = ids[order], x[order]
-        seed = hash((how.seed, int(group.column("tree")[0].as_py()), int(ids[0]) & 0xFFFFFF))
-        pairs = _tree_pairs(x, how, abs(seed) % (1 << 32))
-        return pa.table({"u": pa.array(ids[pairs // len(x)]), "v": pa.array(ids[pairs % len(x)])})
 
-    return nodes.groupBy("label", "size", "tree", "path").applyInArrow(run, "u long, v long")
 
-
-def _dense_nodes(nodes: DataFrame, how: Forest) -> DataFrame:
-    """All pairs of blocks of a node, a task each."""
-    key = ["label", "size", "tree", "path"]
-    counts = nodes.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) * 2 / how.task_rows).cast("int").alias("blocks"))
-    blocked = nodes.join(counts, key).withColumn("block", F.pmod(F.xxhash64("gid"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = blocked.withColumn("other", other)
-    paired = paired.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+def _links(points: DataFrame, leaves: DataFrame, how: Forest, landing: Landing) -> DataFrame:
+    """Rows (u, n, root) of points linked within a leaf: the copies they link with there and
+    in no leaf before, and the smallest point they reach."""
+    key = ["label", "size", "leaf"]
+    # A point stands in a few leaves of each tree.
+    of = leaves.groupBy("gid").agg(F.collect_list("leaf").alias("leaves"))
+    large = leaves.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > how.task_rows)
+    large = large.select(*key, F.ceil(F.col("n") * 2 / how.task_rows).cast("int").alias("blocks"))
+    rows = points.join(of, "gid").withColumn("leaf", F.explode("leaves")).join(large, key, "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("gid"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    rows = rows.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def run(group: pa.Table) -> pa.Table:
-        ids = group.column("gid").to_numpy()
-        x = _unit(_matrix(group.column("v")))
-        a, b = _compare(x, x, how.cosine)
-        keep = ids[a] < ids[b]
-        return pa.table({"u": pa.array(ids[a[keep]]), "v": pa.array(ids[b[keep]])})
+        ids = group.column("gid").to_numpy().astype(np.int64)
+        order = np.argsort(ids)
+        ids, block = ids[order], group.column("block").to_numpy()[order]
+        group = group.select(["v", "leaves", "copies", "leaf"]).take(pa.array(order))
+        close = _close(_unit(_matrix(group.column("v"))), how.cosine)
+        if block.min() != block.max():  # two blocks: pairs within one are counted elsewhere
+            close &= block[:, None] != block[None, :]
+        linked = np.flatnonzero(close.any(axis=1))
+        close = close[np.ix_(linked, linked)]
+        group = group.take(pa.array(linked))
+        first = close & ~_together(group.column("leaves").to_pylist(), group.column("leaf")[0].as_py()) if len(linked) else close
+        n = first.astype(np.float64) @ group.column("copies").to_numpy().astype(np.float64)  # whole numbers: exact
+        return pa.table({"u": ids[linked], "n": n.astype(np.int64), "root": ids[linked][_roots(close)]})
 
-    return paired.groupBy(*key, "i", "j").applyInArrow(run, "u long, v long")
+    return landing.land(rows.groupBy(*key, "i", "j").applyInArrow(run, "u long, n long, root long"))
 
 
 def near_vectors(
@@ -197,11 +241,10 @@ def near_vectors(
     usable = rows.filter(F.col("v").isNotNull())
     # One point for equal vectors; a hot vector is combined before the shuffle.
     points = landing.land(usable.groupBy("label", "v").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("copies")).withColumn("size", F.size("v")))
-    pairs = _pairs_of_trees(points.select("gid", "label", "size", "v"), how, landing)
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    copies = points.select(F.col("gid").alias("v"), "copies")
-    linked = both.join(copies, "v").groupBy("u").agg(F.sum("copies").alias("more"))
-    parts = connected_components(pairs, landing)
+    leaves = _leaves_of_trees(points.select("gid", "label", "size", "v"), how, landing)
+    found = _links(points, leaves, how, landing)
+    linked = found.groupBy("u").agg(F.sum("n").alias("more"))
+    parts = connected_components(found.select("u", F.col("root").alias("v")), landing)
     info = (
         points.select("gid", "label", "v", "copies")
         .join(linked.withColumnRenamed("u", "gid"), "gid", "left")

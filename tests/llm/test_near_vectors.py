@@ -73,3 +73,29 @@ def test_cases(spark):
         assert got.pop(i) == (4, 3, i == 3)
     assert got == {i: (0, i, True) for i in (9, 1, 2, 4, 6, 7, 8, 10, 11)}
     assert N.near_vectors(df.limit(0)).count() == 0
+
+
+def test_a_dense_ball_gives_a_row_a_vector_and_block(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    ball = r.standard_normal(16)
+    rows = [(i, [float(c) for c in ball + r.standard_normal(16) * 0.02], 1) for i in range(600)]
+    written = []
+    plain = N._links
+    monkeypatch.setattr(N, "_links", lambda *a: written.append(plain(*a)) or written[0])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(x) for x in N.near_vectors(df, N.Forest(leaf=40, task_rows=200)).collect())
+    assert got == brute(rows) and sum(g[1] for g in got) > 300_000
+    # Six blocks, at most once for each other block and tree: not the pairs.
+    assert written[0].count() <= 600 * 6 * 4
+
+
+def test_helpers_against_plain_loops():
+    r = np.random.default_rng(1)
+    names = [[f"{t:03d}.{r.integers(0, 3)}" for t in range(3)] for _ in range(30)]
+    plain = [[any(n in b and n < "001.1" for n in a) for b in names] for a in names]
+    got = N._together(names, "001.1")
+    assert all(got[i, j] == plain[i][j] for i in range(30) for j in range(30) if i != j)
+    close = r.random((60, 60)) < 0.02
+    close = (close | close.T) & ~np.eye(60, dtype=bool)
+    reach = np.linalg.matrix_power((close | np.eye(60, dtype=bool)).astype(float), 60) > 0
+    assert N._roots(close).tolist() == reach.argmax(axis=1).tolist()
