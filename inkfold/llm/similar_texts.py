@@ -434,7 +434,9 @@ def similar_texts(df: DataFrame, how: Join = Join(), id_col: str = "doc_id", tex
     more = landing.land(_left_over(shared, parts, bitmaps, how, landing))
     sets = sets_of(more)
     placed = landing.land(signed.select("id", *KEY).join(classes.select(*KEY, "member"), KEY, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("member")).alias("member")))
-    linked = links.unionByName(_verified(more, sets, how)).unionByName(_one_document(placed))
+    # The components found so far stand for their links.
+    linked = parts.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    linked = linked.unionByName(_verified(more, sets, how)).unionByName(_one_document(placed))
     components = landing.land(connected_components(linked, landing))
     landing.drop(sets, more, shared, bitmaps, parts, links, signed)
     named = classes.select("member", "doc").join(components.withColumnRenamed("id", "member"), "member", "left")
