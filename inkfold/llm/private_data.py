@@ -1,19 +1,23 @@
 """Personal data by weak supervision, on DataFrame functions only.
 
-Candidate spans come from patterns; numbers that fail the checks of their kind (check
-digits, ranges, lengths) are none.  Labelers look at each candidate: its form and check
-digits, gazetteers (issuers, top-level domains, key prefixes, reserved networks, given
-names), the words before it, its edges, and its variety; each votes for, against or
-abstains.  Votes are counted by pattern of votes over all texts, expectation-maximisation
-on these counts estimates how reliable each labeler is and how likely each pattern is
-personal data, and a logistic classifier of spans is trained on these likelihoods.  A span
-stays if the classifier says so; spans of the base patterns that pass their checks always do.
+Candidate spans come from patterns, from a gazetteer (given names with a surname) and from
+context (capitalised words and numbers after a word that announces them).  Labelers look at
+each candidate: its form and check digits, gazetteers (issuers, top-level domains, key
+prefixes, reserved networks, given names, words that are no names), the words before it,
+its edges, and its variety; each votes for, against or abstains.  Candidates that fail the
+checks of their kind (check digits, ranges, lengths, words of no name) are voted against by their form: they
+count, but are never spans.  Votes are counted by pattern of votes over all texts,
+expectation-maximisation on these counts estimates how reliable each labeler is and how
+likely each pattern is personal data, and a logistic classifier of spans is trained on these
+likelihoods.  A span stays if the classifier says so; spans of the base patterns that pass
+their checks always do.
 
 The counts are a bounded table (kinds times vote patterns), so the driver holds nothing that
 grows with the texts.  Candidates stay inside their row; no text enters a shuffle.
 
-Places are code points, end exclusive.  Base kinds: email, ip, card, phone; kinds only of
-the method: secret, name, and card or phone inside a longer run of digits.
+Places are code points, end exclusive.  Base kinds: email, ip, card, phone; found only by
+the method: secret, name, iban, phone numbers without a country, and card or phone inside a
+longer run of digits.
 
 Defined cases: null and empty texts have no spans; spans of different kinds may overlap;
 repeated rows get the same spans; without any candidate the classifier is not needed; an
@@ -44,27 +48,50 @@ SECRET = (
     r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b"
     r"|\b(?i:password|passwd|token|secret|api[_-]?key)(?-i) ?[:=] ?\"?[A-Za-z0-9+/_-]{12,}\"?"
 )
-NAME = r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"
 # Gazetteers and cue words.
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38)"
 DOMAINS = r"\.(?:com|org|net|edu|gov|info|io|eu|uk|de|fr|es|it|ch|at|be|nl)$"
 RESERVED = r"^(?:0|10|127|169\.254|172\.(?:1[6-9]|2[0-9]|3[01])|192\.168|22[4-9]|23[0-9]|24[0-9]|25[0-5])\."
 KEYS = r"^(?:AKIA|gh[pousr]_)"
+COUNTRIES = r"^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|GR|HU|IE|IT|LU|NL|NO|PL|PT|RO|SE|SK)"
 GIVEN = (
     r"\b(?:Anna|Carlos|Carmen|Charles|David|Elena|Elizabeth|Emma|Hans|Isabelle|James|Jean|Jennifer|John|José|Juan|Klaus|Laura"
     r"|Linda|Lucía|Luis|Maria|María|Marie|Martin|Mary|Michael|Michel|Patricia|Paul|Peter|Pierre|Robert|Sarah|Sophie|Susan"
     r"|Thomas|Ursula|William|Wolfgang)\b"
 )
+NO_NAMES = (
+    r"\b(?:Sir|Madam|Customer|Service|Support|Team|Street|Road|Avenue|University|School|Company|Bank|Hotel|Hospital"
+    r"|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|June|July|August|September"
+    r"|October|November|December|The|This|That|All|Our|Your|New|North|South|East|West)\b"
+)
+TITLE = r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}"
 CUES = {
     "email": r"(?i)mail|contact|correo|courriel|write to",
     "ip": r"(?i)\bip\b|address|adresse|host|server|login",
     "card": r"(?i)card|visa|credit|karte|carte|tarjeta|amex",
     "phone": r"(?i)tel|phone|call|fax|mobil|handy|teléfono",
     "secret": r"(?i)key|secret|login|user|credential",
-    "name": r"(?i)dear|name|contact|signed|from",
+    "name": r"(?i)dear|name|contact|signed|from|friend",
+    "iban": r"(?i)iban|account|konto|compte|cuenta|transfer",
 }
 AGAINST = r"(?i)(?:version|release|licen[sc]e|isbn|order no|invoice|section|build)\W*$"
 CONTEXT = 40
+# Patterns that gazetteers and cue words propose.  The first look is at the
+# letter or digit a match starts with, so that what stands before is seldom looked at.
+_CAPITALS = r"\p{Lu}\p{L}++"
+NAME = (
+    TITLE + r"\p{L}++(?: " + _CAPITALS + r")?"
+    + r"|(?=\p{Lu})" + GIVEN + r"(?: \p{Lu}\.)? " + _CAPITALS
+    + r"|(?=\p{Lu})(?<=\b(?i:dear|friend|name is|signed by|signed,|regards,)\s)" + _CAPITALS + " " + _CAPITALS
+)
+PHONE_LOCAL = (
+    r"(?=[0-9(])(?<![0-9A-Za-z+.])(?<![0-9][ ().-]{1,2})(?:"
+    r"\(?[2-9][0-9]{2}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}"
+    r"|\(?0[1-9][0-9]{1,3}\)?[ /-][0-9]{3,4}[ -]?[0-9]{3,5}"
+    r"|(?<=\b(?i:call|phone|tel|tel\.|fax|mobile|handy|teléfono)[ :]{1,2})[0-9(][0-9 ()/-]{5,14}[0-9]"
+    r")(?![ .-]?[0-9])"
+)
+IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 
 
 @dataclass(frozen=True)
@@ -83,13 +110,15 @@ SOURCES = (
     Source("card", CARD_INSIDE, lambda t: F.rlike(t, F.lit(r"[0-9]{15}")), False),
     Source("phone", PHONE_INSIDE, lambda t: F.contains(t, F.lit("+")), False),
     Source("secret", SECRET, lambda t: F.rlike(t, F.lit(r"AKIA|gh[pousr]_|[:=] ?\"?[A-Za-z0-9+/_-]{12}")), False),
-    Source("name", NAME, lambda t: F.rlike(t, F.lit(r"Mr|Ms|Dr|Prof|Herr|Frau|Mons|Mada|Señor")), False),
+    Source("name", NAME, lambda t: F.rlike(t, F.lit(r"\p{Lu}\p{L}*+[. ]{1,2}\p{Lu}")), False),
+    Source("phone", PHONE_LOCAL, lambda t: F.rlike(t, F.lit(r"[0-9][0-9 ()./-]{5}")), False),
+    Source("iban", IBAN, lambda t: F.rlike(t, F.lit(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")), False),
 )
-KINDS = ("email", "ip", "card", "phone", "secret", "name")
+KINDS = ("email", "ip", "card", "phone", "secret", "name", "iban")
 LABELERS = ("form", "gazetteer", "context", "edges", "variety")
 VOTES = 3 ** len(LABELERS)
 
-_CANDIDATE = "struct<start:int,kind:int,end:int,base:boolean,votes:int>"
+_CANDIDATE = "struct<start:int,kind:int,end:int,base:boolean,passes:boolean,votes:int>"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -121,14 +150,29 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, F.lit("[^0-9]"), F.lit(""))
 
 
-def _passes(kind: str, found: Column) -> Column:
-    """The checks of a base match."""
+def _mod_97(iban: Column) -> Column:
+    """The remainder that check digits make 1: letters are 10 to 35, the first four come last."""
+    moved = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.left(iban, F.lit(4)))
+
+    def add(total: Column, letter: Column) -> Column:
+        value = F.ascii(letter) - F.when(letter >= "A", 55).otherwise(48)
+        return (total * F.when(value > 9, 100).otherwise(10) + value) % 97
+
+    return F.aggregate(F.split(moved, ""), F.lit(0), add)
+
+
+def _passes(kind: str, found: Column, base: bool) -> Column:
+    """The checks of a match of the kind."""
     if kind == "ip":
         return F.forall(F.split(found, r"\."), lambda p: F.rlike(p, F.lit(r"^0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$")))
     if kind == "card":
         return _let(_digits(found), lambda d: F.length(d).between(14, 19) & _luhn(d))
     if kind == "phone":
-        return F.length(_digits(found)).between(10, 15)
+        return F.length(_digits(found)).between(10 if base else 7, 15)
+    if kind == "iban":
+        return _let(F.replace(found, F.lit(" "), F.lit("")), lambda i: F.length(i).between(15, 34) & (_mod_97(i) == 1))
+    if kind == "name":
+        return F.rlike(found, F.lit(TITLE)) | ~F.rlike(found, F.lit(NO_NAMES))
     return F.lit(True)
 
 
@@ -146,10 +190,13 @@ def _votes(kind: str, found: Column, before: Column, after: Column, passes: Colu
         "card": lambda: _vote(like(found, ISSUERS), ~like(found, ISSUERS)),
         "phone": lambda: _vote(like(found, r"^\+(?:1|[2-9][0-9])"), like(found, r"^\+0")),
         "secret": lambda: _vote(like(found, KEYS)),
-        "name": lambda: _vote(like(found, GIVEN)),
+        "name": lambda: _vote(like(found, GIVEN), like(found, NO_NAMES)),
+        "iban": lambda: _vote(like(found, COUNTRIES), ~like(found, COUNTRIES)),
     }[kind]()
-    own = F.lit(True) if kind != "secret" else like(found, r"^(?:AKIA|gh)|[0-9]")
-    form = _vote(passes & own, ~(passes & own))
+    # What the form alone shows: names without a title and numbers without a country abstain.
+    shown = {"secret": r"^(?:AKIA|gh)|[0-9]", "name": TITLE, "phone": r"^\+"}.get(kind, "")
+    against = ~passes | (~like(found, shown) if kind == "secret" else F.lit(False))
+    form = _vote(passes & like(found, shown), against)
     context = _vote(like(before, CUES[kind]), like(before, AGAINST))
     clean = ~like(before, r"[A-Za-z0-9_]$") & ~like(after, r"^[A-Za-z0-9_]")
     edges = _vote(clean, ~clean)
@@ -188,7 +235,7 @@ def _cut(text: Column, source: Source) -> Column:
 
 def _judged(source: Source, found: Column, before: Column, after: Column) -> Column:
     """Whether it passes its kind's checks, is a base span, and the votes."""
-    passes = _passes(source.kind, found)
+    passes = _passes(source.kind, found, source.base)
     return F.struct(
         passes.alias("passes"), (passes & F.lit(source.base)).alias("base"),
         _votes(source.kind, found, before, after, passes).alias("votes"))
@@ -201,22 +248,21 @@ def _candidates(text: Column, source: Source) -> Column:
         found, gap = F.get(cut["m"], i), F.get(cut["g"], i)
         start = F.get(starts, i) + F.length(gap)
         judged = _judged(source, found, F.right(gap, F.lit(CONTEXT)), F.left(F.get(cut["g"], i + 1), F.lit(2)))
-        return _let(judged, lambda j: F.when(j["passes"], F.struct(
+        return _let(judged, lambda j: F.struct(
             start.cast("int").alias("start"), kind.alias("kind"), (start + F.length(found)).cast("int").alias("end"),
-            j["base"].alias("base"), j["votes"].alias("votes"))))
+            j["base"].alias("base"), j["passes"].alias("passes"), j["votes"].alias("votes")))
 
     def all_of(cut: Column) -> Column:
         sizes = F.zip_with(cut["m"], F.slice(cut["g"], F.lit(1), F.size(cut["m"])), lambda m, g: F.length(m) + F.length(g))
-        found = _let(_let(sizes, _starts), lambda starts: F.transform(_upto(F.size(cut["m"])), lambda i: one(cut, starts, i)))
-        return F.filter(found, lambda c: c.isNotNull())
+        return _let(_let(sizes, _starts), lambda starts: F.transform(_upto(F.size(cut["m"])), lambda i: one(cut, starts, i)))
 
     none = F.array().cast(f"array<{_CANDIDATE}>")
     return F.when(source.holds(text), _let(_cut(text, source), all_of).cast(f"array<{_CANDIDATE}>")).otherwise(none)
 
 
 def candidates(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` and `candidates`: the spans of all sources with their votes, in order
-    of start, then kind."""
+    """Columns `keep` and `candidates`: what all sources propose, with its votes and whether it
+    passes its checks, in order of start, then kind."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     found = F.array_sort(F.concat(*[_candidates(body, s) for s in SOURCES]))
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() != "candidates"]
@@ -292,8 +338,8 @@ def _listed(spans: Column) -> Column:
 
 
 def accepted(df: DataFrame, model: Model) -> DataFrame:
-    """`candidates` cut down to base spans and those the classifier accepts, each span once."""
-    stays = F.filter("candidates", lambda s: s["base"] | model.accepts(s["kind"], s["votes"]))
+    """`candidates` cut down to base spans and those that pass and the classifier accepts."""
+    stays = F.filter("candidates", lambda s: s["base"] | (s["passes"] & model.accepts(s["kind"], s["votes"])))
     return df.withColumn("candidates", stays)
 
 
@@ -342,7 +388,7 @@ def _merged(spans: Column) -> Column:
         heads = F.filter(_upto(n), lambda i: F.get(spans, i)["start"] >= F.get(tops, i))
         return _let(heads, lambda h: F.transform(_upto(F.size(h)), lambda k: group(tops, h, k)))
 
-    return _let(_tops(F.transform(spans, lambda s: s["end"])), all_of)
+    return _let(_let(F.transform(spans, lambda s: s["end"]), _tops), all_of)
 
 
 _CHUNK = 1024
@@ -375,9 +421,11 @@ def _replaced(text: Column, spans: Column) -> Column:
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """The same rows with the spans that `find` gives replaced by their kind in brackets; spans
     that overlap are replaced as one, by the kind of the longest."""
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("body"))
-    rows = candidates(packed, "body")
-    model = train(candidates(packed, "body", keep=[]))
-    found = compute_once(accepted(rows, model), "candidates")
+    others = [c for c in df.columns if c.lower() != text.lower()]
+    row = F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in others])  # never without a field
+    # Found once: the model is counted from what is cut later.
+    landing = Landing(df.sparkSession, "private-data")
+    rows = landing.land(candidates(df.select(row.alias("row"), F.col(f"`{text}`").alias("body")), "body"))
+    found = compute_once(accepted(rows, train(rows)), "candidates")
     out = compute_once(found.withColumn("body", _replaced(F.col("body"), F.col("candidates"))), "body")
     return out.select(*[F.col("body").alias(c) if c.lower() == text.lower() else F.col(f"row.`{c}`") for c in df.columns])

@@ -78,6 +78,36 @@ def test_numbers_that_fail_their_checks_are_left_alone(spark):
     assert found[0].spans == "" and found[20].spans == "card:4:20"
 
 
+def test_planted_names_local_numbers_and_accounts(spark):
+    """Gazetteer and context propose what no base pattern finds; what fails its checks votes against."""
+    text = "My friend Anna Miller lives here. Call 555-123-4567 or 030 12345678. IBAN DE89370400440532013000"
+    wrong = "Dear Customer Service, IBAN DE88370400440532013000, order 9807915762804490 of Monday, 12345 67890"
+    plain = "Paris is large. The North Sea and 1,234,567 people in 2020-01-02, chapter 3.2.1"
+    docs = [text] * 10 + [wrong] * 10 + [plain] * 10 + ["mail a@b.com or +1 (415) 555-0101, card 4111 1111 1111 1111 and 10.1.2.3"] * 40
+    found = rows_of(spark, docs)
+    got = {(k, text[int(s) : int(e)]) for k, s, e in (x.split(":") for x in found[0].spans.split(","))}
+    assert got == {("name", "Anna Miller"), ("phone", "555-123-4567"), ("phone", "030 12345678"), ("iban", "DE89370400440532013000")}
+    assert found[0].base == found[10].base == found[10].spans == found[20].spans == ""
+    assert found[30].spans == found[30].base
+
+
+def test_failing_candidates_are_counted_and_vote_against(spark):
+    df = spark.createDataFrame([(1, "order 9807915762804490 and 4111111111111111")], "doc_id long, text string")
+    (row,) = P.candidates(df, keep=["doc_id"]).collect()
+    assert [(c.passes, c.base, c.votes % 3) for c in row.candidates] == [(False, False, 0), (True, True, 2)]
+
+
+def test_many_spans_in_one_text_take_near_linear_time(spark):
+    import time
+
+    text = "1.2.3.4 a@b.co " * 10_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    P.redact(df.limit(0)).count()
+    began = time.monotonic()
+    (row,) = P.redact(df).collect()
+    assert row.text == "[IP] [EMAIL] " * 10_000 and time.monotonic() - began < 25
+
+
 def test_reliabilities_follow_agreement():
     """Three labelers that agree are trusted more than one that votes against them."""
     good = sum(2 * 3**i for i in range(4)) + 0 * 81
