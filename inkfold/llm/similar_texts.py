@@ -410,7 +410,9 @@ def similar_texts(df: DataFrame, how: Join = Join(), id_col: str = "doc_id", tex
     signed = landing.land(_signatures(df, id_col, text, how, _common(df, text, how)))
     usable = signed.filter((F.col("n") > 0) & F.col("id").isNotNull())
     # A class has a number of its own: its smallest id may be that of another class too.
-    classes = landing.land(usable.groupBy(*KEY).agg(F.min("id").alias("doc")).withColumn("member", F.monotonically_increasing_id()))
+    # Numbers follow those ids, so that a hub is the oldest text of its group.
+    numbered = usable.groupBy(*KEY).agg(F.min("id").alias("doc")).orderBy("doc", *KEY)
+    classes = landing.land(numbered.withColumn("member", F.monotonically_increasing_id()))
     heads = classes.select(F.col("doc").alias("id"), *KEY, "member")
     members = signed.join(heads, ["id", *KEY]).select(F.col("member").alias("id"), "n", "prefix", "bits")
     # Only shingles that two members have in their prefixes matter.
